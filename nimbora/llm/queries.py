@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from nimbora.llm import fingerprints, url_filter
+from nimbora.llm import fingerprints, pieces, token_store, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_token_store": token_store.op2_token_store,
         "op7_url_filters": url_filter.op7_url_filters,
+        "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
