@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nimbora.llm import decontamination, fingerprints, pieces, quality, token_store, url_filter
+from nimbora.llm import decontamination, fingerprints, pieces, quality, substring_dedup, token_store, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_token_store": token_store.op2_token_store,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_url_filters": url_filter.op7_url_filters,
         "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": decontamination.SQL, "op7_url_filters": url_filter.SQL}
+    return {"op4_benchmark_decontamination": decontamination.SQL, "op6_substring_dedup": substring_dedup.SQL, "op7_url_filters": url_filter.SQL}
