@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nimbora.llm import decontamination, fingerprints, pieces, quality, substring_dedup, token_store, url_filter
+from nimbora.llm import decontamination, fingerprints, kneser_ney, pieces, quality, substring_dedup, token_store, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_url_filters": url_filter.op7_url_filters,
+        "op8_lm_scoring": kneser_ney.op8_lm_scoring,
         "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
