@@ -147,5 +147,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = cut(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = facts(e)
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            centres = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
         before = now

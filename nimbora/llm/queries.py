@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nimbora.llm import decontamination, fingerprints, kneser_ney, pieces, quality, substring_dedup, token_store, url_filter
+from nimbora.llm import decontamination, fingerprints, jaccard_join, kneser_ney, pieces, quality, substring_dedup, token_store, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op2_token_store": token_store.op2_token_store,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
