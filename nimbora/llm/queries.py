@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nimbora.llm import decontamination, fingerprints, jaccard_join, kneser_ney, pieces, quality, substring_dedup, token_store, url_filter
+from nimbora.llm import decontamination, fingerprints, jaccard_join, kneser_ney, pieces, quality, secret_scan, substring_dedup, token_store, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_store": token_store.op2_token_store,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+        "op5_secret_scans": secret_scan.op5_secret_scans,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_url_filters": url_filter.op7_url_filters,
         "op8_lm_scoring": kneser_ney.op8_lm_scoring,
