@@ -1,0 +1 @@
+"""Composite queries and the catalog of all queries with their SQL."""
