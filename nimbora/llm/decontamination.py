@@ -46,6 +46,26 @@ def with_prefixes(windows: DataFrame, documents: DataFrame, rows: int) -> DataFr
     return ranked.agg(rarest.alias("r")).where("r.df > 0").select("win", "n", "items", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
 
 
+def _in_place(words: DataFrame, probes: DataFrame) -> DataFrame:
+    """(doc_id, __th, start, n, items) of windows found, with few probes: each is tried where its document is read."""
+    places = words.select("doc_id", "__th", "w", F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    found = places.join(F.broadcast(probes), "word").where(start >= 0).where(start + F.col("n") <= F.size("w"))
+    found = found.where(F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("win"))
+    return found.select("doc_id", "__th", start.alias("start"), "n", "items")
+
+
+def _by_shuffle(words: DataFrame, probes: DataFrame) -> DataFrame:
+    """The same with any number of probes: words meet them by a shuffle, and what fits is tried by document."""
+    places = words.select("doc_id", "__th", F.size("w").alias("m"), "w").select("doc_id", "__th", "m", F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    tries = places.join(probes, "word").where(start >= 0).where(start + F.col("n") <= F.col("m"))
+    tries = tries.groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(F.collect_set(F.struct(start.alias("start"), "n", "win", "items")).alias("tries"))
+    joined = words.dropDuplicates(["doc_id", "__th"]).join(tries, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
+    right = F.filter("tries", lambda t: F.slice("w", t["start"] + 1, t["n"]) == t["win"])
+    return joined.select("doc_id", "__th", F.explode(right).alias("t")).select("doc_id", "__th", "t.start", "t.n", "t.items")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents plus n_words, n_hit, n_items, items_sha256 and contaminated, as op4's contract states them.
 
@@ -61,11 +81,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     text_key = F.xxhash64("text")
     words = documents.select("doc_id", text_key.alias("__th"), item_words(F.col("text")).alias("w"))
     probes = with_prefixes(windows, words, rows)
-    places = words.select("doc_id", "__th", "w", F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("at")
-    found = places.join(_dealt(probes, rows), "word").where(start >= 0).where(start + F.col("n") <= F.size("w"))
-    found = found.where(F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("win"))
-    found = found.select("doc_id", "__th", start.alias("start"), "n", "items")
+    found = _in_place(words, probes) if rows <= BROADCAST_WINDOWS else _by_shuffle(words, probes)
     hits = found.groupBy("doc_id", "__th").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("items").alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__hit_th"), covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))

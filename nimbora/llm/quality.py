@@ -152,7 +152,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     got = chosen.mapInPandas(features, "doc_id long, y int, bucket binary, weight binary, stats binary").toPandas()
     got = got.sort_values(["doc_id", "bucket"]).drop_duplicates("doc_id").reset_index(drop=True)
     if not len(got):
-        return FactorisationMachine(np.zeros((len(STATISTICS), BINS - 1), np.float32))
+        model = FactorisationMachine(np.zeros((len(STATISTICS), BINS - 1), np.float32))
+        model.v[:] = 0
+        return model
     stats = np.array([np.frombuffer(s, "<f4") for s in got.stats])
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
     model = FactorisationMachine(edges)
