@@ -100,11 +100,16 @@ def rank_among(df: DataFrame, by: Sequence[str], value: str = "v", descending: b
 
 
 def same_days_means(long: DataFrame, positions: DataFrame, by: Sequence[str] = ("location",), min_coverage: float = 0.8) -> DataFrame:
-    """(by, season_year, v, n): each season's mean over the given positions, where it has enough of them."""
-    need = positions.select("pos").distinct()
-    total = need.agg(F.count("*").alias("need"))
-    g = long.join(need, "pos", "left_semi").groupBy(*by, "season_year").agg(F.avg("v").alias("v"), F.count("v").alias("n"))
-    return g.crossJoin(F.broadcast(total)).where(F.col("n") >= min_coverage * F.col("need")).drop("need")  # one row
+    """(by, season_year, v, n): each season's mean over the given positions, where it has enough of them.
+
+    positions(pos) hold for every group, positions(by, pos) for each its own.
+    """
+    own = [c for c in by if c in positions.columns]
+    need = positions.select(*own, "pos").distinct()
+    total = need.groupBy(*own).agg(F.count("*").alias("need"))
+    g = long.join(need, [*own, "pos"], "left_semi").groupBy(*by, "season_year").agg(F.avg("v").alias("v"), F.count("v").alias("n"))
+    g = g.join(total, own) if own else g.crossJoin(F.broadcast(total))  # one row
+    return g.where(F.col("n") >= min_coverage * F.col("need")).drop("need")
 
 
 def monthly_offsets(model: DataFrame, station: DataFrame, by: Sequence[str] = ("location",), min_days: int = 10) -> DataFrame:

@@ -387,7 +387,7 @@ SELECT location, season_year, round(avg(v) + 0.0000001, 4) AS v, count(*) AS n F
 def _(spark, sf_dir):
     long = history.season_long(tb.station_days(spark, sf_dir), "winter")
     so_far = long.where("season_year = 1999 and location = '1-URGENT' and pos < 60")
-    return history.same_days_means(long, so_far).select("location", "season_year", *_r("v"), "n")
+    return history.same_days_means(long, so_far.select("pos")).select("location", "season_year", *_r("v"), "n")
 
 
 @_query("a24_window_means", f"WITH {tb.STATION} SELECT location, year(day)::INT AS year, round(avg(v) + 0.0000001, 4) AS v FROM station WHERE strftime(day, '%m-%d') BETWEEN '03-25' AND '04-07' GROUP BY ALL")
