@@ -6,6 +6,7 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from nimbora.llm.common import new_folder, table
 CHUNK_BITS = 8
 RANK_STEP = 512  # bits of a continuation bitmap between two entries of its rank directory
 BLOCK_TOKENS = 1 << 18  # a block closes when it holds so many; one longer document makes a longer block
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 350_000
 END_ID = 2
 MAGIC = b"NDAC1\0"
 
@@ -115,7 +116,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}  # pre-tokens
+        self.after_space: dict[str, list[int]] = {}  # what follows a space up to the next
+        self.older: dict[str, list[int]] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -134,7 +137,9 @@ class ChunkEncoder:
             shown = "\u0120" + piece[1:] if piece[0] == " " else piece  # as the table shows a space
         else:
             shown = piece.encode().decode("latin-1").translate(self.letters)
-        self.known[piece] = ids = [t.id for t in self.model.tokenize(shown)]
+        ids = [t.id for t in self.model.tokenize(shown)]
+        if len(piece) < 40:
+            self.known[piece] = ids
         return ids
 
     def _piece(self, piece: str) -> list[int]:
@@ -147,33 +152,39 @@ class ChunkEncoder:
             return ids + self._pre_token(piece[len(body) :]) if len(body) < len(piece) else ids
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        known, out = self.known, []
+        out = []
         for t in texts:
             if self._odd.search(t):
-                out.append(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            ids: list[int] = []
-            first = True
-            for c in t.split(" "):
-                if first:
-                    first = False
-                else:
-                    c = " " + c
-                got = known.get(c)
-                if got is None:
-                    got = self._piece(c) if c else []
-                    if len(c) < 40:
-                        known[c] = got
-                ids += got
-            out.append(ids)
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
+            first, *rest = t.split(" ")
+            got = list(map(self.after_space.get, rest))
+            if None in got:
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        got[i] = self._remember(rest[i])
+            head = self._piece(first) if first else []
+            out.append(np.fromiter(chain(head, chain.from_iterable(got)), np.uint32))
         return out
 
+    def _remember(self, word: str) -> list[int]:
+        """Ids of " word". Words not used since the memory was last full are forgotten when it is full again."""
+        if len(self.after_space) > CACHE_ENTRIES:
+            self.older, self.after_space = self.after_space, {}
+            self.known.clear()
+        ids = self.after_space.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._piece(" " + word)
+            if len(word) < 40:
+                self.after_space[word] = ids
+        return ids
+
 
-BLOCKS = "part int, block int, doc_ids binary, has_id binary, n_tokens binary, codes binary"
+BLOCKS = "part int, block int, tokens long, doc_ids binary, has_id binary, n_tokens binary, codes binary"
 
 
 def encode_blocks(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -188,25 +199,24 @@ def encode_blocks(documents: DataFrame, path: str, end_id: int = END_ID) -> Data
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, block = ChunkEncoder.of(path), TaskContext.get().partitionId(), 0
-        ids, has, lengths, held, room = [], [], [], [], 0
+        ids, has, lengths, held, room, end = [], [], [], [], 0, np.array([end_id], np.uint32)
 
         def close() -> pd.DataFrame:
             nonlocal ids, has, lengths, held, room, block
-            row = (part, block, np.array(ids, "<i8").tobytes(), np.array(has, np.uint8).tobytes(), np.array(lengths, "<i8").tobytes(), DirectCodes.encode(np.concatenate(held)).to_bytes())
+            row = (part, block, room, np.array(ids, "<i8").tobytes(), np.array(has, np.uint8).tobytes(), np.array(lengths, "<i8").tobytes(), DirectCodes.encode(np.concatenate(held)).to_bytes())
             ids, has, lengths, held, room, block = [], [], [], [], 0, block + 1
-            return pd.DataFrame([row], columns=["part", "block", "doc_ids", "has_id", "n_tokens", "codes"])
+            return pd.DataFrame([row], columns=["part", "block", "tokens", "doc_ids", "has_id", "n_tokens", "codes"])
 
         for frame in frames:
             for at in range(0, len(frame), 256):
                 some = frame.iloc[at : at + 256]
                 for doc_id, got in zip(some.doc_id, encoder.encode(some.text.tolist()), strict=True):
-                    got.append(end_id)
                     null = pd.isna(doc_id)
                     ids.append(0 if null else int(doc_id))
                     has.append(not null)
-                    lengths.append(len(got))
-                    held.append(np.array(got, np.uint32))
-                    room += len(got)
+                    lengths.append(len(got) + 1)
+                    held += [got, end]
+                    room += len(got) + 1
                     if room >= BLOCK_TOKENS:
                         yield close()
         if ids:
@@ -220,13 +230,12 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
 
     start is a sum over whole parts (one row for each task that wrote) and over the blocks of a part.
     """
-    count = F.udf(lambda b: int(np.frombuffer(b, "<i8").sum()), "long")
-    sizes = blocks.select("part", "block", count("n_tokens").alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    sizes = blocks.select("part", "block", "tokens")
+    parts = sizes.groupBy("part").agg(F.sum("tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")
-    starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("inside")).alias("start"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("tokens")
+    starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("inside")).alias("block_start"))
+    schema = "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -235,13 +244,17 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
                 ends = np.cumsum(n)
                 ids = DirectCodes.from_bytes(row.codes).decode().astype("<u4")
                 cut = [ids[e - k : e] for e, k in zip(ends, n, strict=True)]
-                out = pd.DataFrame({"doc_id": pd.array(np.frombuffer(row.doc_ids, "<i8"), "Int64"), "start": row.start + ends - n, "n_tokens": n, "ids_crc32": [zlib.crc32(c.tobytes()) for c in cut]})
-                out.loc[np.frombuffer(row.has_id, np.uint8) == 0, "doc_id"] = pd.NA
+                doc_ids = pd.array(np.frombuffer(row.doc_ids, "<i8"), "Int64")
+                doc_ids[np.frombuffer(row.has_id, np.uint8) == 0] = pd.NA
+                out = pd.DataFrame({"doc_id": doc_ids, "start": ends - n, "n_tokens": n, "ids_crc32": [zlib.crc32(c.tobytes()) for c in cut]})
+                out.insert(0, "part", row.part)
+                out.insert(1, "block", row.block)
                 if with_ids:
                     out["ids"] = [c.astype(np.int32) for c in cut]
                 yield out
 
-    return blocks.join(starts, ["part", "block"]).mapInPandas(decode, schema)
+    read = blocks.select("part", "block", "doc_ids", "has_id", "n_tokens", "codes").mapInPandas(decode, schema).join(starts, ["part", "block"])
+    return read.select("doc_id", (F.col("block_start") + F.col("start")).alias("start"), *read.columns[4 : 6 + with_ids])
 
 
 def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
