@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 from nimbora.llm.common import table
 
 MARK = "▁"
-CACHE_ENTRIES = 250_000
-SUB_BATCH = 2_000
+CACHE_ENTRIES = 300_000
+SUB_BATCH = 1_000
 LONG_WORD = 256
 #: A marked word: its marks and what follows them. No piece has a mark after another character and none has a
 #: line feed, so words encode independently of each other.
@@ -56,6 +57,7 @@ class PieceModel:
         self.lengths = {c: tuple(sorted(x | {1}, reverse=True)) for c, x in ends.items() if len(c) > 1}
         self.joins: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceModel:
@@ -80,7 +82,7 @@ class PieceModel:
         key = (a, b)
         got = self.joins.get(key)
         if got is None:
-            if len(self.joins) > 2 * CACHE_ENTRIES:
+            if len(self.joins) > CACHE_ENTRIES:
                 self.joins.clear()
             got = self.joins[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
@@ -140,18 +142,18 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         units = [UNIT.findall((MARK + t.replace(" ", MARK)) if t else "") for t in texts]
-        known = self.known
-        fresh = self.encode_words(list({u for us in units for u in us if u not in known}))
+        found = [list(map(self.known.get, us)) for us in units]
+        missing = {u for us, got in zip(units, found, strict=True) if None in got for u, ids in zip(us, got, strict=True) if ids is None}
+        fresh = {u: ids for u in missing if (ids := self.older.get(u)) is not None}
+        fresh |= self.encode_words([u for u in missing if u not in fresh])
         out = []
-        for us in units:
-            ids: list[int] = []
-            for u in us:
-                got = known.get(u)
-                ids += fresh[u] if got is None else got
-            out.append(ids)
-        if len(known) + len(fresh) > CACHE_ENTRIES:
-            known.clear()
-        known.update((k, v) for k, v in fresh.items() if len(k) < 40)
+        for us, got in zip(units, found, strict=True):
+            if None in got:
+                got = [fresh[u] if ids is None else ids for u, ids in zip(us, got, strict=True)]
+            out.append(list(chain.from_iterable(got)))
+        if len(self.known) + len(fresh) > CACHE_ENTRIES:  # what was not used since the last time is forgotten
+            self.older, self.known = self.known, {}
+        self.known.update((k, v) for k, v in fresh.items() if len(k) < 40)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -165,13 +167,17 @@ def _free(name: str, df: DataFrame) -> str:
     return name
 
 
-def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """df plus the piece ids of a text column, as the SentencePiece model at `path` encodes it.
 
-    Null and empty texts have no ids. Works on each partition by itself, without a shuffle; words are
-    remembered up to a fixed number. Raises if the column `out` exists.
+    With `decoded`, a column of that name has the text that the ids give back. Null and empty texts have no
+    ids. Works on each partition by itself, without a shuffle; words are remembered up to a fixed number.
+    Raises if a new column's name is taken.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(_free(out, df), T.ArrayType(T.IntegerType(), False))])
+    fields = [*df.schema.fields, T.StructField(_free(out, df), T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        fields.append(T.StructField(_free(decoded, df), T.StringType()))
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.of(path)
@@ -180,8 +186,11 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids"
                 batch = whole.slice(at, SUB_BATCH)
                 got = model.encode([x or "" for x in batch.column(text).to_pylist()])
                 ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-                flat = np.fromiter((i for ids in got for i in ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*batch.schema.names, out])
+                flat = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]))
+                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    new.append(pa.array([model.decode(ids) for ids in got], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -207,7 +216,7 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    df = decode_pieces(encode_pieces(docs, path).drop("text"), path)
+    df = encode_pieces(docs, path, decoded="decoded")
     return df.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
         (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"),
