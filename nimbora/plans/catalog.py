@@ -619,15 +619,23 @@ def _(spark, sf_dir):
     return df.select("event_id", "key", F.col("v").try_cast("double").alias("value")).where("value is not null")
 
 
-@_query("s12_parse_forecast_json", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m) WHERE event_id < 500 AND event_type = 'click'""")
-def _(spark, sf_dir):
-    df = tb.table(spark, sf_dir, "events").where("event_id < 500 and event_type = 'click'")
+def _parsed_forecasts(events: DataFrame) -> DataFrame:
     values = F.concat(F.lit("["), F.array_join(F.array(*[F.round(F.col("value") + h, 4).cast("string") for h in range(3)]), ","), F.lit("]"))
     body = F.format_string('{"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00", "2024-01-01T02:00"], "t_gfs": %s, "t_gfs_hr": %s, "x_other": [1, null, 2]}}', values, values)
-    got = parsers.parse_forecast_json(df.select("event_id", F.lit("a").alias("location"), body.alias("body")), "body", ["gfs", "gfs_hr"], ["t"])
+    got = parsers.parse_forecast_json(events.select("event_id", F.lit("a").alias("location"), body.alias("body")), "body", ["gfs", "gfs_hr"], ["t"])
     return got.select("event_id", "location", "model", "variable", "valid_time", *_r("value"))
 
 
+@_query("s12_parse_forecast_json", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m) WHERE event_id < 500 AND event_type = 'click'""")
+def _(spark, sf_dir):
+    return _parsed_forecasts(tb.table(spark, sf_dir, "events").where("event_id < 500 and event_type = 'click'"))
+
+
+@_query("s12_parse_forecast_json_all", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m) WHERE event_type = 'click'""")
+def _(spark, sf_dir):
+    return _parsed_forecasts(tb.table(spark, sf_dir, "events").where("event_type = 'click'"))
+
+
 @_query("f10_calendar", """SELECT DISTINCT o_orderdate::DATE AS day, (year(o_orderdate) + CASE WHEN month(o_orderdate) >= 11 THEN 1 ELSE 0 END)::INT AS winter, dayofyear(make_date(2001, month(o_orderdate), CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN 28 ELSE day(o_orderdate) END))::INT AS doy,
 CASE WHEN month(o_orderdate) >= 11 OR month(o_orderdate) <= 4 THEN (year(o_orderdate) + CASE WHEN month(o_orderdate) >= 11 THEN 1 ELSE 0 END)::INT ELSE year(o_orderdate)::INT END AS latest FROM orders""")
 def _(spark, sf_dir):

@@ -46,3 +46,10 @@ def test_runs(spark, name):
 
 def test_flagship_has_rows(spark):
     assert catalog.flagship(spark, SF).count() > 0
+
+
+def test_forecast_json_of_every_click_is_parsed(spark, duck):
+    """Three times and two models of each click event, whatever its id."""
+    clicks = duck.sql("SELECT count(*) AS n, max(event_id) AS last FROM events WHERE event_type = 'click'").df().iloc[0]
+    got = catalog.queries()["s12_parse_forecast_json_all"](spark, SF)
+    assert clicks["last"] >= 500 and got.count() == 6 * clicks["n"]
