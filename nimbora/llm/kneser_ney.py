@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by workers."""
+"""LM scoring: an interpolated modified Kneser-Ney model of a given order, counted in Spark, memory-mapped by workers."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ END, BEGIN = np.uint64(0x5EED0000E0D1), np.uint64(0x5EED0000BE61)  # keys of the
 _PAIR = np.uint64(0xFF51AFD7ED558CCD)
 FLUSH_TOKENS = 3_000_000  # a task sends its counts on when it has read so many
 SHARD_TOKENS = 1_500_000  # training tokens for each shard of the model, about
-FIELDS = ("count", "continuation", "total", "n1", "n2", "n3")  # of a word; the last four as a context
+ORDER = 3  # of op8's model
+FIELDS = ("count", "continuation", "total", "n1", "n2", "n3")  # of a gram below the top level; the last four as a context
 
 
 def local_path(folder: str) -> str:
@@ -32,8 +33,11 @@ def local_path(folder: str) -> str:
     return parts.path
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each token, key of the one before it, offsets of the texts); each text ends with the end token."""
+def tokens_of(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys of the `order` tokens that end at each token, oldest first; offsets of the texts).
+
+    Each text ends with the end token; what lies before its first token is BEGIN.
+    """
     hashes, offsets = word_hashes(texts, lower=True)
     ends = offsets[1:] + np.arange(1, len(texts) + 1)  # where each text ends with its end token
     keys = np.empty(len(hashes) + len(texts), np.uint64)
@@ -41,15 +45,22 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_end[ends - 1] = True
     keys[~is_end] = hashes >> np.uint64(64 - KEY_BITS)
     keys[is_end] = END
-    before = np.empty_like(keys)
-    before[1:] = keys[:-1]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    before[starts[starts < len(keys)]] = BEGIN
-    return keys, before, np.concatenate([starts, ends[-1:]])
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    place = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return [np.where(place >= back, np.roll(keys, back), BEGIN) for back in range(order - 1, -1, -1)], offsets
+
 
+def gram_keys(tokens: list[np.ndarray]) -> np.ndarray:
+    """Hashes of grams; that of a single word is its key."""
+    out = tokens[0]
+    for t in tokens[1:]:
+        out = mix(out * _PAIR + t)
+    return out
 
-def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + keys)
+
+def is_short(tokens: list[np.ndarray]) -> np.ndarray:
+    """Whether grams reach further back than the one BEGIN before a text: they belong to a lower level."""
+    return (tokens[0] == BEGIN) & (tokens[1] == BEGIN) if len(tokens) > 1 else np.zeros(len(tokens[0]), bool)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -65,6 +76,28 @@ def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.uint64).ravel() for p in raw.reshape(columns, -1)]
 
 
+def pack_grams(tokens: list[np.ndarray], *columns: np.ndarray) -> bytes:
+    """Grams with their columns, sorted; tokens are places in a dictionary that comes first."""
+    words, places = np.unique(np.concatenate(tokens), return_inverse=True)
+    places = places.reshape(len(tokens), -1)
+    order = np.lexsort(places[::-1])
+    known = pack(np.diff(words, prepend=np.uint64(0)))
+    return len(known).to_bytes(8, "little") + known + pack(np.diff(places[0][order], prepend=0), *places[1:, order], *(c[order] for c in columns))
+
+
+def unpack_grams(parts: list[bytes], order: int, columns: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(tokens, columns) of all parts together."""
+    rows = []
+    for data in parts:
+        end = 8 + int.from_bytes(data[:8], "little")
+        words = np.cumsum(unpack(data[8:end], 1)[0], dtype=np.uint64)
+        found = unpack(data[end:], order + columns)
+        found[0] = np.cumsum(found[0], dtype=np.uint64)
+        rows.append([*(words[f.astype(np.int64)] for f in found[:order]), *found[order:]])
+    joined = [np.concatenate(x) for x in zip(*rows, strict=True)]
+    return joined[:order], joined[order:]
+
+
 def _write(path: str, *columns: np.ndarray) -> None:
     """One file, complete or absent: a task that runs twice leaves the same bytes."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -96,27 +129,28 @@ def _by_shard(shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[i
         yield int(shards[a]), [c[a:b] for c in columns]
 
 
-def _count_pairs(bits: int):
-    """Counts of token pairs by shard, sorted by context so that they pack well."""
+def _gram_shard(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return _shard(keys, bits) if level > 1 else _word_shard(keys, bits)
+
+
+def _count_grams(order: int, bits: int):
+    """Counts of the grams that end at each token, by shard."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, room = [], 0
 
         def flush() -> pd.DataFrame:
-            keys, before = (np.concatenate(x) for x in zip(*held, strict=True))
-            pairs = pair_keys(before, keys)
-            unique, first, counts = _summed(pairs, np.ones(len(pairs)))
-            keys, before = keys[first], before[first]
-            order = np.lexsort((keys, before))
-            parts = _by_shard(_shard(unique, bits)[order], [before[order], keys[order], counts[order]])
-            return pd.DataFrame([(s, pack(np.diff(c[0], prepend=np.uint64(0)), *c[1:])) for s, c in parts], columns=["shard", "data"])
+            tokens = [np.concatenate(x) for x in zip(*held, strict=True)]
+            keys = gram_keys(tokens)
+            unique, first, counts = _summed(keys, np.ones(len(keys)))
+            parts = _by_shard(_gram_shard(unique, order, bits), [*(t[first] for t in tokens), counts])
+            return pd.DataFrame([(s, pack_grams(c[:-1], c[-1])) for s, c in parts], columns=["shard", "data"])
 
         for frame in frames:
             texts = [t.encode("utf-8", "replace") for t in frame.text]
             for a, b in pieces_of(texts, 1 << 22):
-                keys, before, _ = tokens_of(texts[a:b])
-                held.append((keys, before))
-                room += len(keys)
+                held.append(tokens_of(texts[a:b], order)[0])
+                room += len(held[-1][0])
                 if room >= FLUSH_TOKENS:
                     yield flush()
                     held, room = [], 0
@@ -126,28 +160,31 @@ def _count_pairs(bits: int):
     return run
 
 
-def _merge_pairs(folder: str, bits: int, word_bits: int):
-    """Writes a shard's sorted pair hashes with their counts; sends on what words and contexts sum up from it."""
+def _write_level(path: str, keys: np.ndarray, fields: list[np.ndarray]) -> None:
+    """Sorted keys, and for each field one byte a key; values over 254 stand in a list."""
+    big = [np.flatnonzero(f > 254) for f in fields]
+    many = [x for b, f in zip(big, fields, strict=True) for x in (b.astype(np.uint64), f[b])]
+    _write(path, np.array([len(keys), *map(len, big)], np.uint64), keys, *many, *(np.minimum(f, 255).astype(np.uint8) for f in fields))
+
+
+def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
+    """Writes a shard's sorted gram hashes with their counts (and sums as contexts); sends on what the next level sums up from it."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(d, 3) for d in frame.data]
-        before = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        words, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        pairs, first, counts = _summed(pair_keys(before, words), counts)
-        before, words = before[first], words[first]
-        big = np.flatnonzero(counts > 254)
-        _write(f"{folder}/pairs/{key[0]}", np.array([len(pairs), len(big)], np.uint64), pairs, big.astype(np.uint64), counts[big], np.minimum(counts, 255).astype(np.uint8))
-        ones = np.ones(len(pairs))
-        rows = [("", -1, [int((counts == i).sum()) for i in (1, 2, 3, 4)], b"")]
-        as_word = _summed(words, counts, ones)
-        as_context = _summed(before, counts, counts == 1, counts == 2, counts > 2)
-        zero = lambda x: np.zeros(len(x[0]), np.uint64)
-        keys = np.concatenate([as_word[0], as_context[0]])
-        columns = [np.concatenate([*c]) for c in (
-            (as_word[2], zero(as_context)), (as_word[3], zero(as_context)), *((zero(as_word), as_context[i]) for i in (2, 3, 4, 5)))]
-        unique, _, *columns = _summed(keys, *columns)
-        for s, c in _by_shard(_word_shard(unique, word_bits), [unique, *columns]):
-            rows.append(("word", s, None, pack(np.diff(c[0], prepend=np.uint64(0)), *c[1:])))
+        tokens, columns = unpack_grams(frame.data.tolist(), level, 1 if top else len(FIELDS))
+        keys, first, *columns = _summed(gram_keys(tokens), *columns)
+        tokens, full = [t[first] for t in tokens], ~is_short([t[first] for t in tokens])
+        raw = columns[0]
+        counts = raw if top else np.where(tokens[0] == BEGIN, raw, columns[1])
+        _write_level(f"{folder}/{level}/{key[0]}", keys[full], [c[full] for c in (counts, *columns[2:])])
+        rows = [("", -1, [int((counts[full] == i).sum()) for i in (1, 2, 3, 4)], b"")]
+        suffix, context, c = tokens[1:], [t[full] for t in tokens[:-1]], counts[full]
+        zero, none = np.zeros(len(raw)), np.zeros(int(full.sum()))
+        lower = [np.concatenate(x) for x in zip(suffix, context, strict=True)]
+        sums = [np.concatenate(x) for x in ((raw, none), (full, none), (zero, c), (zero, c == 1), (zero, c == 2), (zero, c > 2))]
+        unique, first, *sums = _summed(gram_keys(lower), *sums)
+        for s, c in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *sums]):
+            rows.append(("gram", s, None, pack_grams(c[: level - 1], *c[level - 1 :])))
         return pd.DataFrame(rows, columns=["kind", "shard", "seen", "data"])
 
     return run
@@ -157,9 +194,8 @@ def _merge_words(folder: str):
     """Writes a shard's sorted word hashes with their sums; gives what the whole model needs from it."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(d, 1 + len(FIELDS)) for d in frame.data]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        unique, _, *sums = _summed(keys, *(np.concatenate([p[i + 1] for p in parts]) for i in range(len(FIELDS))))
+        (keys,), columns = unpack_grams(frame.data.tolist(), 1, len(FIELDS))
+        unique, _, *sums = _summed(keys, *columns)
         _write(f"{folder}/words/{key[0]}", np.array([len(unique)], np.uint64), unique, *sums)
         count, continuation = sums[:2]
         n = [int((continuation == i).sum()) for i in (1, 2, 3, 4)] + [int((continuation > 2).sum())]
@@ -182,22 +218,27 @@ class KneserNey:
     """A model in the shared folder. Everything of the corpus's size stays in its files; workers map them."""
 
     folder: str
+    order: int
     bits: int
     word_bits: int
     tokens: int
     types: int
     pairs: int
-    low: np.ndarray  # discounts of the unigram level, and of the bigram level
-    high: np.ndarray
+    low: np.ndarray  # discounts of the unigram level, and of levels 2 to order
+    high: list[np.ndarray]
     left: float  # the unigram level's share for words never seen
 
-    def _pairs(self, shard: int):
-        path = f"{self.folder}/pairs/{shard}"
+    def _level(self, level: int, shard: int):
+        path = f"{self.folder}/{level}/{shard}"
         if not os.path.exists(path):
             return None
-        n, m = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(2,)))
-        at = lambda kind, offset, size: np.memmap(path, kind, "r", offset, (size,)) if size else np.zeros(0, kind)
-        return at(np.uint64, 16, n), at(np.uint64, 16 + 8 * n, m), at(np.uint64, 16 + 8 * n + 8 * m, m), at(np.uint8, 16 + 8 * n + 16 * m, n)
+        fields = 1 if level == self.order else len(FIELDS) - 1
+        n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
+        at, out = 8 * (1 + fields), []
+        for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
+            out.append(np.memmap(path, kind, "r", at, (size,)) if size else np.zeros(0, kind))
+            at += size * np.dtype(kind).itemsize
+        return out[0], [(out[1 + 2 * i], out[2 + 2 * i], out[1 + 2 * fields + i]) for i in range(fields)]
 
     def _words(self, shard: int):
         path = f"{self.folder}/words/{shard}"
@@ -206,22 +247,23 @@ class KneserNey:
         n = int(np.memmap(path, np.uint64, "r", shape=(1,))[0])
         return np.memmap(path, np.uint64, "r", 8, (1 + len(FIELDS), n))
 
-    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Training counts of sorted pair hashes."""
-        out = np.zeros(len(pairs), np.int64)
-        shards = _shard(pairs, self.bits)
+    def gram_sums(self, level: int, grams: np.ndarray) -> np.ndarray:
+        """(field, gram) counts, and below the top sums as a context, of sorted gram hashes; zero for grams never seen."""
+        out = np.zeros((1 if level == self.order else len(FIELDS) - 1, len(grams)), np.int64)
+        shards = _shard(grams, self.bits)
         cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
         for s in np.unique(shards):
-            found, a, b = self._pairs(s), cuts[s], cuts[s + 1]
-            if found is None:
+            found, a, b = self._level(level, s), cuts[s], cuts[s + 1]
+            if found is None or not len(found[0]):
                 continue
-            keys, big, many, counts = found
-            place = np.searchsorted(keys, pairs[a:b])
-            inside = np.minimum(place, len(keys) - 1)
-            got = np.where(keys[inside] == pairs[a:b], counts[inside], 0).astype(np.int64)
-            full = np.flatnonzero(got == 255)
-            got[full] = many[np.searchsorted(big, place[full])]
-            out[a:b] = got
+            keys, fields = found
+            place = np.minimum(np.searchsorted(keys, grams[a:b]), len(keys) - 1)
+            hit = keys[place] == grams[a:b]
+            for i, (big, many, small) in enumerate(fields):
+                got = np.where(hit, small[place], 0).astype(np.int64)
+                more = np.flatnonzero(got == 255)
+                got[more] = many[np.searchsorted(big, place[more])]
+                out[i, a:b] = got
         return out
 
     def word_sums(self, keys: np.ndarray) -> np.ndarray:
@@ -238,17 +280,24 @@ class KneserNey:
 
     def score(self, texts: list[bytes]) -> pd.DataFrame:
         """n_tokens, n_known, base_score and score (log10) of each text."""
-        keys, before, offsets = tokens_of(texts)
-        pairs, inverse = np.unique(pair_keys(before, keys), return_inverse=True)
-        counts = self.pair_counts(pairs)[inverse]
-        words, place = np.unique(np.concatenate([keys, before]), return_inverse=True)
+        tokens, offsets = tokens_of(texts, self.order)
+        keys = tokens[-1]
+        words, place = np.unique(np.concatenate(tokens[-2:]), return_inverse=True)
         sums = self.word_sums(words)
-        count, continuation = sums[:2, place[: len(keys)]]
-        total, n1, n2, n3 = sums[2:, place[len(keys) :]]
-        low = (continuation - self.low[np.minimum(continuation, 3)]) / max(self.pairs, 1) + self.left / (self.types + 1)
-        _, d1, d2, d3 = self.high
-        some = np.maximum(total, 1)
-        p = np.where(total > 0, (counts - self.high[np.minimum(counts, 3)]) / some + (d1 * n1 + d2 * n2 + d3 * n3) / some * low, low)
+        count, continuation = sums[:2, place[-len(keys) :]]
+        context = sums[2:, place[: len(keys)]]
+        p = (continuation - self.low[np.minimum(continuation, 3)]) / max(self.pairs, 1) + self.left / (self.types + 1)
+        for level, high in enumerate(self.high, 2):
+            grams, inverse = np.unique(gram_keys(tokens[-level:]), return_inverse=True)
+            counts = self.gram_sums(level, grams)[0, inverse]
+            total, n1, n2, n3 = context
+            _, d1, d2, d3 = high
+            some = np.maximum(total, 1)
+            seen = (total > 0) & ~is_short(tokens[-level:])
+            p = np.where(seen, (counts - high[np.minimum(counts, 3)]) / some + (d1 * n1 + d2 * n2 + d3 * n3) / some * p, p)
+            if level < self.order:  # the next level's contexts end one token earlier
+                grams, inverse = np.unique(gram_keys(tokens[-level - 1 : -1]), return_inverse=True)
+                context = self.gram_sums(level, grams)[1:, inverse]
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         starts = offsets[:-1]
         return pd.DataFrame({
@@ -257,12 +306,15 @@ class KneserNey:
         })
 
 
-def fit_kneser_ney(documents: DataFrame) -> KneserNey:
-    """A bigram model of all texts of documents(text); a null text is an empty one, which still has its end token.
+def fit_kneser_ney(documents: DataFrame, order: int = 2) -> KneserNey:
+    """A model of grams of up to `order` tokens of all texts of documents(text); a null text is an empty one, which still has its end token.
 
-    Pair counts are summed within tasks, cut into shards by pair hash, so that no frequent word makes a large
-    shard, and shuffled as packed arrays. An empty table gives a model that knows no word.
+    The top level and grams from the beginning of a text have counts, the others continuation counts. Gram counts
+    are summed within tasks, cut into shards by gram hash, so that no frequent word makes a large shard, and
+    shuffled as packed arrays. An empty table gives a model that knows no word.
     """
+    if order < 2:
+        raise ValueError(f"the order must be 2 at least, not {order}")
     spark = documents.sparkSession
     base = documents.select(F.coalesce("text", F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -270,18 +322,22 @@ def fit_kneser_ney(documents: DataFrame) -> KneserNey:
     word_bits = max(0, bits - 2)
     folder = new_folder(spark, "kneser-ney")
     local = local_path(folder)
-    counted = base.mapInPandas(_count_pairs(bits), "shard long, data binary")
-    merged = counted.groupBy("shard").applyInPandas(_merge_pairs(local, bits, word_bits), "kind string, shard long, seen array<long>, data binary")
-    merged.write.parquet(f"{folder}/sums", compression="none")
-    merged = spark.read.parquet(f"{folder}/sums")
-    high = merged.where("kind = ''").agg(*[F.sum(F.col("seen")[i]) for i in range(4)]).first()
-    facts = merged.where("kind = 'word'").groupBy("shard").applyInPandas(
+    grams, high = base.mapInPandas(_count_grams(order, bits), "shard long, data binary"), []
+    for level in range(order, 1, -1):
+        run = _merge_grams(local, level, level == order, bits, bits if level > 2 else word_bits)
+        merged = grams.groupBy("shard").applyInPandas(run, "kind string, shard long, seen array<long>, data binary")
+        merged.write.parquet(f"{folder}/sums-{level}", compression="none")
+        merged = spark.read.parquet(f"{folder}/sums-{level}")
+        seen = merged.where("kind = ''").agg(*[F.sum(F.col("seen")[i]) for i in range(4)]).first()
+        high.insert(0, discounts(*(x or 0 for x in seen)))
+        grams = merged.where("kind = 'gram'").select("shard", "data")
+    facts = grams.groupBy("shard").applyInPandas(
         _merge_words(local), "tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long, more long"
     )
     tokens, types, pairs, n1, n2, n3, n4, more = (x or 0 for x in facts.agg(*[F.sum(c) for c in facts.columns]).first())
     low = discounts(n1, n2, n3, n4)
     left = (low[1] * n1 + low[2] * n2 + low[3] * more) / pairs if pairs else 1.0
-    return KneserNey(local, bits, word_bits, tokens, types, pairs, low, discounts(*(x or 0 for x in high)), left)
+    return KneserNey(local, order, bits, word_bits, tokens, types, pairs, low, high, left)
 
 
 def score_texts(documents: DataFrame, model: KneserNey) -> DataFrame:
@@ -306,7 +362,7 @@ def held_out():
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_kneser_ney(documents.where(~held_out()))
+    model = fit_kneser_ney(documents.where(~held_out()), ORDER)
     return score_texts(documents, model).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),

@@ -267,6 +267,47 @@ def test_kneser_ney(spark, odd_documents, no_documents, monkeypatch):
     assert kneser_ney.score_texts(no_documents, model).count() == 0
 
 
+def test_kneser_ney_of_order_three(spark, odd_documents, no_documents, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 2_000)
+    rows = [(r.doc_id, r.text) for r in odd_documents.collect()] + [(100 + i, text(*[(i * 7 + k * k) % 23 for k in range(80)])) for i in range(20)]
+    train, test = [*rows[:-4], (400, "again " * 900)], [*rows, (500, "never seen words"), (501, "w1 w2 unseen w1 w4 w9")]
+    model = kneser_ney.fit_kneser_ney(spark.createDataFrame(train, "doc_id long, text string").repartition(3), 3)
+    tokens = lambda t: [*(t or "").encode().lower().split(), "end"]
+    grams, words = {2: Counter(), 3: Counter()}, Counter()
+    for _, t in train:
+        w = ["begin", *tokens(t)]
+        words.update(w[1:])
+        grams[3].update(zip(w, w[1:], w[2:], strict=False))
+        grams[2][w[0], w[1]] += 1
+    grams[2].update(g[1:] for g in grams[3])
+    cont = Counter(g[1] for g in grams[2])
+    total, kinds = Counter(), defaultdict(Counter)
+    for level in grams.values():
+        for g, c in level.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3)] += 1
+    low, two, three = (kneser_ney.discounts(*(Counter(x.values())[i] for i in (1, 2, 3, 4))) for x in (cont, grams[2], grams[3]))
+    left = sum(low[min(c, 3)] for c in cont.values()) / sum(cont.values())
+
+    def p(*gram):
+        if len(gram) == 1:
+            return (cont[gram[0]] - low[min(cont[gram[0]], 3)]) / sum(cont.values()) + left / (len(words) + 1)
+        d, context, lower = {2: two, 3: three}[len(gram)], gram[:-1], p(*gram[1:])
+        if not total[context]:
+            return lower
+        c = grams[len(gram)][gram]
+        return (c - d[min(c, 3)]) / total[context] + sum(d[k] * kinds[context][k] for k in (1, 2, 3)) / total[context] * lower
+
+    frequent = next(g[:2] for g, c in grams[3].items() if c > 300)
+    assert math.isclose(sum(p(*frequent, w) for w in words) + p(*frequent, "?"), 1, abs_tol=1e-9)
+    got = kneser_ney.score_texts(spark.createDataFrame(test, "doc_id long, text string").coalesce(1), model).collect()
+    for (k, t), r in zip(test, got, strict=True):
+        w = ["begin", *tokens(t)]
+        want = sum(math.log10(p(*w[max(0, i - 2) : i + 1])) for i in range(1, len(w)))
+        assert (r.doc_id, r.n_tokens) == (k, len(w) - 1) and math.isclose(r.score, want, rel_tol=1e-9)
+    assert kneser_ney.score_texts(no_documents, kneser_ney.fit_kneser_ney(no_documents, 3)).count() == 0
+
+
 # ---- fingerprints ----
 
 
