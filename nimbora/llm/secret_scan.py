@@ -131,18 +131,26 @@ class SecretForest:
 
 
 def with_secrets(df: DataFrame, forest: SecretForest, text: str = "text", path: str | None = None, out: str = "secrets", least: float = 0.5) -> DataFrame:
-    """df plus `out`: an array of (kind, value, place, score) of the secrets in a text, in the order of their places.
+    """df plus `out`: an array of (kind, value, place, score, places) of the secrets in a text, in the order of their places.
 
-    A candidate is judged once for each distinct value, with the 40 characters on either side of its first
-    occurrence. Null and empty texts have none. `place` is the 1-based place of the first occurrence.
+    Every occurrence of a candidate is judged with the 40 characters on either side of it; a candidate is a secret
+    when any of its occurrences is judged real. `score` is the highest of them, `places` are the 1-based places of
+    all occurrences and `place` is the first of these. `n_candidates` counts occurrences. Null and empty texts have none.
     """
     kept = df.columns
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = F.when(body.rlike(PATTERN), F.array_distinct(F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    found = F.when(body.rlike(PATTERN), F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    def context(c: Column) -> Column:
-        place = F.call_function("locate", c, body)
+    def placed(gaps: Column, found: Column) -> Column:
+        """(found, place) of all occurrences, from the texts between them."""
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, c: F.struct(F.char_length(g).alias("gap"), F.char_length(c).alias("own")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
+        step = lambda x, y: F.struct((x["at"] + y["gap"] + y["own"]).alias("at"), F.concat(x["places"], F.array(x["at"] + y["gap"])).alias("places"))
+        return F.zip_with(found, F.aggregate(sizes, start, step)["places"], lambda c, place: F.struct(c.alias("found"), place.alias("place")))
+
+    def context(o: Column) -> Column:
+        c, place = o["found"], o["place"]
         return F.struct(
             c.alias("found"), value_of(c).alias("value"), place.alias("place"),
             F.substr(body, F.greatest(place - 40, F.lit(1)), F.least(place - 1, F.lit(40))).alias("before"), F.substr(body, place + F.char_length(c), F.lit(40)).alias("after"),
@@ -153,18 +161,29 @@ def with_secrets(df: DataFrame, forest: SecretForest, text: str = "text", path:
         for name, pattern in reversed([*KINDS.items()][:-1]):
             kind = F.when(c["found"].rlike(f"^(?:{pattern})"), name).otherwise(kind)
         numbers = F.array(*[f.cast("double") for f in features(c["value"], c["before"], c["after"], where)])
-        return F.struct(kind.alias("kind"), c["value"].alias("value"), c["place"].alias("place"), numbers.alias("numbers"))
+        return F.struct(c["found"].alias("found"), kind.alias("kind"), c["value"].alias("value"), c["place"].alias("place"), numbers.alias("numbers"))
 
     def judged(c: Column) -> Column:
         score = forest.score([F.get(c["numbers"], F.lit(i)) for i in range(len(FEATURES))])
-        return F.struct(c["kind"].alias("kind"), c["value"].alias("value"), c["place"].alias("place"), score.alias("score"))
+        return F.struct(c["found"].alias("found"), c["kind"].alias("kind"), c["value"].alias("value"), c["place"].alias("place"), score.alias("score"))
+
+    def together(c: Column) -> Column:
+        """A real candidate with all its occurrences."""
+        own = F.filter("__found", lambda o: o["found"] == c)
+        first = F.get(own, F.lit(0))
+        return F.struct(
+            first["kind"].alias("kind"), first["value"].alias("value"), first["place"].alias("place"),
+            F.array_max(F.transform(own, lambda o: o["score"])).alias("score"), F.transform(own, lambda o: o["place"]).alias("places"),
+        )
 
-    df = df.select(*kept, found.alias("__found"))
+    df = df.select(*kept, found.alias("__found"), F.when(body.rlike(PATTERN), F.split(body, PATTERN, -1)).otherwise(F.array().cast("array<string>")).alias("__gaps"))
+    df = df.select(*kept, placed(F.col("__gaps"), F.col("__found")).alias("__found"))
     df = df.select(*kept, F.transform("__found", context).alias("__found"))
     df = df.select(*kept, F.transform("__found", named).alias("__found"))
     df = df.select(*kept, F.transform("__found", judged).alias("__found"))
-    real = F.filter("__found", lambda c: c["score"] >= least)
-    return df.select(*kept, F.array_sort(real, lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)).alias(out), F.size("__found").cast("long").alias("n_candidates"))
+    real = F.array_distinct(F.transform(F.filter("__found", lambda c: c["score"] >= least), lambda c: c["found"]))
+    df = df.select(*kept, "__found", real.alias("__real"))
+    return df.select(*kept, F.array_sort(F.transform("__real", together), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)).alias(out), F.size("__found").cast("long").alias("n_candidates"))
 
 
 def redacted(text: Column, secrets: Column) -> Column:
