@@ -9,6 +9,7 @@ from nimbora.llm.common import table, words_of
 
 SHINGLE = 5
 FRACTION = 1 / 8  # of the hash space that a sketch retains
+DOCUMENT_FRACTION = 1 / 2  # of op10's sketches: 1/8 leaves too few hashes of texts of a few dozen words
 #: Ids of one block are ordered in one task; only the ends of blocks meet in one place.
 ID_BLOCK_BITS = 16
 
@@ -23,7 +24,8 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
 
     The limit depends on nothing but the fraction, so sketches merge by union and the sketch of a part is
     comparable with that of a much longer whole. A text of fewer words is one shingle. A text none of whose
-    hashes lies below the limit keeps its smallest one; null and blank texts have an empty sketch.
+    hashes lies below the limit keeps its smallest one, which is compared with other such texts only; null and
+    blank texts have an empty sketch.
     """
     kept = df.columns
     h, n = F.col("__h"), F.size("__h")
@@ -35,20 +37,35 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
     return df.select(*kept, F.array_sort(F.array_distinct("__g")).alias(out))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; two empty ones are alike."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+def _comparable(a: Column, b: Column, fraction: float) -> tuple[Column, Column]:
+    """The hashes below the limit, or the smallest ones of two sketches that have none there."""
+    inside = lambda x: F.filter(x, lambda h: h < limit_of(fraction))
+    neither = (F.size(inside(a)) == 0) & (F.size(inside(b)) == 0)
+    return F.when(neither, a).otherwise(inside(a)), F.when(neither, b).otherwise(inside(b))
+
+
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated Jaccard similarity of two sketches of this fraction; two empty ones are alike."""
+    x, y = _comparable(a, b, fraction)
+    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; an empty sketch is contained in everything."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has; an empty sketch is contained in everything.
+
+    Null where a has no hash below the limit and b has: nothing of a can be looked up in b.
+    """
+    x, y = _comparable(a, b, fraction)
+    return F.when(F.size(a) == 0, 1.0).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.lit(1)))
 
 
-def merge_sketches(df: DataFrame, by: list[str], sketch: str) -> DataFrame:
+def merge_sketches(df: DataFrame, by: list[str], sketch: str, fraction: float = FRACTION) -> DataFrame:
     """One sketch for each group: that of all its texts together. Hashes are pre-aggregated before the shuffle."""
-    return df.select(*by, F.explode(sketch).alias("__x")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("__x")).alias(sketch))
+    hashes = df.select(*by, F.explode(sketch).alias("__x")).distinct()
+    inside = F.collect_list(F.when(F.col("__x") < limit_of(fraction), F.col("__x")))
+    merged = hashes.groupBy(*by).agg(inside.alias("__in"), F.min("__x").alias("__least"))
+    return merged.select(*by, F.when(F.size("__in") > 0, F.array_sort("__in")).otherwise(F.array("__least")).alias(sketch))
 
 
 def as_text(sketch: Column) -> Column:
@@ -73,7 +90,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
     return own.join(across, "__block").select("rid", "th", nxt["rid"].alias("next_rid"), nxt["th"].alias("next_th"))
 
 
-def fingerprint_with_edits(documents: DataFrame, fraction: float = FRACTION) -> DataFrame:
+def fingerprint_with_edits(documents: DataFrame, fraction: float = DOCUMENT_FRACTION) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses, as op10's contract states them.
 
     documents(doc_id, text). A null text is empty. A null doc_id orders after all others. Rows that share a
@@ -97,7 +114,7 @@ def fingerprint_with_edits(documents: DataFrame, fraction: float = FRACTION) ->
     return df.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), fraction).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), fraction).alias("near_next"),
         "next_doc_id",
     )
 

@@ -349,6 +349,22 @@ def test_sketches_estimate_containment_and_merge(spark):
     assert 400 < len(one) < 850
 
 
+def test_short_texts_keep_enough_hashes(spark):
+    rows = [(i, text(*range(i * 20, i * 20 + 20))) for i in range(300)]
+    got = fingerprints.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.near_edited == 0 for r in got) < 15 and 0.3 < sum(r.near_edited for r in got) / len(got) < 0.48
+
+
+def test_hashes_above_the_limit_meet_only_each_other(spark):
+    low, high = -(2**63) + 5, 2**62
+    df = spark.createDataFrame([(1, [high], [high]), (2, [high], [low, high]), (3, [low], [low, high]), (4, [], [low]), (5, [high], [high + 1])], "id long, a array<long>, b array<long>")
+    a, b = F.col("a"), F.col("b")
+    got = {r.id: (r.near, r.inside) for r in df.select("id", fingerprints.likeness(a, b).alias("near"), fingerprints.containment(a, b).alias("inside")).collect()}
+    assert got == {1: (1, 1), 2: (0, None), 3: (1, 1), 4: (0, 1), 5: (0, 0)}
+    rows = spark.createDataFrame([(1, [high]), (1, [low]), (2, [high + 1]), (2, [high])], "id long, s array<long>")
+    assert {r.id: r.s for r in fingerprints.merge_sketches(rows, ["id"], "s").collect()} == {1: [low], 2: [high]}
+
+
 def test_all_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
