@@ -461,12 +461,12 @@ def _(spark, sf_dir):
 
 @_query("m7_sen_slope_range")
 def _(spark, sf_dir):
-    return resampling.sen_slope_range(_half_years(spark, sf_dir), n_boot=400)
+    return resampling.sen_slope_range(_half_years(spark, sf_dir))
 
 
 @_query("f19_trend_statement")
 def _(spark, sf_dir):
-    return resampling.trend_statement(resampling.sen_slope_range(_half_years(spark, sf_dir), n_boot=400))
+    return resampling.trend_statement(resampling.sen_slope_range(_half_years(spark, sf_dir)))
 
 
 @_query("m8_detrend", f"WITH {tb.STATION}, {_YEARLY}, l AS (SELECT location, regr_slope(v, year) AS s, regr_intercept(v, year) AS i FROM y GROUP BY 1) SELECT location, year, round(v - i - s * year + 0.0000001, 4) AS v FROM y JOIN l USING (location)")
@@ -476,7 +476,7 @@ def _(spark, sf_dir):
 
 @_query("m9_permutation_test")
 def _(spark, sf_dir):
-    return resampling.permutation_test(_half_years(spark, sf_dir).withColumn("in_a", F.col("year") % 2 == 0), n_perm=1000)
+    return resampling.permutation_test(_half_years(spark, sf_dir).withColumn("in_a", F.col("year") % 2 == 0))
 
 
 _ENSO = "CASE WHEN anom <= -1 THEN 0 WHEN anom <= -0.5 THEN 1 WHEN anom < 0.5 THEN 2 WHEN anom < 1 THEN 3 ELSE 4 END"

@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+import inspect
+
 import duckdb
 import pandas as pd
 import pytest
@@ -53,3 +55,16 @@ def test_forecast_json_of_every_click_is_parsed(spark, duck):
     clicks = duck.sql("SELECT count(*) AS n, max(event_id) AS last FROM events WHERE event_type = 'click'").df().iloc[0]
     got = catalog.queries()["s12_parse_forecast_json_all"](spark, SF)
     assert clicks["last"] >= 500 and got.count() == 6 * clicks["n"]
+
+
+def test_resampling_runs_the_whole_number_of_rounds(spark, monkeypatch):
+    """The registered queries leave the numbers of rounds at the operators' defaults, which are the reference's."""
+    asked = []
+    for name in ("sen_slope_range", "permutation_test"):
+        f = getattr(catalog.resampling, name)
+        monkeypatch.setattr(catalog.resampling, name, lambda df, f=f, **options: asked.append(inspect.signature(f).bind(df, **options)) or f(df, **options))
+    for name in ("m7_sen_slope_range", "f19_trend_statement", "m9_permutation_test"):
+        catalog.queries()[name](spark, SF)
+    for bound in asked:
+        bound.apply_defaults()
+    assert [x.arguments.get("n_boot", x.arguments.get("n_perm")) for x in asked] == [2000, 2000, 5000]
