@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary one if Spark runs in one process; on a cluster that would be another folder on
+    each machine, and raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="nimbora-")
             spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -42,6 +53,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than this part of all rows is joined by broadcast; there are fewer such keys than this.
+HEAVY_PARTS = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row a key and in column `count` how many of the `total` rows the key has.
+
+    Keys with more than a thousandth of all rows, fewer than 1,000 whatever the size of the data, are broadcast, so
+    that no key makes one large task; all others meet by an equi-join.
+    """
+    heavy = F.col(count) * HEAVY_PARTS > total
+    some = rows.join(F.broadcast(facts.where(heavy)), on)
+    return some.unionByName(rows.join(F.broadcast(facts.where(heavy).select(*on)), on, "left_anti").join(facts.where(~heavy), on))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -122,6 +148,71 @@ def pieces_of(texts: list[bytes], most: int = 1 << 20):
         yield at, len(texts)
 
 
+# ---- ids of remembered words ----
+
+
+class WordRows:
+    """What words encode to: a row of ids for each word that is remembered, in flat arrays."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.start = self.length
+
+    def add(self, ids: list[list[int]]) -> np.ndarray:
+        """Appends rows; their numbers."""
+        first = len(self.length)
+        own = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(own) - own])
+        self.length = np.concatenate([self.length, own])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(own.sum()))])
+        return first + np.arange(len(ids))
+
+    def of(self, words: list[str], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """The rows of words, of which those not yet known are encoded first."""
+        found = list(map(self.rows.get, words))
+        if None in found:
+            fresh = [w for w, r in zip(words, found, strict=True) if r is None]
+            self.rows |= zip(fresh, self.add(encode(fresh)).tolist(), strict=True)
+            found = list(map(self.rows.get, words))
+        return np.array(found, np.int64)
+
+    def shrink(self, rows: int) -> None:
+        """Forgets the rows from this number on."""
+        self.flat = self.flat[: self.start[rows] if rows < len(self.start) else len(self.flat)]
+        self.length, self.start = self.length[:rows], self.start[:rows]
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these rows one after another, how many each has)."""
+        n = self.length[rows]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[rows] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(where each text's words begin, with the end; each word's place among the distinct words; these), cut at single spaces."""
+    split = pc.split_pattern(column, " ")
+    coded = split.flatten().dictionary_encode()
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+# ---- packed columns, for shuffles of many small values ----
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as compressed byte planes."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    raw = b"".join(planes)
+    return len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.uint64).ravel() for p in raw.reshape(columns, -1)]
+
+
 # ---- connected components ----
 
 
