@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbora.functions import scalar
 from nimbora.functions import time as ft
 
 BLEND = "blend"
@@ -20,8 +22,8 @@ def inverse_power(power: float = POWER, floor: float = MAE_FLOOR) -> Weight:
     return lambda mae: F.lit(1.0) / F.pow(F.greatest(mae, F.lit(floor)), F.lit(power))
 
 
-def softmax(scale: float = 0.7) -> Weight:
-    return lambda mae: F.exp(-mae / F.lit(scale))
+def softmax(scale: float = 0.7, floor: float = MAE_FLOOR) -> Weight:
+    return lambda mae: F.exp(-F.greatest(mae, F.lit(floor)) / F.lit(scale))
 
 
 #: The weightings of the sweep: how a member's past error becomes its weight.
@@ -34,16 +36,16 @@ def with_part_of_day(df: DataFrame) -> DataFrame:
     return df if "part_of_day" in df.columns else df.withColumn("part_of_day", ft.part_of_day(F.col("valid_time")))
 
 
-def _coefficients(train: DataFrame, keys: list[str], min_train: int, weight: Weight) -> DataFrame:
+def _coefficients(train: DataFrame, keys: list[str], min_train: int) -> DataFrame:
     coef = train.groupBy(*keys).agg(F.avg("error").alias("bias"), F.avg("abs_error").alias("mae"), F.count("error").alias("n"))
-    return coef.where(F.col("n") >= min_train).withColumn("weight", weight(F.col("mae")))
+    return coef.where(F.col("n") >= min_train)
 
 
 def learn_coefficients(pairs: DataFrame, asof: Column, by: Sequence[str] = ("location",), window_days: int = WINDOW_DAYS, min_train: int = MIN_TRAIN, weight: Weight | None = None) -> DataFrame:
     """Bias and weight of each model, lead and part of the day from the window of days before `asof`."""
     t = F.unix_micros("valid_time")
     train = pairs.where((t < F.unix_micros(asof)) & (t >= F.unix_micros(asof) - window_days * 86_400_000_000))
-    return _coefficients(with_part_of_day(train), [*by, *KEYS], min_train, weight or inverse_power())
+    return _coefficients(with_part_of_day(train), [*by, *KEYS], min_train).withColumn("weight", (weight or inverse_power())(F.col("mae")))
 
 
 def _combined(df: DataFrame, keys: list[str], min_members: int) -> DataFrame:
@@ -57,8 +59,9 @@ def block_start(ts: Column, block: str) -> Column:
     return F.date_trunc(block, ts)
 
 
-def walk_forward(pairs: DataFrame, by: Sequence[str] = ("location",), window_days: int = WINDOW_DAYS, min_train: int = MIN_TRAIN, min_members: int = MIN_MEMBERS, weight: Weight | None = None, block: str = "month", regime: Sequence[str] = ("part_of_day",), top_n: int | None = None) -> DataFrame:
-    """Out-of-sample blend pairs: what is issued in a block of time is blended with what was learned before the block began.
+def trained_members(pairs: DataFrame, by: Sequence[str] = ("location",), window_days: int = WINDOW_DAYS, min_train: int = MIN_TRAIN, block: str = "month", regime: Sequence[str] = ("part_of_day",)) -> DataFrame:
+    """pairs plus the bias and mae that each one's model had shown before the block of time began in which it was issued, and its rank by mae among those that
+    forecast the same hour.
 
     There is no loop over blocks: each training pair is copied to the starts of those blocks whose window it
     lies in (a handful), and one aggregation learns all blocks' coefficients.
@@ -73,11 +76,18 @@ def walk_forward(pairs: DataFrame, by: Sequence[str] = ("location",), window_day
     train = train.join(blocks, "block", "left_semi")
     inside = F.unix_micros("block") - F.unix_micros("valid_time")
     train = train.where((inside > 0) & (inside <= window_days * 86_400_000_000))
-    coef = _coefficients(train, ["block", *keys], min_train, weight or inverse_power())
+    coef = _coefficients(train, ["block", *keys], min_train)
+    members = df.withColumn("block", block_start(F.col("issued_at"), block)).join(coef.select("block", *keys, "bias", "mae"), ["block", *keys])
+    forecast = Window.partitionBy(*by, "issued_at", "valid_time", "lead_day").orderBy("mae", "model")  # one row a model
+    return members.withColumn("rank", F.row_number().over(forecast))
+
+
+def walk_forward(pairs: DataFrame, by: Sequence[str] = ("location",), min_members: int = MIN_MEMBERS, weight: Weight | None = None, top_n: int | None = None, **learn) -> DataFrame:
+    """Out-of-sample blend pairs: what is issued in a block of time is blended with what was learned before the block began (see trained_members)."""
+    test = trained_members(pairs, by, **learn)
     if top_n:
-        rank = F.row_number().over(Window.partitionBy("block", *[k for k in keys if k != "model"]).orderBy("mae", "model"))
-        coef = coef.withColumn("rank", rank).where(F.col("rank") <= top_n)
-    test = df.withColumn("block", block_start(F.col("issued_at"), block)).join(coef.select("block", *keys, "bias", "weight"), ["block", *keys])
+        test = test.where(F.col("rank") <= top_n)
+    test = test.withColumn("weight", (weight or inverse_power())(F.col("mae")))
     out = _combined(test, [*by, "issued_at", "valid_time", "lead_day"], min_members)
     out = out.withColumns({"model": F.lit(BLEND), "source": F.lit("blend"), "error": F.col("value") - F.col("observed")})
     return out.withColumn("abs_error", F.abs("error"))
@@ -106,14 +116,31 @@ def band_coverage(pairs: DataFrame, by: Sequence[str] = ("location",), level: fl
     return test.groupBy(*by).agg(F.avg(F.col("error").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"), F.count("*").alias("n"))
 
 
-def weighting_sweep(pairs: DataFrame, by: Sequence[str] = ("location",), **walk) -> DataFrame:
-    """(by, scheme, n, mae) of every weighting, and of the best three and the best one model."""
-    schemes = {name: {"weight": w} for name, w in WEIGHTINGS.items()} | {"top-3": {"top_n": 3}, "best-1": {"top_n": 1, "min_members": 1}}
-    out = None
-    for name, options in schemes.items():
-        one = walk_forward(pairs, by, **(walk | options)).groupBy(*by).agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae")).withColumn("scheme", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def weighting_sweep(pairs: DataFrame, by: Sequence[str] = ("location",), min_members: int = MIN_MEMBERS, **walk) -> DataFrame:
+    """(by, scheme, n, mae) of every weighting, and of the best three and the best one model.
+
+    What the members have learned doesn't depend on the weighting: one pass learns it, and one aggregation combines
+    the members under all schemes.
+    """
+    members = trained_members(pairs, by, **walk)
+    keys = [*by, "issued_at", "valid_time", "lead_day"]
+    schemes = {name: (w(F.col("mae")), min_members) for name, w in WEIGHTINGS.items()}
+    schemes |= {"top-3": (F.when(F.col("rank") <= 3, inverse_power(1.0)(F.col("mae"))), min_members), "best-1": (F.when(F.col("rank") == 1, F.lit(1.0)), 1)}
+    weights = F.explode(F.array(*[F.struct(F.lit(name).alias("scheme"), w.alias("weight"), F.lit(least).alias("least")) for name, (w, least) in schemes.items()])).alias("s")
+    rows = members.select(*keys, "value", "observed", "bias", weights).select("*", "s.*").where("weight is not null")
+    blended = _combined(rows, [*keys, "scheme", "least"], 1).where(F.col("n_members") >= F.col("least"))
+    return blended.groupBy(*by, "scheme").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("observed"))).alias("mae")).select(*by, "n", "mae", "scheme")
+
+
+#: What a model's past errors are parted by in the sweep over regimes.
+REGIMES: dict[str, Sequence[str]] = {"none": (), "season": ("season",), "part_of_day": ("part_of_day",), "forecast": ("forecast_bin",)}
+
+
+def regime_sweep(pairs: DataFrame, by: Sequence[str] = ("location",), regimes: dict[str, Sequence[str]] = REGIMES, **walk) -> DataFrame:
+    """(by, regime, scheme, n, mae) of every weighting under every way to part the past errors."""
+    df = with_part_of_day(pairs).withColumns({"season": ft.season_of_year(F.col("valid_time")), "forecast_bin": scalar.temperature_bin(F.col("value"))})
+    parts = [weighting_sweep(df, by, regime=columns, **walk).withColumn("regime", F.lit(name)) for name, columns in regimes.items()]
+    return reduce(DataFrame.unionByName, parts).select(*by, "regime", "scheme", "n", "mae")
 
 
 def with_band(rows: DataFrame, band: DataFrame, by: Sequence[str] = ("location",)) -> DataFrame:

@@ -86,17 +86,37 @@ def doy_climatology(daily: DataFrame, years: tuple[int, int], window: int = 7, q
     return out.join(total, list(by)) if by else out.crossJoin(F.broadcast(total))  # one row
 
 
+def _number(name: str) -> Column:
+    """Whether a column holds a finite number."""
+    inf = float("inf")
+    return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(F.col(name)) != F.lit(inf))
+
+
 def percentile_rank(values: DataFrame, reference: DataFrame, keys: Sequence[str], value: str = "v", ref: str = "ref") -> DataFrame:
-    """values plus pct: the share of the reference with the same keys that lies below, ties as half."""
-    joined = values.join(reference.where(F.col(ref).isNotNull() & ~F.isnan(ref)), list(keys))
-    share = (F.count_if(F.col(ref) < F.col(value)) + 0.5 * F.count_if(F.col(ref) == F.col(value))) * 100.0 / F.count("*")
-    return joined.groupBy(*values.columns).agg(share.alias("pct"))
+    """values plus pct: the share of the reference with the same keys that lies below, ties as half.
+
+    Every row stays, equal ones each; pct is null for a value that is no finite number and where there is nothing
+    to compare with. The references are counted by distinct value before they are shuffled, and one running sum
+    over the distinct numbers of a key gives all shares, so the work doesn't grow with rows times references.
+    """
+    counts = reference.where(_number(ref)).groupBy(*keys, (F.col(ref).cast("double") + 0.0).alias("__x")).agg(F.count("*").alias("__n"))
+    asked = values.where(_number(value)).select(*keys, (F.col(value).cast("double") + 0.0).alias("__x")).distinct().withColumn("__n", F.lit(0).cast("long"))
+    grid = counts.unionByName(asked).groupBy(*keys, "__x").agg(F.sum("__n").alias("__n"))
+    below = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__x")) - F.col("__n")
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    share = F.when(total > 0, (below + 0.5 * F.col("__n")) * 100.0 / total)
+    found = grid.select(*keys, "__x", share.alias("pct"))
+    return values.withColumn("__x", F.when(_number(value), F.col(value).cast("double") + 0.0)).join(found, [*keys, "__x"], "left").select(*values.columns, "pct")
 
 
 def rank_among(df: DataFrame, by: Sequence[str], value: str = "v", descending: bool = True) -> DataFrame:
-    """df plus rank and out_of within its group; ties share the better rank."""
+    """df plus rank and out_of among the finite numbers of its group, null for any other value; ties share the better rank."""
+    group = [*by, "__number"]
     order = F.desc(value) if descending else F.asc(value)
-    return df.withColumns({"rank": F.rank().over(Window.partitionBy(*by).orderBy(order)), "out_of": F.count("*").over(Window.partitionBy(*by))})
+    df = df.withColumn("__number", _number(value))
+    only = lambda c: F.when(F.col("__number"), c)
+    ranked = df.withColumns({"rank": only(F.rank().over(Window.partitionBy(*group).orderBy(order))), "out_of": only(F.count("*").over(Window.partitionBy(*group)))})
+    return ranked.drop("__number")
 
 
 def same_days_means(long: DataFrame, positions: DataFrame, by: Sequence[str] = ("location",), min_coverage: float = 0.8) -> DataFrame:
@@ -131,7 +151,7 @@ def _difference(model: DataFrame, station: DataFrame, by: Sequence[str]) -> Data
 def apply_offsets(model: DataFrame, offsets: DataFrame, by: Sequence[str] = ("location",)) -> DataFrame:
     """The model's series with the offsets added, interpolated between mid-months round the year's end."""
     knots = offsets.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "offset"))), lambda x: x["offset"]).alias("k"))  # 12 values
-    df = model.join(F.broadcast(knots), list(by)) if by else model.crossJoin(F.broadcast(knots))
+    df = model.join(knots, list(by)) if by else model.crossJoin(knots)  # without groups one row
     days = F.array(*[F.lit(d) for d in MID_MONTH])
     doy = ft.day_of_year(F.col("day"))
     doy = F.when(doy < MID_MONTH[0], doy + 365).otherwise(doy)
@@ -247,7 +267,7 @@ def enso_composite(anomalies: DataFrame, winters: DataFrame, by: Sequence[str] =
 def deseasonalised(df: DataFrame, value: str, by: Sequence[str] = ("location",)) -> DataFrame:
     """df with its calendar month's mean taken off the value."""
     months = df.groupBy(*by, F.month("day").alias("__m")).agg(F.avg(value).alias("__mean"))
-    return df.withColumn("__m", F.month("day")).join(F.broadcast(months) if not by else months, [*by, "__m"]).withColumn(value, F.col(value) - F.col("__mean")).drop("__m", "__mean")
+    return df.withColumn("__m", F.month("day")).join(months, [*by, "__m"]).withColumn(value, F.col(value) - F.col("__mean")).drop("__m", "__mean")
 
 
 def adjusted_band_coverage(model: DataFrame, station: DataFrame, by: Sequence[str] = ("location",), window: int = 7, low: float = 0.1, high: float = 0.9, train: float = 0.7, smooth: int = 1) -> DataFrame:
@@ -258,13 +278,15 @@ def adjusted_band_coverage(model: DataFrame, station: DataFrame, by: Sequence[st
     if smooth > 1:
         model, station = running_mean(model, by, smooth), running_mean(station, by, smooth)
     both = _difference(model, station, by)
-    days = both.groupBy(*by).agg(F.array_sort(F.collect_list("day")).alias("days")).where(F.size("days") >= 120)  # one series' days
-    cut = days.select(*by, F.get("days", F.floor(F.size("days") * F.lit(train)).cast("int")).alias("cut"), F.year(F.element_at("days", -1)).alias("to_year"))
-    early = lambda df: df.join(F.broadcast(cut), list(by)).where("day < cut").drop("cut", "to_year")
+    spans = both.groupBy(*by).agg(F.count("*").alias("n")).where("n >= 120")
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("day")) - 1
+    placed = both.select(*by, "day", nth.alias("nth")).join(spans, list(by))
+    cut = placed.where(F.col("nth") == F.floor(F.col("n") * F.lit(train))).select(*by, F.col("day").alias("cut"))
+    early = lambda df: df.join(cut, list(by)).where("day < cut").drop("cut")
     adjusted = apply_offsets(model, monthly_offsets(early(model), early(station), by), by)
-    test = both.join(F.broadcast(cut), list(by)).where("day >= cut")
+    test = both.join(cut, list(by)).where("day >= cut")
     years = test.groupBy(*by).agg(F.min(F.year("day")).alias("y0"), F.max(F.year("day")).alias("y1"))
-    pool = adjusted.join(F.broadcast(years), list(by)).where(F.year("day").between(F.col("y0"), F.col("y1")) & F.col("v").isNotNull())
+    pool = adjusted.join(years, list(by)).where(F.year("day").between(F.col("y0"), F.col("y1")) & F.col("v").isNotNull())
     pool = around_day(pool.select(*by, ft.day_of_year(F.col("day")).alias("__k"), "v"), "__k", window, "doy")
     q = pool.groupBy(*by, "doy").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
     scored = test.withColumn("doy", ft.day_of_year(F.col("day"))).join(q, [*by, "doy"])

@@ -262,3 +262,66 @@ def test_hours_between_readings(spark):
 def test_content_equality(spark):
     a = spark.range(5)
     assert series.same_content(a, spark.range(5)) and not series.same_content(a, spark.range(4))
+
+
+def test_percentile_rank_of_odd_values(spark):
+    """Nulls, NaN and rows without a pool stay without a percentile; equal rows stay apart; NaN is no reference."""
+    nan = float("nan")
+    values = frame(spark, [("a", 1, 2.0), ("a", 2, 2.0), ("a", 2, 2.0), ("a", 3, None), ("a", 4, nan), ("b", 5, 1.0), ("a", 6, 9.0), ("a", 7, -1.0), ("a", 8, 2.5), (None, 9, 1.0)], "k string, i int, v double")
+    refs = frame(spark, [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 3.0), ("a", nan), ("a", None), ("c", 1.0)], "k string, ref double")
+    got = sorted((r.i, r.pct) for r in history.percentile_rank(values, refs, ["k"]).collect())
+    assert got == [(1, 50.0), (2, 50.0), (2, 50.0), (3, None), (4, None), (5, None), (6, 100.0), (7, 0.0), (8, 75.0), (9, None)]
+
+
+def test_rank_leaves_out_what_is_no_number(spark):
+    df = frame(spark, [("a", 1, 3.0), ("a", 2, float("nan")), ("a", 3, None), ("a", 4, 5.0), ("a", 5, 3.0), ("b", 6, None)], "k string, i int, v double")
+    got = {r.i: (r["rank"], r.out_of) for r in history.rank_among(df, ["k"]).collect()}
+    assert got == {4: (1, 3), 1: (2, 3), 5: (2, 3), 2: (None, None), 3: (None, None), 6: (None, None)}
+
+
+def test_statement_of_nothing_is_unknown(spark):
+    schema = "k string, slope double, lo double, hi double"
+    got = resampling.trend_statement(frame(spark, [], schema)).first()
+    assert (got.verdict, got.min_slope, got.n_sources) == ("unknown", None, 0)
+    rows = [("up", 0.3, 0.1, 0.5), ("up", 0.2, 0.1, 0.4), ("down", -0.3, -0.5, -0.1), ("mixed", 0.3, 0.1, 0.5), ("mixed", 0.1, -0.1, 0.4), ("none", None, None, None), ("one", 0.2, 0.1, 0.3), ("one", None, None, None)]
+    got = {r.k: (r.verdict, r.n_sources) for r in resampling.trend_statement(frame(spark, rows, schema), ["k"]).collect()}
+    assert got == {"up": ("warming", 2), "down": ("cooling", 1), "mixed": ("no clear trend", 2), "none": ("unknown", 0), "one": ("warming", 1)}
+
+
+def test_small_cells_are_compared_when_asked(spark):
+    """With a smaller min_n, models of 12 rows compare too, and the best is the ranking's best."""
+    rows = [("a", m, at(24 * d), at(24 * d + 12), e + 0.01 * (d % 3)) for m, e in (("x", 0.5), ("y", 2.0), ("z", 3.0)) for d in range(12)]
+    pairs = frame(spark, rows, "location string, model string, issued_at timestamp, valid_time timestamp, abs_error double")
+    got = verification.rank_with_ties(pairs, ["location"], min_n=5).first()
+    assert (got.model, got.runner_up, got.tied, got.decisive) == ("x", "y", ["x"], True) and abs(got.margin - 1.5) < 1e-9
+    assert verification.rank_with_ties(pairs, ["location"]).count() == 0
+
+
+def test_rounds_are_those_of_one_draw_after_another():
+    """Matrices of draws give the numbers that draws one by one give."""
+    rng, seeds = np.random.default_rng(0), np.random.default_rng(0)
+    assert (rng.integers(0, 7, (50, 5)) == [seeds.choice(np.arange(7), 5) for _ in range(50)]).all()
+    rng, seeds, x = np.random.default_rng(0), np.random.default_rng(0), np.arange(12) / 7
+    assert (rng.permuted(np.broadcast_to(x, (50, 12)), axis=1) == [seeds.permutation(x) for _ in range(50)]).all()
+
+
+def test_median_slopes():
+    rng = np.random.default_rng(3)
+    many = np.stack([np.sort(rng.integers(1950, 1970, (6, 12)), axis=1).astype(float), rng.normal(size=(6, 12))], axis=-1)
+    for one, got in zip(many, resampling.median_slopes(many), strict=True):
+        slopes = [(b[1] - a[1]) / (b[0] - a[0]) for i, a in enumerate(one) for b in one[i + 1 :] if a[0] != b[0]]
+        assert got == np.median(slopes)
+
+
+def test_sweep_equals_single_walks(spark):
+    """One pass over all weightings gives what a walk for each gives."""
+    rng = np.random.default_rng(5)
+    rows = [("a", m, at(24 * d), at(24 * d + h), float(v), 0.0, float(v), abs(float(v)), 0) for d in range(60) for h in (1, 7) for m, v in zip("wxyz", rng.normal([1, 2, -1, 0.2], 0.5), strict=True) if rng.random() < 0.8]
+    pairs = frame(spark, rows, "location string, model string, issued_at timestamp, valid_time timestamp, value double, observed double, error double, abs_error double, lead_day int")
+    walk = {"window_days": 20, "min_train": 3, "block": "week"}
+    got = {r.scheme: (r.n, round(r.mae, 9)) for r in blend.weighting_sweep(pairs, **walk).collect()}
+    for name, options in {"equal": {"weight": blend.WEIGHTINGS["equal"]}, "1/mae^2": {}, "top-3": {"weight": blend.inverse_power(1.0), "top_n": 3}, "best-1": {"top_n": 1, "min_members": 1}}.items():
+        one = blend.walk_forward(pairs, **walk, **options).agg(F.count("*"), F.avg("abs_error")).first()
+        assert got[name] == (one[0], round(one[1], 9))
+    regimes = blend.regime_sweep(pairs, **walk).groupBy("regime").count().collect()
+    assert {r.regime: r["count"] for r in regimes} == dict.fromkeys(blend.REGIMES, 7)
