@@ -9,8 +9,29 @@ from pyspark.sql import functions as F
 
 from nimbora.functions import time as ft
 
-#: (variable, statistic) of a station export and what it is here, with the factor to our unit.
-STATION_MAP = (("air_temperature", "avg", "temperature_2m", 1.0), ("snow_height", "avg", "snow_depth", 0.01), ("relative_humidity", "avg", "relative_humidity_2m", 1.0), ("wind_speed", "avg", "wind_speed_10m", 3.6))
+# The fields of the stations' services and what they are here, with the factor to our unit.
+#: (variable, statistic) of a station export.
+STATION_MAP = (
+    ("air_temperature", "point", "temperature_2m", 1.0), ("relative_humidity", "point", "relative_humidity_2m", 1.0), ("snow_depth", "median", "snow_depth", 0.01),
+)
+#: Fields of a station's JSON readings.
+STATION_FIELDS = {
+    "airTempAvg": ("temperature_2m", 1.0), "hourlyPrecip": ("precipitation", 1.0), "snowHeight": ("snow_depth", 0.01), "newSnow": ("snowfall", 1.0),
+    "windSpeedAvg": ("wind_speed_10m", 1.0), "windDirAvg": ("wind_direction_10m", 1.0),
+}
+#: Columns of a station's CSV, the first with a value counts.
+CSV_COLUMNS = {
+    "temperature_2m": (("air_temp", "CURRENT_AIR_TEMPERATURE1", "CURRENT_AIR_TEMPERATURE2"), 1.0),
+    "relative_humidity_2m": (("rel_hum", "RELATIVE_HUMIDITY1"), 1.0),
+    "snow_depth": (("snw_dpth", "HEIGHT_OF_SNOW"), 0.01),
+    "snowfall": (("snwfl_amt_pst1hr", "STANDARD_SNOW"), 1.0),
+    "precipitation": (("pcpn_amt_pst1hr", "PRECIPITATION_NEW"), 1.0),
+    "wind_speed_10m": (("avg_wnd_spd_10m_pst10mts", "MEASURED_WIND_SPEED1", "ACTUAL_WIND_SPEED"), 1.0),
+    "wind_gusts_10m": (("max_wnd_spd_10m_pst1hr", "MAXIMUM_MEASURED_WIND_SPEED1"), 1.0),
+    "wind_direction_10m": (("avg_wnd_dir_10m_pst10mts", "MEASURED_WIND_DIRECTION1", "ACTUAL_WIND_DIRECTION"), 1.0),
+}
+#: Sums whose small negative readings are noise of the sensor.
+NOT_NEGATIVE = ("precipitation", "snowfall")
 MISSING = -9999.9
 
 
@@ -77,38 +98,67 @@ def parse_monthly_geojson(df: DataFrame, body: str) -> DataFrame:
     return out.where(F.col("temp_mean").isNotNull() & (F.col("temp_mean") > MISSING))
 
 
-def unpivot_readings(df: DataFrame, ids: Sequence[str], columns: dict[str, tuple[Sequence[str], float]], not_negative: Sequence[str] = ()) -> DataFrame:
-    """(ids, variable, value): for each variable the first of its columns that has a value, times a factor, rounded to 3 places."""
+def _reading(name: Column, value: Column) -> Column:
+    """A reading in our unit, to 3 places; sums are not negative."""
+    return F.round(F.when(name.isin(*NOT_NEGATIVE) & (value < 0), 0.0).otherwise(value), 3)
+
+
+def unpivot_readings(df: DataFrame, ids: Sequence[str], columns: dict[str, tuple[Sequence[str], float]]) -> DataFrame:
+    """(ids, variable, value): for each variable the first of its columns that has a value, times a factor, rounded to 3 places.
+
+    Negative precipitation and snowfall become 0.
+    """
     out = []
     for variable, (candidates, factor) in columns.items():
         present = [F.col(c).try_cast("double") for c in candidates if c in df.columns]
         if present:
-            v = F.coalesce(*present) * F.lit(factor)
-            v = F.greatest(v, F.lit(0.0)) if variable in not_negative else v
-            out.append(F.struct(F.lit(variable).alias("variable"), F.round(F.when(F.coalesce(*present).isNotNull(), v), 3).alias("value")))
+            out.append(F.struct(F.lit(variable).alias("variable"), _reading(F.lit(variable), F.coalesce(*present) * F.lit(factor)).alias("value")))
+    if not out:
+        return df.select(*ids, F.lit(None).cast("string").alias("variable"), F.lit(None).cast("double").alias("value")).limit(0)
     return df.select(*ids, F.explode(F.array(*out)).alias("r")).select(*ids, "r.variable", "r.value").where("value is not null")
 
 
-def read_station_csv(spark: SparkSession, path: str, columns: dict[str, tuple[Sequence[str], float]], banner_lines: int = 1, tz: str = ft.LOCAL_TZ) -> DataFrame:
-    """(time, variable, value) of a CSV below a banner, with local times and the word None for nulls."""
-    lines = spark.read.text(path, wholetext=True)
-    header = spark.read.text(path).limit(banner_lines + 1).collect()[-1][0]  # one line
-    names = [c.strip() for c in header.split(",")]
-    rows = lines.select(F.explode(F.slice(F.split("value", r"\r?\n"), banner_lines + 2, 10_000_000)).alias("line")).where("trim(line) <> ''")
-    cells = F.transform(F.split("line", ","), lambda c: F.when(~F.trim(c).isin("", "None"), F.trim(c)))
-    df = rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+def read_station_csv(spark: SparkSession, path: str, columns: dict[str, tuple[Sequence[str], float]] = CSV_COLUMNS, tz: str = ft.LOCAL_TZ) -> DataFrame:
+    """(time, variable, value) of CSV files with a banner, local times and the word None for nulls.
+
+    Files are read by lines, so a long file is many tasks. Each file's own header, the first line with a column
+    `time`, says where its columns are; what is above it has no time and falls away. Cells may be quoted. Local
+    times that don't exist or exist twice are left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    is_header = F.col("value").rlike(r'(?:^|,)\s*"?time"?\s*(?:,|$)')
+    headers = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))  # one row a file
+    width = headers.agg(F.max(F.size(F.split("header", ",")))).first()[0]
+    if width is None:
+        raise ValueError(f"{path}: no column time")
+    cells = lambda line: F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "None"})
+    listed = lambda row: F.array(*[row[f"c{i}"] for i in range(width)])
+    headers = headers.select("file", listed(cells(F.col("header"))).alias("names"))
+    rows = lines.where(~is_header).select("file", listed(cells(F.col("value"))).alias("cells")).join(headers, "file")
+    wanted = sorted({c for names, _ in columns.values() for c in names} | {"time"})
+    place = lambda name: F.nullif(F.array_position("names", name).cast("int"), F.lit(0)) - 1
+    df = rows.select(*[F.nullif(F.get("cells", place(c)), F.lit("None")).alias(c) for c in wanted])
     df = df.withColumn("time", ft.local_to_utc(ft.to_utc_time(F.col("time")), tz)).where("time is not null")
-    return unpivot_readings(df, ["time"], columns, ("snow_depth", "snowfall"))
+    return unpivot_readings(df, ["time"], columns)
+
+
+def parse_station_json(df: DataFrame, body: str, fields: dict[str, tuple[str, float]] = STATION_FIELDS, time: str = "measurementDateTime") -> DataFrame:
+    """The other columns of df plus (time, variable, value): readings in JSON arrays of objects, one field a variable; rows without a time go."""
+    rest = [c for c in df.columns if c != body]
+    schema = "array<struct<" + ", ".join(f"`{f}`: string" for f in (time, *fields)) + ">>"
+    rows = df.select(*rest, F.explode(F.from_json(body, schema)).alias("r")).select(*rest, "r.*").where(F.coalesce(time, F.lit("")) != "")
+    rows = rows.withColumn("__time", ft.to_utc_time(F.col(time)))
+    out = unpivot_readings(rows, [*rest, "__time"], {variable: ((field,), factor) for field, (variable, factor) in fields.items()})
+    return out.withColumnRenamed("__time", "time")
 
 
 def parse_station_export(df: DataFrame, mapping: Sequence[tuple[str, str, str, float]] = STATION_MAP) -> DataFrame:
-    """(time, site_id, variable, value) of a station's export, without suspect readings, in our units."""
+    """(time, site_id, variable, value) of a station's export, without suspect readings, in our units to 3 places."""
     spark = df.sparkSession
     dim = spark.createDataFrame([*mapping], "variable string, statistic string, name string, factor double")
     df = df.where(F.coalesce("quality", F.lit("")) != "suspect").join(F.broadcast(dim), ["variable", "statistic"])  # a few rows
-    value = F.col("value").try_cast("double") * F.col("factor")
-    value = F.when(F.col("name") == "snow_depth", F.greatest(value, F.lit(0.0))).otherwise(value)
-    return df.select(ft.to_utc_time(F.col("time_utc")).alias("time"), "site_id", F.col("name").alias("variable"), value.alias("value")).where("value is not null")
+    value = F.round(F.col("value").try_cast("double") * F.col("factor"), 3)
+    return df.select(ft.to_utc_time(F.col("time_utc")).alias("time"), "site_id", F.col("name").alias("variable"), value.alias("value")).where("value is not null and not isnan(value)")
 
 
 def request_urls(spark: SparkSession, base: str, points: DataFrame, chunks: DataFrame, models: Sequence[str], known: Sequence[str]) -> DataFrame:

@@ -85,15 +85,32 @@ def test_daily_json_and_index_text_and_geojson(spark):
 
 
 def test_station_csv(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("Banner\nair_temperature, snw_dpth, time\n 1.2345, -3, 2024-01-01 04:00:00\nNone, 12, 2024-03-10 02:30:00\n None, 10, 2024-07-01 04:00:00\n")
-    got = parsers.read_station_csv(spark, str(tmp_path / "s.csv"), {"temperature_2m": (["air_temp", "air_temperature"], 1.0), "snow_depth": (["snw_dpth"], 0.01), "wind": (["none"], 1.0)}).collect()
-    assert sorted((r.time, r.variable, r.value) for r in got) == [(dt.datetime(2024, 1, 1, 12), "snow_depth", 0.0), (dt.datetime(2024, 1, 1, 12), "temperature_2m", 1.235 if got[0].value != 1.234 else 1.234), (dt.datetime(2024, 7, 1, 11), "snow_depth", 0.1)]
+    """Units, the order of candidates, noise of sums, quotes, missing times, and a header of its own in each file."""
+    (tmp_path / "a.csv").write_text('Banner, "of a station"\nair_temperature, snw_dpth, pcpn_amt_pst1hr, time\n 1.2, -3, -0.4, 2024-01-01 04:00:00\nNone, 12, 1, 2024-03-10 02:30:00\n None, "10", None, 2024-07-01 04:00:00\n5, 5, 5, None\n')
+    (tmp_path / "b.csv").write_text("Banner\ntime, air_temp, air_temperature, newsnow\n2024-01-02 04:00:00, None, 7, -1\n2024-01-02 05:00:00, 6, 8, 2.5\n")
+    columns = {"temperature_2m": (["air_temp", "air_temperature"], 1.0), "snow_depth": (["snw_dpth"], 0.01), "precipitation": (["pcpn_amt_pst1hr"], 1.0), "snowfall": (["newsnow"], 1.0), "wind": (["none"], 1.0)}
+    got = parsers.read_station_csv(spark, str(tmp_path), columns).collect()
+    assert sorted((r.time.isoformat(), r.variable, r.value) for r in got) == [
+        ("2024-01-01T12:00:00", "precipitation", 0.0), ("2024-01-01T12:00:00", "snow_depth", -0.03), ("2024-01-01T12:00:00", "temperature_2m", 1.2),
+        ("2024-01-02T12:00:00", "snowfall", 0.0), ("2024-01-02T12:00:00", "temperature_2m", 7.0), ("2024-01-02T13:00:00", "snowfall", 2.5), ("2024-01-02T13:00:00", "temperature_2m", 6.0),
+        ("2024-07-01T11:00:00", "snow_depth", 0.1),
+    ]
+
+
+def test_station_json(spark):
+    rows = [{"measurementDateTime": "2024-01-01T00:00:00Z", "airTempAvg": -1.5, "hourlyPrecip": -0.2, "snowHeight": -4, "windSpeedAvg": None}, {"measurementDateTime": None, "airTempAvg": 3}]
+    got = parsers.parse_station_json(body(spark, rows, location="a"), "body").collect()
+    assert sorted((r.location, r.time, r.variable, r.value) for r in got) == [("a", dt.datetime(2024, 1, 1), "precipitation", 0.0), ("a", dt.datetime(2024, 1, 1), "snow_depth", -0.04), ("a", dt.datetime(2024, 1, 1), "temperature_2m", -1.5)]
 
 
 def test_station_export(spark):
-    rows = [("2024-01-01T00:00:00Z", "s1", "snow_height", "avg", "-5", ""), ("2024-01-01T00:00:00Z", "s1", "wind_speed", "avg", "10", "suspect"), ("2024-01-01T00:00:00Z", "s1", "wind_speed", "avg", "10", None)]
+    t = "2024-01-01T00:00:00Z"
+    rows = [
+        (t, "s1", "snow_depth", "median", "-5", ""), (t, "s1", "snow_depth", "point", "7", ""), (t, "s1", "air_temperature", "point", "1.23456", "suspect"),
+        (t, "s1", "air_temperature", "point", "-1.23456", "good"), (t, "s2", "relative_humidity", "point", "81", None), (t, "s2", "relative_humidity", "point", None, None),
+    ]
     got = parsers.parse_station_export(spark.createDataFrame(rows, "time_utc string, site_id string, variable string, statistic string, value string, quality string")).collect()
-    assert sorted((r.variable, r.value) for r in got) == [("snow_depth", 0.0), ("wind_speed_10m", 36.0)]
+    assert sorted((r.site_id, r.variable, r.value) for r in got) == [("s1", "snow_depth", -0.05), ("s1", "temperature_2m", -1.235), ("s2", "relative_humidity_2m", 81.0)]
 
 
 def test_requests_refuse_unknown_models(spark):
