@@ -6,19 +6,20 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import new_folder, table
+from nimbora.llm.common import WordRows, new_folder, pieces_of, split_words, table
 
 CHUNK_BITS = 8
 RANK_STEP = 512  # bits of a continuation bitmap between two entries of its rank directory
-BLOCK_TOKENS = 1 << 18  # a block closes when it holds so many; one longer document makes a longer block
+BLOCK_TOKENS = 1 << 16  # a block closes when it holds so many; one longer document makes a longer block
 CACHE_ENTRIES = 350_000
 END_ID = 2
 MAGIC = b"NDAC1\0"
@@ -99,36 +100,43 @@ class DirectCodes:
 
 
 class ChunkEncoder:
-    """A byte-level BPE of the tokenizers library with a memory of what pieces of text encode to.
+    """A byte-level BPE of the tokenizers library with a memory of what words encode to.
 
     Its pre-tokenizer always cuts before a single space that stands between two other characters, so a text
-    without adjacent white space is the sequence of its pieces " word"; a piece that is letters and then ASCII
-    punctuation is two pre-tokens. Those go straight to the library's BPE model and are remembered. Any other
-    piece, and any text with adjacent white space, goes through the library's whole pipeline.
+    without adjacent white space is the sequence of its pieces " word". A batch of texts is split into words by
+    Arrow, each distinct word is looked up once, and the ids are gathered by numpy. A new word that is letters and
+    then ASCII punctuation is two pre-tokens; those go straight to the library's BPE model. Any other new word,
+    and any text with adjacent white space or the string of an added token, goes through the library's whole
+    pipeline.
     """
 
-    _odd = re.compile(r"\s\s|\s$")
-    _made: dict[str, ChunkEncoder] = {}
+    _white = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    _made: dict[tuple, ChunkEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.known: dict[str, list[int]] = {}  # pre-tokens
-        self.after_space: dict[str, list[int]] = {}  # what follows a space up to the next
-        self.older: dict[str, list[int]] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([self._white * 2, self._white + "$", *added])
+        self.end = [] if end_id is None else [end_id]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, list[int]] = {}  # pre-tokens
+        self.words = WordRows()  # after a space
+        self.words.add([self.end])  # row 0
 
     @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
+    def of(cls, path: str, end_id: int | None = None) -> ChunkEncoder:
         """One for each Python worker."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if (path, end_id) not in cls._made:
+            cls._made[path, end_id] = cls(path, end_id)
+        return cls._made[path, end_id]
 
     def _pre_token(self, piece: str) -> list[int]:
         if piece in self.known:
@@ -152,36 +160,37 @@ class ChunkEncoder:
             return ids + self._pre_token(piece[len(body) :]) if len(body) < len(piece) else ids
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out = []
-        for t in texts:
-            if self._odd.search(t):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            first, *rest = t.split(" ")
-            got = list(map(self.after_space.get, rest))
-            if None in got:
-                for i, ids in enumerate(got):
-                    if ids is None:
-                        got[i] = self._remember(rest[i])
-            head = self._piece(first) if first else []
-            out.append(np.fromiter(chain(head, chain.from_iterable(got)), np.uint32))
-        return out
-
-    def _remember(self, word: str) -> list[int]:
-        """Ids of " word". Words not used since the memory was last full are forgotten when it is full again."""
-        if len(self.after_space) > CACHE_ENTRIES:
-            self.older, self.after_space = self.after_space, {}
-            self.known.clear()
-        ids = self.after_space.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                ids = self._piece(" " + word)
-            if len(word) < 40:
-                self.after_space[word] = ids
-        return ids
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has), each text's with the end id, if there is one."""
+        if len(self.words.length) > CACHE_ENTRIES or len(self.words.flat) > 8 * CACHE_ENTRIES:
+            self._forget()
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
+        offsets, place, words = split_words(column.filter(pa.array(~odd)))
+        first = np.zeros(len(place), bool)
+        first[offsets[:-1]] = True
+        after = np.zeros(len(words), bool)
+        after[place[~first]] = True
+        some, rows = np.flatnonzero(after), np.zeros(len(words), np.int64)
+        rows[some] = self.words.of([words[i] for i in some], lambda ws: [self._piece(" " + w) for w in ws])
+        known = len(self.words.length)
+        counts = np.ones(len(texts), np.int64)  # rows of each text, without its end
+        counts[~odd] = np.diff(offsets)
+        of_odd = np.repeat(odd, counts)
+        inner = np.empty(len(of_odd), np.int64)
+        normal = rows[place]
+        normal[offsets[:-1]] = self.words.add([self._piece(words[i]) if words[i] else [] for i in place[offsets[:-1]]])
+        inner[~of_odd] = normal
+        if odd.any():
+            inner[of_odd] = self.words.add([e.ids for e in self.tokenizer.encode_batch([texts[i] for i in np.flatnonzero(odd)], add_special_tokens=False)])
+        ends = np.cumsum(counts + 1) - 1
+        body = np.ones(len(inner) + len(texts), bool)
+        body[ends] = False
+        every = np.zeros(len(body), np.int64)
+        every[body] = inner
+        ids, n = self.words.gather(every)
+        self.words.shrink(known)  # first words and whole texts are not remembered
+        return ids, np.diff(np.cumsum(n)[ends], prepend=0)
 
 
 BLOCKS = "part int, block int, tokens long, doc_ids binary, has_id binary, n_tokens binary, codes binary"
@@ -190,51 +199,63 @@ BLOCKS = "part int, block int, tokens long, doc_ids binary, has_id binary, n_tok
 def encode_blocks(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """documents(doc_id, text) as blocks of directly addressable codes in ascending doc_id order.
 
-    Null ids come first, rows of one id in the order of their texts' hashes; a null text is empty. Equal keys
-    are dealt over partitions by that hash, so no id is too frequent. Each document's ids end with end_id.
+    Ids are integers. Null ids come first, rows of one id in the order of their texts' hashes, repeated rows each
+    as a document of its own; a null or empty text has the end id only. Equal keys are dealt over partitions by that
+    hash, so no id is too frequent. Each document's ids end with end_id. An empty table has no blocks.
     """
     ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.withColumn("th", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.isnotnull("doc_id").alias("has_id"), "text")
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, block = ChunkEncoder.of(path), TaskContext.get().partitionId(), 0
-        ids, has, lengths, held, room, end = [], [], [], [], 0, np.array([end_id], np.uint32)
+        encoder, part, block = ChunkEncoder.of(path, end_id), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        room = 0
 
         def close() -> pd.DataFrame:
-            nonlocal ids, has, lengths, held, room, block
-            row = (part, block, room, np.array(ids, "<i8").tobytes(), np.array(has, np.uint8).tobytes(), np.array(lengths, "<i8").tobytes(), DirectCodes.encode(np.concatenate(held)).to_bytes())
-            ids, has, lengths, held, room, block = [], [], [], [], 0, block + 1
+            nonlocal held, room, block
+            ids, has, lengths, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = (part, block, room, ids.astype("<i8").tobytes(), has.astype(np.uint8).tobytes(), lengths.astype("<i8").tobytes(), DirectCodes.encode(tokens).to_bytes())
+            held, room, block = [], 0, block + 1
             return pd.DataFrame([row], columns=["part", "block", "tokens", "doc_ids", "has_id", "n_tokens", "codes"])
 
         for frame in frames:
-            for at in range(0, len(frame), 256):
-                some = frame.iloc[at : at + 256]
-                for doc_id, got in zip(some.doc_id, encoder.encode(some.text.tolist()), strict=True):
-                    null = pd.isna(doc_id)
-                    ids.append(0 if null else int(doc_id))
-                    has.append(not null)
-                    lengths.append(len(got) + 1)
-                    held += [got, end]
-                    room += len(got) + 1
+            texts = frame.text.tolist()
+            for a, b in pieces_of(texts, 1 << 21):
+                tokens, lengths = encoder.encode(texts[a:b])
+                ends = np.cumsum(lengths)
+                has, ids = frame.has_id.to_numpy()[a:b], frame.doc_id.to_numpy()[a:b]
+                at = 0
+                while at < b - a:
+                    begin = ends[at] - lengths[at]
+                    to = min(int(np.searchsorted(ends, begin + BLOCK_TOKENS - room)) + 1, b - a)
+                    held.append((ids[at:to], has[at:to], lengths[at:to], tokens[begin : ends[to - 1]]))
+                    room, at = room + int(ends[to - 1] - begin), to
                     if room >= BLOCK_TOKENS:
                         yield close()
-        if ids:
+        if held:
             yield close()
 
     return ordered.mapInPandas(encode, BLOCKS)
 
 
-def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in stored blocks.
-
-    start is a sum over whole parts (one row for each task that wrote) and over the blocks of a part.
-    """
+def _block_starts(blocks: DataFrame) -> DataFrame:
+    """(part, block, block_start, tokens): a sum over whole parts (one row for each task that wrote) and over the blocks of a part."""
     sizes = blocks.select("part", "block", "tokens")
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("tokens")
-    starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("inside")).alias("block_start"))
+    return sizes.withColumn("inside", inside).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("inside")).alias("block_start"), "tokens")
+
+
+def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in stored blocks.
+
+    start counts the ids of all documents before it. Null ids, repeated rows and empty texts come back as they
+    were stored; an empty store gives an empty result.
+    """
+    starts = _block_starts(blocks).drop("tokens")
     schema = "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,14 +279,41 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Writes the blocks as a Parquet table, with Spark's own commit: a lost executor leaves no half files."""
-    encode_blocks(documents, tokenizer, end_id).write.parquet(path, compression="zstd")
+    """Writes the blocks of documents (see encode_blocks) as a Parquet table, with Spark's own commit: a lost executor leaves no half files.
+
+    The codes are not compressed again, so that a token's chunks are read from where they stand.
+    """
+    encode_blocks(documents, tokenizer, end_id).write.parquet(path, compression="none")
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """The documents of a written store; see read_documents."""
     return read_documents(spark.read.schema(BLOCKS).parquet(path), with_ids)
 
 
+def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """(place, token_id) at global places (0-based, over all documents in order) of a written store.
+
+    Only blocks that hold one of the places are read, and each id takes one rank query a level; no block is
+    decoded. Repeated places give one row; places outside the store give none. At most 10,000 places a call.
+    """
+    wanted = sorted(set(places))
+    if len(wanted) > 10_000:
+        raise ValueError("more than 10,000 places")
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    listed = F.array(*[F.lit(p).cast("long") for p in wanted]) if wanted else F.array().cast("array<bigint>")
+    inside = F.filter(listed, lambda p: (p >= F.col("block_start")) & (p < F.col("block_start") + F.col("tokens")))
+    hit = _block_starts(blocks).withColumn("places", inside).where(F.size("places") > 0).drop("tokens")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                codes = DirectCodes.from_bytes(row.codes)
+                yield pd.DataFrame({"place": row.places, "token_id": [codes[int(p) - row.block_start] for p in row.places]})
+
+    return hit.join(blocks.select("part", "block", "codes"), ["part", "block"]).mapInPandas(look, "place long, token_id int")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
