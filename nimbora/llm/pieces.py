@@ -8,16 +8,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbora.llm.common import table
+from nimbora.llm.common import WordRows, pieces_of, split_words, table
 
 MARK = "▁"
 CACHE_ENTRIES = 300_000
 SUB_BATCH = 1_000
 LONG_WORD = 256
+BATCH_CHARACTERS = 1 << 21
+#: Texts whose words after single spaces would not be whole units; an empty text has not even the first mark.
+ODD = f"^$|^ | $|  |{MARK} "
 #: A marked word: its marks and what follows them. No piece has a mark after another character and none has a
 #: line feed, so words encode independently of each other.
 UNIT = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -56,8 +60,7 @@ class PieceModel:
             ends.setdefault(piece[-2:], set()).add(len(piece))
         self.lengths = {c: tuple(sorted(x | {1}, reverse=True)) for c, x in ends.items() if len(c) > 1}
         self.joins: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words, self.units, self.column = WordRows(), {}, None
 
     @classmethod
     def of(cls, path: str) -> PieceModel:
@@ -140,26 +143,64 @@ class PieceModel:
             cuts.append(self.piece_ids(piece))
         return [k for ids in reversed(cuts) for k in ids]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        units = [UNIT.findall((MARK + t.replace(" ", MARK)) if t else "") for t in texts]
-        found = [list(map(self.known.get, us)) for us in units]
-        missing = {u for us, got in zip(units, found, strict=True) if None in got for u, ids in zip(us, got, strict=True) if ids is None}
-        fresh = {u: ids for u in missing if (ids := self.older.get(u)) is not None}
-        fresh |= self.encode_words([u for u in missing if u not in fresh])
-        out = []
-        for us, got in zip(units, found, strict=True):
-            if None in got:
-                got = [fresh[u] if ids is None else ids for u, ids in zip(us, got, strict=True)]
-            out.append(list(chain.from_iterable(got)))
-        if len(self.known) + len(fresh) > CACHE_ENTRIES:  # what was not used since the last time is forgotten
-            self.older, self.known = self.known, {}
-        self.known.update((k, v) for k, v in fresh.items() if len(k) < 40)
+    def _encode_missing(self, words: list[str]) -> list[list[int]]:
+        """Ids of words after a space, which may have line feeds in them."""
+        return self._encode_units([UNIT.findall(MARK + w) for w in words])
+
+    def _encode_units(self, units: list[list[str]]) -> list[list[int]]:
+        if len(self.units) > CACHE_ENTRIES:
+            self.units.clear()
+        found, missing = self.units, list({u for us in units for u in us if u not in self.units})
+        fresh = self.encode_words(missing)
+        found.update((u, ids) for u, ids in fresh.items() if len(u) < LONG_WORD)
+        return [list(chain.from_iterable(found[u] if u in found else fresh[u] for u in us)) if len(us) != 1 else found.get(us[0]) or fresh[us[0]] for us in units]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has). Arrow finds the distinct words, which are looked up or encoded once."""
+        if len(self.words.length) > CACHE_ENTRIES or len(self.words.flat) > 8 * CACHE_ENTRIES:
+            self.words = WordRows()
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
+        offsets, place, words = split_words(column.filter(pa.array(~odd)))
+        rows = self.words.of(words, self._encode_missing)[place]
+        known = len(self.words.length)
+        counts = np.ones(len(texts), np.int64)  # rows of each text
+        counts[~odd] = np.diff(offsets)
+        if odd.any():
+            units = [UNIT.findall((MARK + texts[i].replace(" ", MARK)) if texts[i] else "") for i in np.flatnonzero(odd)]
+            of_odd = np.repeat(odd, counts)
+            every = np.empty(len(of_odd), np.int64)
+            every[~of_odd] = rows
+            every[of_odd] = self.words.add(self._encode_units(units))
+            rows = every
+        ids, n = self.words.gather(rows)
+        self.words.shrink(known)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+        return ids.astype(np.int32), np.diff(ends, prepend=0)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """The texts of ids that lie one after another; an id that the model doesn't have gives U+FFFD."""
+        if self.column is None:
+            self.column = pa.array([*self.raw, "\ufffd".encode()], pa.binary())
+        ids = np.where((ids < 0) | (ids >= len(self.raw)), len(self.raw), ids)
+        pieces = self.column.take(pa.array(ids.astype(np.int32)))
+        _, at, data = pieces.buffers()
+        at = np.frombuffer(at, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        ends = at[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
+        data = data[: ends[-1]]
+        begins = ends[:-1][ends[1:] > ends[:-1]]
+        blank = np.zeros(len(lengths), bool)
+        blank[ends[1:] > ends[:-1]] = data[begins] == 32  # of the mark that every text begins with
+        data = np.delete(data, ends[:-1][blank])
+        ends[1:] -= np.cumsum(blank)
+        out = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # byte pieces that make no characters
+            out = pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
-
 
 def _free(name: str, df: DataFrame) -> str:
     if name.lower() in (c.lower() for c in df.columns):
@@ -171,8 +212,8 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids"
     """df plus the piece ids of a text column, as the SentencePiece model at `path` encodes it.
 
     With `decoded`, a column of that name has the text that the ids give back. Null and empty texts have no
-    ids. Works on each partition by itself, without a shuffle; words are remembered up to a fixed number.
-    Raises if a new column's name is taken.
+    ids and decode to an empty text; repeated rows get equal ids. Works on each partition by itself, without a
+    shuffle; words are remembered up to a fixed number. Raises if a new column's name is taken.
     """
     fields = [*df.schema.fields, T.StructField(_free(out, df), T.ArrayType(T.IntegerType(), False))]
     if decoded:
@@ -182,21 +223,23 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.of(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, SUB_BATCH):
-                batch = whole.slice(at, SUB_BATCH)
-                got = model.encode([x or "" for x in batch.column(text).to_pylist()])
-                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]))
-                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            texts = [x or "" for x in whole.column(text).to_pylist()]
+            for a, b in pieces_of(texts, BATCH_CHARACTERS):
+                ids, lengths = model.encode(texts[a:b])
+                new = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))]
                 if decoded:
-                    new.append(pa.array([model.decode(ids) for ids in got], pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
+                    new.append(model.decode(ids, lengths))
+                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, *new], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df plus the text of a column of piece ids; null ids give an empty text. Raises if the column `out` exists."""
+    """df plus the text of a column of piece ids.
+
+    Null and empty ids give an empty text. A null, negative or other id that the model doesn't have gives U+FFFD,
+    as do byte pieces that make no character. Raises if the column `out` exists.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(_free(out, df), T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +247,10 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
         for whole in batches:
             for at in range(0, whole.num_rows, SUB_BATCH):
                 batch = whole.slice(at, SUB_BATCH)
-                texts = [model.decode(x or []) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+                column = batch.column(ids)
+                flat = column.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+                lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, model.decode(flat, lengths)], [*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
