@@ -120,3 +120,14 @@ def frame_key(camera: Column, ts: Column) -> Column:
 
 def frame_time(key: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(key, r"(\d{4}/\d{2}/\d{2}/\d{4})\.jpg$", 1), F.lit("yyyy/MM/dd/HHmm"))
+
+
+def chance_text(p: Column) -> Column:
+    """Words for a p-value; null where there was too little to test."""
+    said = lambda words: F.concat(F.lit(f"{words} (p = "), p.cast("string"), F.lit(")"))
+    return F.when(p.isNull(), "too few winters to test").when(p < 0.05, said("unlikely to be chance")).when(p < 0.1, said("borderline, it could be chance")).otherwise(said("could easily be chance"))
+
+
+def content_id(*columns: Column) -> Column:
+    """md5 over values, in hex; a null differs from an empty text."""
+    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]))

@@ -138,3 +138,8 @@ def season_axis(kind: str) -> Column:
     first, _ = SEASONS[kind]
     start = F.make_date(F.lit(REFERENCE_YEAR), F.lit(first), F.lit(1))
     return F.sequence(start, F.date_add(start, SEASON_DAYS[kind] - 1))
+
+
+def place_today(today: Column, kind: str) -> Column:
+    """A day's position in the season under way, null outside of it."""
+    return F.when(in_season(today, kind), season_position(today, kind))

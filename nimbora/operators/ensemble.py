@@ -75,10 +75,10 @@ def scores_by_lead(instances: DataFrame, by: Sequence[str] = ("location",), min_
     )
 
 
-def rivals_by_lead(instances: DataFrame, deterministic: DataFrame, by: Sequence[str] = ("location",), sibling: str | None = None, blend: str | None = None, min_n: int = 20) -> DataFrame:
+def rivals_by_lead(instances: DataFrame, deterministic: DataFrame, by: Sequence[str] = ("location",), sibling: str | None = None, blend: str | None = None, min_n: int = 20, complete: float = COMPLETE) -> DataFrame:
     """On the ensemble's own hours and jobs the MAE of the best raw model, a sibling model and the blend.
 
-    Only models with a forecast for at least 95 % of the hours compete.
+    Only models with a forecast for at least the share `complete` of the hours compete.
     """
     inst = same_job(instances, deterministic, by)
     det = deterministic.select(*by, F.col("issued_at").alias("det_issued"), "valid_time", "model", "abs_error")
@@ -86,11 +86,11 @@ def rivals_by_lead(instances: DataFrame, deterministic: DataFrame, by: Sequence[
     size = inst.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bias").alias("n_bc"))
     joined = inst.select(*keys, "det_issued", "valid_time", "bias").join(det, [*by, "det_issued", "valid_time"])
     mae = joined.groupBy(*keys, "model").agg(F.avg("abs_error").alias("mae"), F.count("*").alias("m"), F.avg(F.when(F.col("bias").isNotNull(), F.col("abs_error"))).alias("mae_bc"), F.count("bias").alias("m_bc"))
-    mae = mae.join(size, keys).where(F.col("m") >= COMPLETE * F.col("n"))
+    mae = mae.join(size, keys).where(F.col("m") >= complete * F.col("n"))
     is_blend = F.col("model") == F.lit(blend)
     raw = mae.where(~F.coalesce(is_blend, F.lit(False))) if blend else mae
     best = raw.groupBy(*keys).agg(F.min(F.struct("mae", "model")).alias("b")).select(*keys, F.col("b.model").alias("best_model"), F.col("b.mae").alias("best_mae"))
-    both = (F.col("m_bc") >= COMPLETE * F.col("n_bc")) & (F.col("n_bc") >= min_n)
+    both = (F.col("m_bc") >= complete * F.col("n_bc")) & (F.col("n_bc") >= min_n)
     other = mae.groupBy(*keys).agg(
         F.max(F.when(F.col("model") == F.lit(sibling), F.col("mae"))).alias("sibling_mae"), F.max(F.when(is_blend, F.col("mae"))).alias("blend_mae"), F.max(F.when(is_blend & both, F.col("mae_bc"))).alias("blend_mae_bc")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,45 @@ def missing_models(expected: DataFrame, got: DataFrame, keys: Sequence[str] = ("
     return gone.groupBy(*keys).agg(F.array_sort(F.collect_list("model")).alias("missing"))
 
 
+def first_and_last(df: DataFrame, by: Sequence[str], order: str = "pos", value: str = "v") -> DataFrame:
+    """(by, first, first_v, last, last_v, n): the ends of each sequence that have a value."""
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    return df.groupBy(*by).agg(F.min(at).alias("first"), F.min_by(value, at).alias("first_v"), F.max(at).alias("last"), F.max_by(value, at).alias("last_v"), F.count(value).alias("n"))
+
+
+def next_days(daily: DataFrame, after: Column, most: int = 7, by: Sequence[str] = ("location",)) -> DataFrame:
+    """The first `most` days of each group after a day; only they are ordered."""
+    ahead = daily.where((F.col("day") > after) & (F.col("day") <= F.date_add(after, 366)))
+    w = Window.partitionBy(*by).orderBy("day")
+    return ahead.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+
+
+def keys_of_any(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """base's rows whose keys are in one of the others at least."""
+    known = reduce(DataFrame.unionByName, [o.select(*keys) for o in others]).distinct()
+    return base.join(known, list(keys), "left_semi")
+
+
+def recent_observations(readings: DataFrame, now: Column, days: int = 7, moved: Sequence[str] = ("snow_depth",)) -> DataFrame:
+    """(location, variable, time, value) of the last days of readings(location, site_id, variable, time, value).
+
+    Variables in `moved` can't be compared across a station's sites: of those only the site of the newest reading
+    stays, for each location.
+    """
+    df = readings.where(F.unix_micros("time") >= F.unix_micros(now) - days * 86_400_000_000)
+    site = F.max_by("site_id", F.struct("time", "site_id"))
+    current = df.where(F.col("variable").isin(*moved)).groupBy("location", "variable").agg(site.alias("__site"))  # one row a series
+    df = df.join(current, ["location", "variable"], "left").where(F.col("__site").isNull() | F.col("site_id").eqNullSafe(F.col("__site")))
+    return df.select("location", "variable", "time", "value")
+
+
+def frame_manifest(frames: DataFrame, now: Column, recent_days: int = 30, by: str = "camera") -> DataFrame:
+    """(camera, time, key, is_latest) of the frames that are kept for display."""
+    kept = thin_frames(frames, now, recent_days, by=(by,))
+    newest = kept.groupBy(by).agg(F.max("time").alias("__last"))
+    return kept.join(newest, by).select(by, "time", scalar.frame_key(F.col(by), F.col("time")).alias("key"), (F.col("time") == F.col("__last")).alias("is_latest"))
+
+
 def unseen(new: DataFrame, logged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return new.join(logged.select(*keys), list(keys), "left_anti")
 

@@ -218,7 +218,7 @@ def _(spark, sf_dir):
 
 @_query("m10_weighting_sweep_all")
 def _(spark, sf_dir):
-    return blend.weighting_sweep(pairs(spark, sf_dir), **WALK)
+    return blend.weighting_sweep(pairs(spark, sf_dir), **WALK).select("location", "scheme", "n", *_r("mae"))
 
 
 @_query("u1_pairs_and_blend", f"WITH {tb.PAIRS}, {_walk_sql()}, u AS (SELECT location, model, abs_error FROM pairs UNION ALL SELECT location, 'blend', abs_error FROM bp) SELECT location, model, count(*) AS n, round(avg(abs_error) + 0.0000001, 4) AS mae FROM u GROUP BY ALL")
@@ -276,7 +276,8 @@ def _(spark, sf_dir):
 @_query("a15_rivals_by_lead")
 def _(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    return ensemble.rivals_by_lead(_instances(spark, sf_dir), p, sibling="click", blend="purchase")
+    df = ensemble.rivals_by_lead(_instances(spark, sf_dir), p, sibling="click", blend="purchase")
+    return df.select("location", "ensemble", "lead_day", "best_model", *_r("best_mae", "sibling_mae", "blend_mae", "blend_mae_bc"))
 
 
 @_query("a16_mae_on_subset", f"""WITH {tb.PAIRS}, k AS (SELECT DISTINCT location, issued_at, valid_time FROM pairs WHERE model = 'click')
@@ -493,7 +494,8 @@ def _(spark, sf_dir):
 
 @_query("w13_snow_milestones")
 def _(spark, sf_dir):
-    return history.snow_milestones(history.running_mean(tb.station_days(spark, sf_dir)), threshold=140.0)
+    df = history.snow_milestones(history.running_mean(tb.station_days(spark, sf_dir)), threshold=140.0)
+    return df.select("location", "season_year", "onset", *_r("peak"), "peak_day", "meltout")
 
 
 @_query("a27_milestone_stats")
@@ -626,9 +628,9 @@ def _parsed_forecasts(events: DataFrame) -> DataFrame:
     return got.select("event_id", "location", "model", "variable", "valid_time", *_r("value"))
 
 
-@_query("s12_parse_forecast_json", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m) WHERE event_id < 500 AND event_type = 'click'""")
+@_query("s12_parse_forecast_json", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m)""")
 def _(spark, sf_dir):
-    return _parsed_forecasts(tb.table(spark, sf_dir, "events").where("event_id < 500 and event_type = 'click'"))
+    return _parsed_forecasts(tb.table(spark, sf_dir, "events"))
 
 
 @_query("s12_parse_forecast_json_all", """SELECT event_id, 'a' AS location, m AS model, 't' AS variable, make_timestamp(1704067200000000 + h * 3600000000) AS valid_time, round(value + h + 0.0000001, 4) AS value FROM events, (SELECT unnest(range(3)) AS h), (SELECT unnest(['gfs', 'gfs_hr']) AS m) WHERE event_type = 'click'""")
@@ -650,9 +652,15 @@ def _(spark, sf_dir):
     return g.withColumn("last_text", ft.iso_minute(F.col("last")))
 
 
+def _every() -> None:
+    from nimbora.plans import report_catalog, stream_catalog  # noqa: F401  they register their queries here
+
+
 def queries() -> dict:
+    _every()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _every()
     return dict(_SQL)

@@ -66,11 +66,11 @@ def forecast_grid(forecasts: DataFrame, start: Column, end: Column, by: Sequence
     return series.as_arrays(series.align_on_times(rows, ("model",), by), ("model",), by)
 
 
-def season_chart(daily: DataFrame, kind: str, years: tuple[int, int], by: Sequence[str] = ("location",)) -> dict[str, DataFrame]:
+def season_chart(daily: DataFrame, kind: str, years: tuple[int, int], by: Sequence[str] = ("location",), min_seasons: int = 10) -> dict[str, DataFrame]:
     """Running means by season and position, the normal band by day of the year, and the average line."""
     smooth = history.running_mean(daily, by)
     long = history.season_long(smooth, kind, by)
-    return {"lines": long, "band": history.doy_climatology(smooth, years, by=by), "average": history.average_line(long, by)}
+    return {"lines": long, "band": history.doy_climatology(smooth, years, by=by), "average": history.average_line(long, by, min_seasons)}
 
 
 def season_extension(daily: DataFrame, forecast: DataFrame, by: Sequence[str] = ("location",), window: int = 7) -> DataFrame:
@@ -116,3 +116,53 @@ def masked(df: DataFrame, measured: Sequence[str], allowed: bool | None) -> Data
     if allowed is None:
         raise ValueError("say whether measured values may be shown")
     return df if allowed else df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in measured})
+
+
+def blend_against_best_pooled(pairs: DataFrame, blended: DataFrame, by: Sequence[str] = ("location",), min_n: int = verification.MIN_N) -> DataFrame:
+    """(by, day, a, b, n): daily sums of the blend's errors (a) and those of the best raw model of each lead (b), over all leads with enough shared forecasts.
+
+    A forecast meets the best model of every lead that has its issue and valid time, as the pooled headline does.
+    """
+    keys, shared = [*by, "lead_day"], [*by, "issued_at", "valid_time"]
+    mae = pairs.groupBy(*keys, "model").agg(F.avg("abs_error").alias("mae"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    best = mae.groupBy(*keys).agg(F.min_by("model", F.struct("mae", "model")).alias("model"))
+    raw = pairs.join(best, [*keys, "model"], "left_semi").select(*keys, "issued_at", "valid_time", F.col("abs_error").alias("b"))
+    own = blended.select(*keys, "issued_at", "valid_time", F.col("abs_error").alias("a"))
+    leads = own.join(raw, [*keys, "issued_at", "valid_time"]).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
+    both = own.join(leads, keys, "left_semi").drop("lead_day").join(raw.join(leads, keys, "left_semi").drop("lead_day"), shared)
+    return both.groupBy(*by, F.to_date("valid_time").alias("day")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n"))
+
+
+def past_forecast_grid(forecasts: DataFrame, start: Column, end: Column, by: Sequence[str] = ("location",), lead_hours: int = 24) -> DataFrame:
+    """(by, model, times, values): what each model said a day ahead for the past hours, all models on one time axis; of repeated rows the last."""
+    return series.as_arrays(series.align_on_times(verification.day_ahead(forecasts, start, end, by, lead_hours).where("value is not null"), ("model",), by), ("model",), by)
+
+
+def blend_daily_means(rows: DataFrame, by: Sequence[str] = ("location",), columns: Sequence[str] = ("value", "lower", "upper"), min_hours: int = 20, tz: str = ft.LOCAL_TZ) -> DataFrame:
+    """(by, day, columns): means of the local days on which every column has enough hours."""
+    enough = [F.count(c) >= min_hours for c in columns]
+    g = rows.groupBy(*by, ft.local_day(F.col("valid_time"), tz).alias("day")).agg(*[F.avg(c).alias(c) for c in columns], *[e.alias(f"__{c}") for c, e in zip(columns, enough, strict=True)])
+    return g.where(" and ".join(f"__{c}" for c in columns)).select(*by, "day", *columns)
+
+
+def station_adjustment(station: DataFrame, model: DataFrame, by: Sequence[str] = ("location",), since: str | None = None, n_boot: int = 2000) -> dict[str, DataFrame]:
+    """How a reanalysis is fitted to a station: offsets by month, days of overlap, coverage of the adjusted band, and the step at `since`."""
+    fit = station.where(F.col("day") >= F.lit(since).cast("date")) if since else station
+    overlap = history.difference(model, fit, by).groupBy(*by).agg(F.count("*").alias("n_overlap"), (F.count("*") < 3 * 365).alias("provisional"))
+    out = {"offsets": history.monthly_offsets(model, fit, by), "overlap": overlap, "coverage_daily": history.adjusted_band_coverage(model, fit, by), "coverage_7day": history.adjusted_band_coverage(model, fit, by, smooth=7)}
+    return out | ({"step": resampling.step_change(station, model, since, by, n_boot)} if since else {})
+
+
+def enso_card(winter_means: DataFrame, winters: DataFrame, by: Sequence[str] = ("location",), n_perm: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(classes, tests): detrended winters by phase, and whether the strongest warm phase differs from all others by more than chance, with words."""
+    anomalies = history.detrend(winter_means, by)
+    phases = winters.select("year", scalar.enso_class(F.col("anom")).alias("phase"))
+    marked = anomalies.join(phases, "year").withColumn("in_a", F.col("phase") == scalar.ENSO_CLASSES[-1])
+    tests = resampling.permutation_test(marked, by, n_perm).withColumn("p", F.round("p", 3))
+    return history.enso_composite(anomalies, winters, by), tests.withColumn("words", scalar.chance_text(F.col("p")))
+
+
+def model_availability(expected: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ("location",)) -> DataFrame:
+    """(keys, model, rows, available): each expected model with how many rows it gave."""
+    got = forecasts.where("value is not null").groupBy(*keys, "model").agg(F.count("*").alias("rows"))
+    return expected.select(*keys, "model").distinct().join(got, [*keys, "model"], "left").select(*keys, "model", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNotNull().alias("available"))

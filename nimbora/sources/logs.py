@@ -25,6 +25,14 @@ def write_log(df: DataFrame, root: str, schema: str, partition: str, at: str = "
     out.withColumn(partition, F.substring(at, 1, 10)).write.mode("append").partitionBy(partition).option("compression", "zstd").parquet(root)
 
 
+def write_reanalysis(df: DataFrame, root: str) -> None:
+    """Appends daily values in the schema's columns below model=<model>/location=<location>, so that readers of one series scan one folder."""
+    fields = T.StructType.fromDDL(REANALYSIS).fields
+    have = set(df.columns)
+    out = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    out.write.mode("append").partitionBy("model", "location").option("compression", "zstd").parquet(root)
+
+
 def _scan(spark: SparkSession, root: str, schema: str, partition: str) -> DataFrame:
     df = spark.read.schema(f"{schema}, {partition} string").option("basePath", root).parquet(root)
     return df.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})

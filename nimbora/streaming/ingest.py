@@ -55,3 +55,18 @@ def keep_last_table(stream: DataFrame, target: str, keys: Sequence[str], order:
 
 def read_last(spark: SparkSession, target: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return keep_last(spark.read.parquet(f"{target}/batch_*"), keys, ["batch", *order]).drop("batch")
+
+
+def to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there now, appends what it gives out to a Parquet table, and reads that."""
+    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def nearest_match(matches: DataFrame, keys: Sequence[str], at: str = "valid_time", time: str = "time") -> DataFrame:
+    """Of align_stream's rows the one whose observation is nearest in time to the forecast, of equals the earlier."""
+    gap = F.abs(F.unix_micros(at) - F.unix_micros(time))
+    rest = [c for c in matches.columns if c not in keys]
+    best = matches.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(gap, F.unix_micros(time))).alias("__r"))
+    return best.select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
