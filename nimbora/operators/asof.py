@@ -10,6 +10,14 @@ def _buckets(first: Column, last: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
 
 
+def in_buckets(df: DataFrame, at: Column, width: int, before: int, after: int) -> DataFrame:
+    """df with each row in the bucket of time it lies in (`__own`) and in those whose rows look back at it, at most `before`, or ahead, at most `after`.
+
+    A frame over a group and `__b` then sees all that the rows with `__own` need, so a long series is many tasks.
+    """
+    return df.withColumn("__b", _buckets(at - after, at + before, width)).withColumn("__own", F.col("__b") == F.floor(at / width))
+
+
 def _asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], tolerance_s: int, back_only: bool) -> DataFrame:
     """One row for each distinct (by, left time) that has a match, with the best right row's columns in `__r`.
 
@@ -51,13 +59,15 @@ def trailing_mean(df: DataFrame, *, value: str, happened: str, asked: str, by: l
     """df plus, for each row, the mean of `value` over the rows of its group whose `happened` lies in the window of days before its `asked`.
 
     Strictly causal: what happens at `asked` is not in. Null with fewer than min_n rows. One pass over the
-    union of happenings and questions, ordered within each group.
+    union of happenings and questions, ordered within buckets of time a few windows wide.
     """
     seconds = F.unix_seconds
+    span = window_days * 86_400
     events = df.select(*by, seconds(F.col(happened)).alias("__t"), F.col(value).alias("__v"))
     questions = df.select(*by, seconds(F.col(asked)).alias("__t")).distinct().withColumn("__v", F.lit(None).cast("double"))
-    w = Window.partitionBy(*by).orderBy("__t").rangeBetween(-window_days * 86_400, -1)
     both = events.withColumn("__q", F.lit(False)).unionByName(questions.withColumn("__q", F.lit(True)))
+    both = in_buckets(both, F.col("__t"), 4 * span, span, 0).where(F.col("__own") | ~F.col("__q"))
+    w = Window.partitionBy(*by, "__b").orderBy("__t").rangeBetween(-span, -1)
     both = both.withColumn("__m", F.when(F.count("__v").over(w) >= min_n, F.avg("__v").over(w))).where("__q").select(*by, "__t", F.col("__m").alias(out))
     return df.withColumn("__t", seconds(F.col(asked))).join(both, [*by, "__t"], "left").drop("__t")
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
-from nimbora.operators.asof import around_day
+from nimbora.operators.asof import around_day, in_buckets
 
 #: Limits of each variable; hours of its spike filter's window, and the largest jump from the window's median.
 QC_RANGE = {"temperature_2m": (-45.0, 40.0), "snow_depth": (-0.3, 6.0)}
 QC_SPIKE = {"temperature_2m": (5, 10.0), "snow_depth": (13, 0.5)}
 SNOW_NOISE_M = 0.05
+DAY_US = 86_400_000_000
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 MID_MONTH = (15, 46, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349)
 
@@ -22,8 +23,9 @@ MID_MONTH = (15, 46, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349)
 def centred_median(df: DataFrame, by: Sequence[str], hours: float, out: str, min_n: int = 3) -> DataFrame:
     """Median of the values within half the window on either side, its left end left out."""
     half = int(hours * 1_800_000_000)
-    w = Window.partitionBy(*by).orderBy(F.unix_micros("ts")).rangeBetween(-half + 1, half)
-    return df.withColumn(out, F.when(F.count("v").over(w) >= min_n, F.percentile("v", F.lit(0.5)).over(w)))
+    df = in_buckets(df, F.unix_micros("ts"), max(16 * half, 30 * DAY_US), half - 1, half)
+    w = Window.partitionBy(*by, "__b").orderBy(F.unix_micros("ts")).rangeBetween(-half + 1, half)
+    return df.withColumn(out, F.when(F.count("v").over(w) >= min_n, F.percentile("v", F.lit(0.5)).over(w))).where("__own").drop("__b", "__own")
 
 
 def qc_hourly(df: DataFrame, by: Sequence[str] = ("location",), limits: tuple[float, float] = QC_RANGE["temperature_2m"], spike: tuple[float, float] = QC_SPIKE["temperature_2m"], noise_floor: float | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -51,9 +53,11 @@ def date_spine(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def running_mean(daily: DataFrame, by: Sequence[str] = ("location",), window: int = 7, min_valid: int = 5) -> DataFrame:
     """(by, day, v): mean of a day and the days before it, also on days without a value of their own."""
-    w = Window.partitionBy(*by).orderBy(F.unix_date("day")).rangeBetween(-(window - 1), 0)
     df = date_spine(daily, by).join(daily.select(*by, "day", "v"), [*by, "day"], "left")
-    return df.select(*by, "day", F.when(F.count("v").over(w) >= min_valid, F.avg("v").over(w)).alias("v")).where("v is not null")
+    df = in_buckets(df, F.unix_date("day"), max(16 * window, 366), window - 1, 0)
+    w = Window.partitionBy(*by, "__b").orderBy(F.unix_date("day")).rangeBetween(-(window - 1), 0)
+    df = df.withColumn("v", F.when(F.count("v").over(w) >= min_valid, F.avg("v").over(w))).where("__own and v is not null")
+    return df.select(*by, "day", "v")
 
 
 def season_long(daily: DataFrame, kind: str, by: Sequence[str] = ("location",)) -> DataFrame:

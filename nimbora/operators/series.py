@@ -10,26 +10,43 @@ from pyspark.sql import functions as F
 
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
-from nimbora.operators.asof import nearest_asof
+from nimbora.operators.asof import in_buckets, nearest_asof
 
 
-def islands(df: DataFrame, by: Sequence[str], ts: str = "ts", gap_s: int = 3660, out: str = "island") -> DataFrame:
-    """df plus the number of the run it lies in; a gap over gap_s starts a new one."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    starts = F.coalesce(F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > gap_s * 1_000_000, F.lit(True))
-    return df.withColumn("__new", starts.cast("int")).withColumn(out, F.sum("__new").over(w)).drop("__new")
+BUCKET_US = 7 * 86_400_000_000  # of time within which readings are put in order
+
 
+def islands(df: DataFrame, by: Sequence[str], ts: str = "ts", gap_s: int = 3660, out: str = "island") -> DataFrame:
+    """df plus the number of the run it lies in; a gap over gap_s starts a new one.
 
-def smooth_in_islands(df: DataFrame, by: Sequence[str], value: str = "v", ts: str = "ts", out: str = "smooth") -> DataFrame:
-    """Median of three within each run."""
-    w = Window.partitionBy(*by, "island").orderBy(ts).rowsBetween(-1, 1)
-    return islands(df, by, ts).withColumn(out, F.percentile(value, F.lit(0.5)).over(w))
+    Readings are put in order within weeks, each of which also sees what came shortly before it. The runs that begin
+    in a week are counted, and the numbers of a group's weeks are summed up, one row a week.
+    """
+    gap, t = gap_s * 1_000_000, F.unix_micros(ts)
+    seen = in_buckets(df, t, BUCKET_US, gap, 0)
+    w = Window.partitionBy(*by, "__b").orderBy(ts)
+    starts = F.coalesce(t - F.unix_micros(F.lag(ts).over(w)) > gap, F.lit(True))
+    seen = seen.withColumn("__new", starts.cast("int")).where("__own").withColumn("__k", F.sum("__new").over(w))
+    weeks = seen.groupBy(*by, "__b").agg(F.sum("__new").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__n")
+    weeks = weeks.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("__b").alias("__w"), before.alias("__before"))
+    same = (F.col("__b") == F.col("__w")) & reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)], F.lit(True))
+    return seen.join(weeks, same).select(*df.columns, (F.col("__k") + F.col("__before")).alias(out))
+
+
+def smooth_in_islands(df: DataFrame, by: Sequence[str], value: str = "v", ts: str = "ts", out: str = "smooth", gap_s: int = 3660) -> DataFrame:
+    """Median of three within each run; a week also sees the readings of a run that lie a gap at most before and after it."""
+    gap = gap_s * 1_000_000
+    runs = in_buckets(islands(df, by, ts, gap_s), F.unix_micros(ts), BUCKET_US, gap, gap)
+    w = Window.partitionBy(*by, "island", "__b").orderBy(ts).rowsBetween(-1, 1)
+    return runs.withColumn(out, F.percentile(value, F.lit(0.5)).over(w)).where("__own").drop("__b", "__own")
 
 
 def to_whole_hours(df: DataFrame, by: Sequence[str] = ("location",), max_gap_s: int = 5400) -> DataFrame:
     """(by, ts, v) at whole hours by straight lines between readings at most max_gap_s apart."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    df = df.where("v is not null").select(*by, "ts", "v", F.lead("ts").over(w).alias("t1"), F.lead("v").over(w).alias("v1"))
+    seen = in_buckets(df.where("v is not null").select(*by, "ts", "v"), F.unix_micros("ts"), BUCKET_US, 0, max_gap_s * 1_000_000)
+    w = Window.partitionBy(*by, "__b").orderBy("ts")
+    df = seen.select(*by, "ts", "v", "__own", F.lead("ts").over(w).alias("t1"), F.lead("v").over(w).alias("v1")).where("__own")
     t0, t1 = F.unix_micros("ts") / 1e6, F.unix_micros("t1") / 1e6
     first, last = F.ceil(t0 / 3600), F.floor(t1 / 3600)
     hours = F.when((t1 - t0 <= max_gap_s) & (first <= last), F.sequence(first, last))
@@ -89,8 +106,12 @@ def thin_frames(frames: DataFrame, now: Column, recent_days: int = 30, hour_utc:
 
 def latest_frames(frames: DataFrame, most: int, by: Sequence[str] = ("camera",)) -> DataFrame:
     """The newest `most` frames of each camera."""
-    w = Window.partitionBy(*by).orderBy(F.desc("time"))
-    return frames.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+    newest = lambda df, keys: df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("time")))).where(F.col("__k") <= most).drop("__k")
+    daily = newest(frames.withColumn("__day", F.to_date("time")), [*by, "__day"])  # no camera is one task
+    days = daily.groupBy(*by, "__day").agg(F.count("*").alias("__n"))
+    later = F.sum("__n").over(Window.partitionBy(*by).orderBy(F.desc("__day"))) - F.col("__n")  # one row a day
+    days = days.withColumn("__later", later).where(F.col("__later") < most).select(*by, "__day")
+    return newest(daily.join(days, [*by, "__day"], "left_semi").drop("__day"), by)
 
 
 def pair_stations(bottom: DataFrame, top: DataFrame, tolerance_s: int = 1800) -> DataFrame:
