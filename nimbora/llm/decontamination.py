@@ -66,6 +66,16 @@ def _by_shuffle(words: DataFrame, probes: DataFrame) -> DataFrame:
     return joined.select("doc_id", "__th", F.explode(right).alias("t")).select("doc_id", "__th", "t.start", "t.n", "t.items")
 
 
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a window of an item, with all their columns as they were, also those that are named like results."""
+    own = {c: f"__own_{i}" for i, c in enumerate(documents.columns) if c.lower() in RESULTS}
+    found = contamination(documents.withColumnsRenamed(own), benchmark, window).where("not contaminated").drop(*RESULTS)
+    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*documents.columns)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents plus n_words, n_hit, n_items, items_sha256 and contaminated, as op4's contract states them.
 
@@ -74,8 +84,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     doc_id and text get equal results. Null texts have no words. Without items nothing is hit. Columns of
     `documents` with the names of the results are replaced.
     """
-    results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    documents = documents.drop(*[c for c in documents.columns if c.lower() in results])
+    documents = documents.drop(*[c for c in documents.columns if c.lower() in RESULTS])
     windows = item_windows(benchmark, window)
     rows = windows.count()
     text_key = F.xxhash64("text")

@@ -170,7 +170,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
 
 def score_quality(df: DataFrame, model: FactorisationMachine, text: str = "text", out: str = "score") -> DataFrame:
-    """df plus the machine's score of each text, 0 to 1; a null text scores as an empty one."""
+    """df plus the machine's score of each text, 0 to 1; a null text scores as an empty one, equal texts alike.
+
+    A column of df with the name `out` is replaced. An empty table stays empty.
+    """
+    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != text])
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input's size
 
     @F.pandas_udf("double")

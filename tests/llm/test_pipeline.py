@@ -1,9 +1,11 @@
 """The pipeline against its decisions worked out one by one."""
 
 import re
+from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nimbora.llm import quality
@@ -40,3 +42,19 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_are_named_in_order():
     assert [n.split()[0] for n, _ in corpus_pipeline.STAGES] == ["quality", "n-gram", "benchmark", "secret", "SentencePiece"]
+
+
+def test_stages_on_odd_documents(spark, odd_documents, no_documents, tmp_path):
+    """Nulls, empty and long texts, repeated rows, no rows and clashing names, through every stage by itself."""
+    extra = odd_documents.withColumns({"score": F.lit("s"), "secrets": F.lit(1), "contaminated": F.lit("c"), "n_chars": F.length("text").cast("long"), "n_hit": F.lit(None).cast("int")})
+    spark.createDataFrame([(1, 1, 0), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text(*range(205, 230))), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stay = {"n-gram Jaccard join": 8, "benchmark decontamination": 11, "secret scans": 14, "SentencePiece encoding": 14}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, extra, f"file://{tmp_path}")
+        assert got.columns[: len(extra.columns)] == extra.columns and len(got.columns) == len(extra.columns) + (name == "SentencePiece encoding")
+        rows = got.collect()
+        assert len(rows) == stay.get(name, len(rows)), name
+        known = Counter(map(tuple, extra.collect()))
+        assert not Counter(tuple(r)[: len(extra.columns)] for r in rows) - known, name
+        assert stage(spark, no_documents, f"file://{tmp_path}").collect() == [], name
