@@ -11,29 +11,39 @@ from nimbora.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects.
+
+    Rows with null ids are scored like others; a null text scores as an empty one; repeated rows are kept or go together.
+    An empty table stays empty. All columns stay as they were, whatever their names.
+    """
     return quality.keep_good(docs, table(ship(spark), sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that with the smallest id, a null id after all others.
+
+    Null, empty and wordless texts are copies of nothing and all stay. Repeated rows become one. All columns stay as they were.
+    """
     ship(spark)
     return jaccard_join.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(*docs.columns)
+    """Drops the documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none; repeated rows stay or go together. All columns stay as they were, also those
+    that are named like the operator's results.
+    """
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces the secrets in all texts."""
+    """Replaces the secrets in all texts; n_chars follows a text that changes. Every row and column stays, a null text too."""
     return secret_scan.redact_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the piece ids of their texts."""
+    """The documents with the piece ids of their texts; null and empty texts have none. Raises where a column `ids` exists already."""
     ship(spark)
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
