@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import gram_hashes, mix, new_folder, pieces_of, powers, table, word_hashes
+from nimbora.llm.common import gram_hashes, join_facts, mix, new_folder, pieces_of, powers, table, word_hashes
 from nimbora.llm.url_filter import bloom_filter, maybe_listed
 
 WINDOW = 50  # words that a repeat has at least
@@ -139,7 +139,7 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     2. Extend: where a key has several contexts, the first document of each is extended to every 50-word run
        around the anchor, and the runs are counted by their words. Copies are represented by their first
        document here, so the work doesn't grow with the square of a group's size.
-    Both counts are pre-aggregated before they are shuffled, and their joins are equi-joins that can be split.
+    All counts are pre-aggregated before they are shuffled, and no context, key or run makes one large task.
     """
     spark = documents.sparkSession
     base = _ids(documents)
@@ -147,13 +147,16 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     base.select("did", "text").mapInPandas(_anchor_rows, "key long, context long, did long").write.parquet(folder, compression="zstd")
     anchors = spark.read.parquet(folder)
 
-    contexts = anchors.groupBy("key", "context").agg(F.min("did").alias("first"), F.max("did").alias("most"))
-    shared = contexts.where("most > first").select("key", "context", "first")
-    marks = anchors.join(shared, ["key", "context"]).where("did > first").select("did", "context").distinct()
+    folder = new_folder(spark, "contexts")
+    counted = anchors.groupBy("key", "context").agg(F.min("did").alias("first"), F.max("did").alias("most"), F.count("*").alias("n"))
+    counted.write.parquet(folder, compression="zstd")
+    contexts = spark.read.parquet(folder)
+    shared = contexts.where("most > first").select("key", "context", "first", "n")
+    marks = join_facts(anchors, shared, ["key", "context"], "n", anchors.count()).where("did > first").select("did", "context").distinct()
     marks = marks.groupBy("did").agg(F.collect_list("context").alias("marks"))
 
-    several = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    firsts = contexts.join(several, "key").groupBy(F.col("first").alias("did")).agg(F.collect_set("context").alias("marks"))
+    several = contexts.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1")
+    firsts = join_facts(contexts, several, ["key"], "of_key", contexts.count()).groupBy(F.col("first").alias("did")).agg(F.collect_set("context").alias("marks"))
     folder = new_folder(spark, "extend")
     firsts.write.parquet(folder)
     firsts = spark.read.parquet(folder)
@@ -163,8 +166,10 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = some.join(firsts, "did").mapInPandas(_extended, "key long, run long, did long, th long, start int")
     runs.write.parquet(folder, compression="zstd")
     runs = spark.read.parquet(folder)
-    least = runs.groupBy("key", "run").agg(F.min("did").alias("first"), F.max("did").alias("most")).where("most > first")
-    runs = runs.join(least.select("key", "run", "first"), ["key", "run"]).where("did > first")
+    least = runs.groupBy("key", "run").agg(F.min("did").alias("first"), F.max("did").alias("most"), F.count("*").alias("n")).where("most > first")
+    folder = new_folder(spark, "repeated")
+    least.select("key", "run", "first", "n").write.parquet(folder, compression="zstd")
+    runs = join_facts(runs, spark.read.parquet(folder), ["key", "run"], "n", runs.count()).where("did > first")
     return marks, runs.groupBy("did", "th").agg(F.collect_set("start").alias("starts"))
 
 
