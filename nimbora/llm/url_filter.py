@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import lower_ascii
+from nimbora.llm.common import join_facts, lower_ascii
 
 #: Default list of blocked sites and pages: canonical host (no "www." or "m."), then "/" for a whole
 #: site with its subdomains, or the path of one page without a closing "/".
@@ -63,7 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     one wins. listed(key): canonical URLs, or "host/" for whole sites. Where no rule fits, the verdict is
     "block" for listed pages, else "allow". Rules and list share one Bloom filter; what passes it is
     joined exactly, so its false positives never show. A null or malformed url has empty host and path,
-    fits nothing and is allowed. Repeated rows get equal results; an empty list or rule set is allowed;
+    fits nothing and is allowed. No url is too frequent: common ones and nulls are not dealt by url. Repeated rows
+    get equal results; an empty list or rule set is allowed;
     columns of `pages` named host, path, rule or verdict are replaced.
     """
     rules = rules.where("rule is not null").select(F.col("rule").alias("key"), F.col("verdict").alias("says"), F.lit("rule").alias("kind"))
@@ -73,7 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     bloom, blocks = bloom_filter(entries.select("key").distinct(), facts[0])
 
     host, path = url_parts(F.col("url"))
-    urls = pages.select("url").where("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
+    urls = pages.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).select("url", "n", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.left("path", F.lit(n)) for n in lengths if n > 0], *([F.lit("")] if 0 in lengths else []))
@@ -84,10 +85,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     hits = maybe_listed(probes, bloom, blocks).join(entries, ["key", "kind"])
     best = F.max(F.when(F.col("kind") == "rule", F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("says"))))
     found = hits.groupBy("url").agg(best.alias("best"), F.bool_or(F.col("kind") == "list").alias("on_list"))
-    kept = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "best", "on_list")])
-    host, path = url_parts(F.col("url"))
+    kept = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")])
     verdict = F.coalesce("best.says", F.when(F.col("on_list"), "block"), F.lit("allow"))
-    return kept.join(found, "url", "left").select(*[kept[c] for c in kept.columns], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    facts = urls.join(found, "url", "left").select("url", F.col("n").alias("__n"), F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    out = join_facts(kept.where("url is not null"), facts, ["url"], "__n", pages.count())
+    out = out.unionByName(kept.where("url is null").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")}), allowMissingColumns=True)
+    host, path = url_parts(F.col("url"))
+    return out.select(*kept.columns, host.alias("host"), path.alias("path"), "rule", "verdict")
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
