@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import table, words_of
+from nimbora.llm.common import new_folder, table, words_of
 
 SHINGLE = 5
 FRACTION = 1 / 8  # of the hash space that a sketch retains
 DOCUMENT_FRACTION = 1 / 2  # of op10's sketches: 1/8 leaves too few hashes of texts of a few dozen words
-#: Ids of one block are ordered in one task; only the ends of blocks meet in one place.
-ID_BLOCK_BITS = 16
 
 
 def limit_of(fraction: float) -> int:
@@ -76,18 +74,22 @@ def as_text(sketch: Column) -> Column:
 def next_keys(keys: DataFrame) -> DataFrame:
     """keys(rid, th) plus next_rid, next_th: the row that follows in the order rid descending, th ascending; the first follows the last.
 
-    Ids are ordered within blocks of 2**16 values; between blocks one row each is ordered in one task.
+    Keys are dealt by sampled ranges of that order, so that neither the spread of the ids nor a frequent one matters; only the
+    first row of each range meets the others in one place.
     """
-    keys = keys.withColumn("__block", F.shiftright("rid", ID_BLOCK_BITS))
-    inside = Window.partitionBy("__block").orderBy(F.desc("rid"), "th")
+    spark = keys.sparkSession
+    folder = new_folder(spark, "ordered-keys")
+    dealt = keys.select("rid", "th").repartitionByRange(F.desc("rid"), F.asc("th"))
+    dealt.withColumn("__part", F.spark_partition_id()).write.parquet(folder)
+    keys = spark.read.parquet(folder)
     here = F.struct("rid", "th")
-    own = keys.withColumn("__next", F.lead(here).over(inside))
-    tops = keys.groupBy("__block").agg(F.max(F.struct("rid", (-F.col("th").cast("decimal(20,0)")).alias("t"), "th")).alias("top"))
-    tops = tops.select("__block", F.struct("top.rid", "top.th").alias("top"))
-    blocks = Window.orderBy(F.desc("__block"))
-    across = tops.select("__block", F.lead("top").over(blocks).alias("__after"), F.first("top").over(blocks).alias("__first"))
+    own = keys.withColumn("__next", F.lead(here).over(Window.partitionBy("__part").orderBy(F.desc("rid"), "th")))
+    tops = keys.groupBy("__part").agg(F.max(F.struct("rid", (-F.col("th").cast("decimal(20,0)")).alias("t"), "th")).alias("top"))
+    tops = tops.select("__part", F.struct("top.rid", "top.th").alias("top"))
+    parts = Window.orderBy("__part")  # one row a part
+    across = tops.select("__part", F.lead("top").over(parts).alias("__after"), F.min_by("top", "__part").over(Window.partitionBy()).alias("__first"))
     nxt = F.coalesce("__next", "__after", "__first")
-    return own.join(across, "__block").select("rid", "th", nxt["rid"].alias("next_rid"), nxt["th"].alias("next_th"))
+    return own.join(across, "__part").select("rid", "th", nxt["rid"].alias("next_rid"), nxt["th"].alias("next_th"))
 
 
 def fingerprint_with_edits(documents: DataFrame, fraction: float = DOCUMENT_FRACTION) -> DataFrame:
