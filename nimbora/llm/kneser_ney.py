@@ -10,18 +10,17 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import mix, new_folder, pieces_of, table, word_hashes
+from nimbora.llm.common import mix, new_folder, pack, pieces_of, table, unpack, word_hashes
 
-KEY_BITS = 48  # of a word's hash that are kept
-END, BEGIN = np.uint64(0x5EED0000E0D1), np.uint64(0x5EED0000BE61)  # keys of the end token and of the context before a text
+END, BEGIN = np.uint64(0x5EED0000E0D15EED), np.uint64(0x5EED0000BE615EED)  # keys of the end token and of the context before a text
 _PAIR = np.uint64(0xFF51AFD7ED558CCD)
 FLUSH_TOKENS = 3_000_000  # a task sends its counts on when it has read so many
 SHARD_TOKENS = 1_500_000  # training tokens for each shard of the model, about
 ORDER = 3  # of op8's model
+GRAMS = "shard long, seen array<long>, data binary"
 FIELDS = ("count", "continuation", "total", "n1", "n2", "n3")  # of a gram below the top level; the last four as a context
 
 
@@ -43,7 +42,7 @@ def tokens_of(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndar
     keys = np.empty(len(hashes) + len(texts), np.uint64)
     is_end = np.zeros(len(keys), bool)
     is_end[ends - 1] = True
-    keys[~is_end] = hashes >> np.uint64(64 - KEY_BITS)
+    keys[~is_end] = hashes
     keys[is_end] = END
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     place = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -63,19 +62,6 @@ def is_short(tokens: list[np.ndarray]) -> np.ndarray:
     return (tokens[0] == BEGIN) & (tokens[1] == BEGIN) if len(tokens) > 1 else np.zeros(len(tokens[0]), bool)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
-    raw = b"".join(planes)
-    return len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
-
-
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
-    return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.uint64).ravel() for p in raw.reshape(columns, -1)]
-
-
 def pack_grams(tokens: list[np.ndarray], *columns: np.ndarray) -> bytes:
     """Grams with their columns, sorted; tokens are places in a dictionary that comes first."""
     words, places = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -117,8 +103,11 @@ def _word_shard(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return (unique, first, *(np.bincount(inverse, c, len(unique)).astype(np.uint64) for c in columns))
+    """Distinct keys, a place of each, and its sums of the columns."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[first], order[first], *(np.add.reduceat(c[order], first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64) for c in columns))
 
 
 def _by_shard(shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -140,11 +129,12 @@ def _count_grams(order: int, bits: int):
         held, room = [], 0
 
         def flush() -> pd.DataFrame:
-            tokens = [np.concatenate(x) for x in zip(*held, strict=True)]
+            tokens = [np.concatenate([h.pop(0) for h in held]) for _ in range(order)]
             keys = gram_keys(tokens)
-            unique, first, counts = _summed(keys, np.ones(len(keys)))
-            parts = _by_shard(_gram_shard(unique, order, bits), [*(t[first] for t in tokens), counts])
-            return pd.DataFrame([(s, pack_grams(c[:-1], c[-1])) for s, c in parts], columns=["shard", "data"])
+            unique, first, counts = _summed(keys, np.ones(len(keys), np.uint8))
+            tokens = [t[first] for t in tokens]
+            parts = _by_shard(_gram_shard(unique, order, bits), [*tokens, counts])
+            return pd.DataFrame([(s, None, pack_grams(c[:-1], c[-1])) for s, c in parts], columns=["shard", "seen", "data"])
 
         for frame in frames:
             texts = [t.encode("utf-8", "replace") for t in frame.text]
@@ -167,39 +157,61 @@ def _write_level(path: str, keys: np.ndarray, fields: list[np.ndarray]) -> None:
     _write(path, np.array([len(keys), *map(len, big)], np.uint64), keys, *many, *(np.minimum(f, 255).astype(np.uint8) for f in fields))
 
 
+def _passed_on(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a negative shard: how many grams of a level have counts 1 to 4. They go on to the last level."""
+    return pd.DataFrame([(key[0], np.sum(np.stack(frame.seen.tolist()), 0).tolist(), None)], columns=["shard", "seen", "data"])
+
+
 def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
     """Writes a shard's sorted gram hashes with their counts (and sums as contexts); sends on what the next level sums up from it."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return _passed_on(key, frame)
         tokens, columns = unpack_grams(frame.data.tolist(), level, 1 if top else len(FIELDS))
         keys, first, *columns = _summed(gram_keys(tokens), *columns)
-        tokens, full = [t[first] for t in tokens], ~is_short([t[first] for t in tokens])
+        tokens = [t[first] for t in tokens]
+        full = ~is_short(tokens)
         raw = columns[0]
         counts = raw if top else np.where(tokens[0] == BEGIN, raw, columns[1])
         _write_level(f"{folder}/{level}/{key[0]}", keys[full], [c[full] for c in (counts, *columns[2:])])
-        rows = [("", -1, [int((counts[full] == i).sum()) for i in (1, 2, 3, 4)], b"")]
-        suffix, context, c = tokens[1:], [t[full] for t in tokens[:-1]], counts[full]
-        zero, none = np.zeros(len(raw)), np.zeros(int(full.sum()))
-        lower = [np.concatenate(x) for x in zip(suffix, context, strict=True)]
-        sums = [np.concatenate(x) for x in ((raw, none), (full, none), (zero, c), (zero, c == 1), (zero, c == 2), (zero, c > 2))]
-        unique, first, *sums = _summed(gram_keys(lower), *sums)
-        for s, c in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *sums]):
-            rows.append(("gram", s, None, pack_grams(c[: level - 1], *c[level - 1 :])))
-        return pd.DataFrame(rows, columns=["kind", "shard", "seen", "data"])
+        seen = [int((counts[full] == i).sum()) for i in (1, 2, 3, 4)]
+        rows = [(-(level + 100 * (1 + key[0] % 64)), seen, None)]
+        del keys, columns
+
+        def sums(lower: list[np.ndarray], own: dict[str, np.ndarray]) -> list[np.ndarray]:
+            """Tokens and all fields of the grams a level lower."""
+            unique, first, *found = _summed(gram_keys(lower), *own.values())
+            known, none = dict(zip(own, found, strict=True)), np.zeros(len(unique), np.uint64)
+            return [*(t[first] for t in lower), *(known.get(f, none) for f in FIELDS)]
+
+        c = counts[full]
+        found = [sums(tokens[1:], {"count": raw, "continuation": full}), sums([t[full] for t in tokens[:-1]], {"total": c, "n1": c == 1, "n2": c == 2, "n3": c > 2})]
+        if level == 2:  # words are few: one row each, in place of one as a word and one as a context
+            both = [np.concatenate(x) for x in zip(*found, strict=True)]
+            words, _, *fields = _summed(both[0], *both[1:])
+            found = [[words, *fields]]
+        for part in found:
+            for s, c in _by_shard(_gram_shard(gram_keys(part[: level - 1]), level - 1, below), part):
+                rows.append((s, None, pack_grams(c[: level - 1], *c[level - 1 :])))
+        return pd.DataFrame(rows, columns=["shard", "seen", "data"])
 
     return run
 
 
 def _merge_words(folder: str):
-    """Writes a shard's sorted word hashes with their sums; gives what the whole model needs from it."""
+    """Writes a shard's sorted word hashes with their sums; gives what the whole model needs from it, and from the levels above."""
+    columns = ["level", "tokens", "types", "pairs", "n1", "n2", "n3", "n4", "more"]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        (keys,), columns = unpack_grams(frame.data.tolist(), 1, len(FIELDS))
-        unique, _, *sums = _summed(keys, *columns)
-        _write(f"{folder}/words/{key[0]}", np.array([len(unique)], np.uint64), unique, *sums)
+        if key[0] < 0:
+            return pd.DataFrame([(-key[0] % 100, 0, 0, 0, *_passed_on(key, frame).seen[0], 0)], columns=columns)
+        (keys,), found = unpack_grams(frame.data.tolist(), 1, len(FIELDS))
+        unique, _, *sums = _summed(keys, *found)
+        _write_level(f"{folder}/words/{key[0]}", unique, sums)
         count, continuation = sums[:2]
         n = [int((continuation == i).sum()) for i in (1, 2, 3, 4)] + [int((continuation > 2).sum())]
-        return pd.DataFrame([(int(count.sum()), int((count > 0).sum()), int(continuation.sum()), *n)], columns=["tokens", "types", "pairs", "n1", "n2", "n3", "n4", "more"])
+        return pd.DataFrame([(1, int(count.sum()), int((count > 0).sum()), int(continuation.sum()), *n)], columns=columns)
 
     return run
 
@@ -228,11 +240,11 @@ class KneserNey:
     high: list[np.ndarray]
     left: float  # the unigram level's share for words never seen
 
-    def _level(self, level: int, shard: int):
+    def _level(self, level: int | str, shard: int, fields: int):
+        """Keys of a shard's file, and for each field (places of large values, these, all values as bytes)."""
         path = f"{self.folder}/{level}/{shard}"
         if not os.path.exists(path):
             return None
-        fields = 1 if level == self.order else len(FIELDS) - 1
         n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
         at, out = 8 * (1 + fields), []
         for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
@@ -240,12 +252,18 @@ class KneserNey:
             at += size * np.dtype(kind).itemsize
         return out[0], [(out[1 + 2 * i], out[2 + 2 * i], out[1 + 2 * fields + i]) for i in range(fields)]
 
-    def _words(self, shard: int):
-        path = f"{self.folder}/words/{shard}"
-        if not os.path.exists(path):
-            return None
-        n = int(np.memmap(path, np.uint64, "r", shape=(1,))[0])
-        return np.memmap(path, np.uint64, "r", 8, (1 + len(FIELDS), n))
+    @staticmethod
+    def _looked_up(found: tuple, keys: np.ndarray) -> np.ndarray:
+        """(field, key) values; zero for keys that are not there."""
+        known, fields = found
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[place] == keys
+        out = np.zeros((len(fields), len(keys)), np.int64)
+        for row, (big, many, small) in zip(out, fields, strict=True):
+            row[:] = np.where(hit, small[place], 0)
+            more = np.flatnonzero(row == 255)
+            row[more] = many[np.searchsorted(big, place[more])]
+        return out
 
     def gram_sums(self, level: int, grams: np.ndarray) -> np.ndarray:
         """(field, gram) counts, and below the top sums as a context, of sorted gram hashes; zero for grams never seen."""
@@ -253,29 +271,18 @@ class KneserNey:
         shards = _shard(grams, self.bits)
         cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
         for s in np.unique(shards):
-            found, a, b = self._level(level, s), cuts[s], cuts[s + 1]
-            if found is None or not len(found[0]):
-                continue
-            keys, fields = found
-            place = np.minimum(np.searchsorted(keys, grams[a:b]), len(keys) - 1)
-            hit = keys[place] == grams[a:b]
-            for i, (big, many, small) in enumerate(fields):
-                got = np.where(hit, small[place], 0).astype(np.int64)
-                more = np.flatnonzero(got == 255)
-                got[more] = many[np.searchsorted(big, place[more])]
-                out[i, a:b] = got
+            found, a, b = self._level(level, s, len(out)), cuts[s], cuts[s + 1]
+            if found is not None and len(found[0]):
+                out[:, a:b] = self._looked_up(found, grams[a:b])
         return out
 
     def word_sums(self, keys: np.ndarray) -> np.ndarray:
         """(field, word) sums of distinct word keys; zero for words never seen."""
         out = np.zeros((len(FIELDS), len(keys)), np.int64)
         for s, (places,) in _by_shard(_word_shard(keys, self.word_bits), [np.arange(len(keys))]):
-            found = self._words(s)
-            if found is None or not found.shape[1]:
-                continue
-            place = np.minimum(np.searchsorted(found[0], keys[places]), found.shape[1] - 1)
-            hit = found[0][place] == keys[places]
-            out[:, places[hit]] = found[1:, place[hit]]
+            found = self._level("words", s, len(FIELDS))
+            if found is not None and len(found[0]):
+                out[:, places] = self._looked_up(found, keys[places])
         return out
 
     def score(self, texts: list[bytes]) -> pd.DataFrame:
@@ -311,7 +318,7 @@ def fit_kneser_ney(documents: DataFrame, order: int = 2) -> KneserNey:
 
     The top level and grams from the beginning of a text have counts, the others continuation counts. Gram counts
     are summed within tasks, cut into shards by gram hash, so that no frequent word makes a large shard, and
-    shuffled as packed arrays. An empty table gives a model that knows no word.
+    shuffled as packed arrays. All levels are one job; a task that runs again writes the same files. An empty table gives a model that knows no word.
     """
     if order < 2:
         raise ValueError(f"the order must be 2 at least, not {order}")
@@ -322,37 +329,37 @@ def fit_kneser_ney(documents: DataFrame, order: int = 2) -> KneserNey:
     word_bits = max(0, bits - 2)
     folder = new_folder(spark, "kneser-ney")
     local = local_path(folder)
-    grams, high = base.mapInPandas(_count_grams(order, bits), "shard long, data binary"), []
+    grams = base.mapInPandas(_count_grams(order, bits), GRAMS)
     for level in range(order, 1, -1):
-        run = _merge_grams(local, level, level == order, bits, bits if level > 2 else word_bits)
-        merged = grams.groupBy("shard").applyInPandas(run, "kind string, shard long, seen array<long>, data binary")
-        merged.write.parquet(f"{folder}/sums-{level}", compression="none")
-        merged = spark.read.parquet(f"{folder}/sums-{level}")
-        seen = merged.where("kind = ''").agg(*[F.sum(F.col("seen")[i]) for i in range(4)]).first()
-        high.insert(0, discounts(*(x or 0 for x in seen)))
-        grams = merged.where("kind = 'gram'").select("shard", "data")
-    facts = grams.groupBy("shard").applyInPandas(
-        _merge_words(local), "tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long, more long"
-    )
-    tokens, types, pairs, n1, n2, n3, n4, more = (x or 0 for x in facts.agg(*[F.sum(c) for c in facts.columns]).first())
+        grams = grams.groupBy("shard").applyInPandas(_merge_grams(local, level, level == order, bits, bits if level > 2 else word_bits), GRAMS)
+    facts = grams.groupBy("shard").applyInPandas(_merge_words(local), "level int, tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long, more long")
+    sums = {r[0]: r[1:] for r in facts.groupBy("level").agg(*[F.sum(c) for c in facts.columns[1:]]).collect()}  # one row a level
+    high = [discounts(*sums.get(level, [0] * 8)[3:7]) for level in range(2, order + 1)]
+    tokens, types, pairs, n1, n2, n3, n4, more = sums.get(1, [0] * 8)
     low = discounts(n1, n2, n3, n4)
     left = (low[1] * n1 + low[2] * n2 + low[3] * more) / pairs if pairs else 1.0
     return KneserNey(local, order, bits, word_bits, tokens, types, pairs, low, high, left)
 
 
 def score_texts(documents: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row of documents(doc_id, text)."""
+    """(doc_id, n_tokens, n_known, base_score, score) of each row of documents(doc_id, text), repeated rows each.
+
+    Ids are integers; null ids stay null. A null or empty text is scored as its end token alone.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t.encode("utf-8", "replace") for t in frame.text]
             for a, b in pieces_of(texts, 1 << 22):
                 out = model.score(texts[a:b])
-                out.insert(0, "doc_id", pd.array(frame.doc_id.iloc[a:b], "Int64"))
+                out.insert(0, "doc_id", frame.doc_id.to_numpy()[a:b])
+                out.insert(1, "has_id", frame.has_id.to_numpy()[a:b])
                 yield out
 
     text = F.coalesce("text", F.lit("")).alias("text")
-    return documents.select("doc_id", text).mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    ids = F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.isnotnull("doc_id").alias("has_id")
+    out = documents.select(*ids, text).mapInPandas(run, "doc_id long, has_id boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", "base_score", "score")
 
 
 def held_out():
