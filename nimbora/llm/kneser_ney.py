@@ -187,13 +187,12 @@ def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
 
         c = counts[full]
         found = [sums(tokens[1:], {"count": raw, "continuation": full}), sums([t[full] for t in tokens[:-1]], {"total": c, "n1": c == 1, "n2": c == 2, "n3": c > 2})]
-        if level == 2:  # words are few: one row each, in place of one as a word and one as a context
-            both = [np.concatenate(x) for x in zip(*found, strict=True)]
-            words, _, *fields = _summed(both[0], *both[1:])
-            found = [[words, *fields]]
-        for part in found:
-            for s, c in _by_shard(_gram_shard(gram_keys(part[: level - 1]), level - 1, below), part):
-                rows.append((s, None, pack_grams(c[: level - 1], *c[level - 1 :])))
+        both = [np.concatenate(x) for x in zip(*found, strict=True)]
+        del found, tokens, c
+        lower, fields = both[: level - 1], both[level - 1 :]
+        unique, first, *fields = _summed(gram_keys(lower), *fields)
+        for s, part in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *fields]):
+            rows.append((s, None, pack_grams(part[: level - 1], *part[level - 1 :])))
         return pd.DataFrame(rows, columns=["shard", "seen", "data"])
 
     return run
