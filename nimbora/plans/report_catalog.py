@@ -213,8 +213,9 @@ SELECT location, model, string_agg(strftime(valid_time, '%Y-%m-%dT%H:%MZ'), ','
 
 
 def _as_text(df):
-    values = F.transform("values", lambda v: F.coalesce(F.format_string("%.2f", v), F.lit("")))
-    return df.select("location", "model", F.array_join("times", ",").alias("times"), F.array_join(F.transform(F.col("values"), lambda v: F.when(v.isNull(), "").otherwise(F.format_string("%.2f", v))), ",").alias("values"))
+    """Arrays as text; a gap in the values is empty."""
+    values = F.transform("values", lambda v: F.when(v.isNull(), "").otherwise(F.format_string("%.2f", v)))
+    return df.select("location", "model", F.array_join("times", ",").alias("times"), F.array_join(values, ",").alias("values"))
 
 
 @_query("q6_forecast_grid", f"WITH {tb.FC}, picked AS (SELECT * FROM (SELECT *, max(issued_at) OVER (PARTITION BY location) AS newest FROM (SELECT * FROM fc WHERE issued_at < TIMESTAMP '2024-01-25')) WHERE issued_at = newest), {_ARRAYS}")
