@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import pieces_of, table, word_hashes
+from nimbora.llm.common import let_go, pieces_of, table, word_hashes
 
 BUCKET_BITS = 16  # hashed words
 RANK = 8
@@ -181,6 +181,7 @@ def score_quality(df: DataFrame, model: FactorisationMachine, text: str = "text"
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             yield pd.Series(shared.value.score([(t or "").encode("utf-8", "replace") for t in series]))
+        let_go()
 
     return df.withColumn(out, score(F.col(text)))
 
