@@ -56,6 +56,15 @@ def maybe_listed(probes: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
     return joined.where(hit).select(*probes.columns)
 
 
+def with_possibly(probes: DataFrame, bloom: DataFrame, blocks: int, out: str) -> DataFrame:
+    """All rows, and in column `out` whether their `key` may be in the filter."""
+    hit = F.lit(True)
+    for i, b in enumerate(_bits(F.col("key"))):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
+    joined = probes.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom), "block", "left")
+    return joined.select(*probes.columns, F.coalesce(hit, F.lit(False)).alias(out))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """pages plus host, path, rule and verdict.
 
