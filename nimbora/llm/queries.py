@@ -26,5 +26,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_decontamination": decontamination.SQL, "op6_substring_dedup": substring_dedup.SQL, "op7_url_filters": url_filter.SQL,
-        "op12_fill_in_middle": fill_in_middle.SQL, "op13_conversation_prefix_trie": conversation_trie.SQL,
+        "op11_suffix_array_dedup": suffix_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_conversation_prefix_trie": conversation_trie.SQL,
     }

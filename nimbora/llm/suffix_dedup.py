@@ -579,3 +579,20 @@ def _found(documents: DataFrame):
 def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_byte_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+r AS (SELECT doc_id, s, hash(b[s:s + {WINDOW - 1}]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - {WINDOW - 1})) AS s FROM d WHERE octet_length(b) >= {WINDOW})),
+f AS (SELECT h, min(doc_id) AS first FROM r GROUP BY h),
+hit AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > {WINDOW}, true)::INT AS new FROM r JOIN f USING (h) WHERE first < doc_id),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM hit),
+span AS (SELECT doc_id, min(s) AS a, max(s) + {WINDOW} AS e FROM run GROUP BY doc_id, k),
+total AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY 1),
+edge AS (SELECT doc_id, e AS a FROM span UNION ALL SELECT doc_id, 1 FROM d),
+stop AS (SELECT doc_id, a AS e FROM span UNION ALL SELECT doc_id, octet_length(b) + 1 FROM d),
+pair AS (SELECT * FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM edge) JOIN (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS k FROM stop) USING (doc_id, k)),
+kept AS (SELECT doc_id, string_agg(substr(hex(b), (2 * a - 1)::BIGINT, (2 * (e - a))::BIGINT), '' ORDER BY a) AS x FROM pair JOIN d USING (doc_id) WHERE e > a GROUP BY 1)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
