@@ -63,8 +63,12 @@ def fair_crps(members: Column, observed: Column) -> Column:
 
 def array_quantile(values: Column, q: float) -> Column:
     """Quantile of an array with linear interpolation."""
-    x = F.array_sort(values)
-    at = (F.size(values) - 1) * F.lit(float(q))
+    return sorted_quantile(F.array_sort(values), q)
+
+
+def sorted_quantile(x: Column, q: float) -> Column:
+    """Quantile of an array in ascending order."""
+    at = (F.size(x) - 1) * F.lit(float(q))
     low = F.floor(at).cast("int")
     a = F.get(x, low)
     return a + (F.coalesce(F.get(x, low + 1), a) - a) * (at - low)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
+from nimbora.operators import ranks
 
 BLEND = "blend"
 WINDOW_DAYS, MIN_TRAIN, MIN_MEMBERS, MAE_FLOOR, POWER, LEVEL = 90, 30, 2, 0.5, 2.0, 0.8
@@ -63,21 +64,18 @@ def trained_members(pairs: DataFrame, by: Sequence[str] = ("location",), window_
     """pairs plus the bias and mae that each one's model had shown before the block of time began in which it was issued, and its rank by mae among those that
     forecast the same hour.
 
-    There is no loop over blocks: each training pair is copied to the starts of those blocks whose window it
-    lies in (a handful), and one aggregation learns all blocks' coefficients.
+    There is no loop over blocks, and no pair is copied: errors are summed up by model, lead, regime and day, and each block's
+    coefficients are one frame of days over these sums, so shorter blocks cost no more than longer ones.
     """
     df = with_part_of_day(pairs)
     keys = [*by, "model", "lead_day", *regime]
-    step = {"month": "interval 1 month", "week": "interval 7 days", "day": "interval 1 day"}[block]
-    first = F.date_trunc(block, "valid_time") + F.expr(step)
-    last = F.date_trunc(block, F.col("valid_time") + F.make_dt_interval(days=F.lit(window_days)))
-    blocks = df.select(block_start(F.col("issued_at"), block).alias("block")).distinct()
-    train = df.withColumn("block", F.explode(F.when(first <= last, F.sequence(first, last, F.expr(step)))))
-    train = train.join(blocks, "block", "left_semi")
-    inside = F.unix_micros("block") - F.unix_micros("valid_time")
-    train = train.where((inside > 0) & (inside <= window_days * 86_400_000_000))
-    coef = _coefficients(train, ["block", *keys], min_train)
-    members = df.withColumn("block", block_start(F.col("issued_at"), block)).join(coef.select("block", *keys, "bias", "mae"), ["block", *keys])
+    days = df.groupBy(*keys, F.unix_date(F.to_date("valid_time")).alias("__d")).agg(F.sum("error").alias("__e"), F.sum("abs_error").alias("__a"), F.count("error").alias("__n"))
+    asked = df.select(*keys, block_start(F.col("issued_at"), block).alias("block")).distinct().withColumn("__d", F.unix_date(F.to_date("block")))
+    w = Window.partitionBy(*keys).orderBy("__d").rangeBetween(-window_days, -1)  # a row a day
+    sums = {c: F.sum(c).over(w) for c in ("__e", "__a", "__n")}
+    coef = days.unionByName(asked, allowMissingColumns=True).withColumns({f"{c}w": s for c, s in sums.items()}).where(F.col("block").isNotNull() & (F.col("__nw") >= min_train))
+    coef = coef.select("block", *keys, (F.col("__ew") / F.col("__nw")).alias("bias"), (F.col("__aw") / F.col("__nw")).alias("mae"))
+    members = df.withColumn("block", block_start(F.col("issued_at"), block)).join(coef, ["block", *keys])
     forecast = Window.partitionBy(*by, "issued_at", "valid_time", "lead_day").orderBy("mae", "model")  # one row a model
     return members.withColumn("rank", F.row_number().over(forecast))
 
@@ -101,14 +99,14 @@ def live_blend(rows: DataFrame, coef: DataFrame, by: Sequence[str] = ("location"
 
 def residual_quantiles(pairs: DataFrame, by: Sequence[str] = ("location",), level: float = LEVEL, min_n: int = 50) -> DataFrame:
     """(by, lead_day, low, high, n): exact quantiles of the signed error that hold the central share `level`."""
-    q = F.percentile("error", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2)))
-    out = pairs.groupBy(*by, "lead_day").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    out = ranks.quantiles(pairs, [*by, "lead_day"], "error", [(1 - level) / 2, 1 - (1 - level) / 2]).where(F.col("n") >= min_n)
     return out.select(*by, "lead_day", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
 
 
 def band_coverage(pairs: DataFrame, by: Sequence[str] = ("location",), level: float = LEVEL, split: float = 0.7, min_n: int = 50) -> DataFrame:
     """(by, coverage, n): how much of the later issue times a band learned on the earlier ones holds."""
-    cut = pairs.groupBy(*by).agg(F.percentile(F.unix_micros("issued_at"), F.lit(split)).alias("cut"))
+    micros = pairs.withColumn("__t", F.unix_micros("issued_at").cast("double"))  # exact below 2^53
+    cut = ranks.quantiles(micros, by, "__t", [split]).select(*by, F.col("q")[0].alias("cut"))
     df = pairs.join(cut, list(by))
     late = F.unix_micros("issued_at") > F.col("cut")
     band = residual_quantiles(df.where(~late), by, level, min_n).drop("n")

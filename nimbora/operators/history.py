@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
-from nimbora.operators.asof import around_day, in_buckets
+from nimbora.operators import ranks
+from nimbora.operators.asof import in_buckets
 
 #: Limits of each variable; hours of its spike filter's window, and the largest jump from the window's median.
 QC_RANGE = {"temperature_2m": (-45.0, 40.0), "snow_depth": (-0.3, 6.0)}
@@ -74,43 +75,51 @@ def season_matrix(long: DataFrame, kind: str, by: Sequence[str] = ("location",))
     return g.select(*by, "season_year", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
 
 
+def doy_arrays(daily: DataFrame, years: tuple[int, int] | None, window: int = 7, by: Sequence[str] = ("location",)) -> DataFrame:
+    """(by, doy, values): for each day of the year the values of the reference years within the window, round the year's end; None takes all years.
+
+    Each value is shuffled once, to its own day of the year; a frame over the group's 365 days, with as many before and behind them as the window
+    is wide, puts the neighbours' arrays together. A pool holds 2 * window + 1 days of each year.
+    """
+    df = daily.where(F.col("v").isNotNull())
+    df = df if years is None else df.where(F.year("day").between(*[F.lit(y) for y in years]))
+    days = df.groupBy(*by, ft.day_of_year(F.col("day")).alias("doy")).agg(F.collect_list("v").alias("own"))
+    spine = (days.select(*by).distinct() if by else days.limit(1).select()).withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(365))))
+    turns = F.explode(F.expr(f"filter(array(doy - 365, doy, doy + 365), p -> p between {1 - window} and {365 + window})"))
+    ring = spine.join(days, [*by, "doy"], "left").withColumn("at", turns)
+    w = Window.partitionBy(*by).orderBy("at").rangeBetween(-window, window)  # 365 rows and twice the window's width
+    pool = F.flatten(F.collect_list(F.coalesce("own", F.array().cast("array<double>"))).over(w))
+    return ring.withColumn("values", pool).where((F.col("at") == F.col("doy")) & (F.size("values") > 0)).select(*by, "doy", "values")
+
+
 def doy_pools(daily: DataFrame, years: tuple[int, int], window: int = 7, by: Sequence[str] = ("location",)) -> DataFrame:
-    """(by, doy, year, v): for each day of the year all values within the window in the reference years."""
-    df = daily.where(F.year("day").between(*[F.lit(y) for y in years]) & F.col("v").isNotNull())
-    df = df.select(*by, ft.day_of_year(F.col("day")).alias("__k"), F.year("day").alias("year"), "v")
-    return around_day(df, "__k", window, "doy").drop("__k")
+    """(by, doy, v): for each day of the year all values within the window in the reference years."""
+    return doy_arrays(daily, years, window, by).select(*by, "doy", F.explode("values").alias("v"))
 
 
 def doy_climatology(daily: DataFrame, years: tuple[int, int], window: int = 7, quantiles: Sequence[float] = QUANTILES, by: Sequence[str] = ("location",)) -> DataFrame:
     """(by, doy, q, n, n_years): exact quantiles of each day's pool."""
-    pools = doy_pools(daily, years, window, by)
     total = daily.where(F.year("day").between(*[F.lit(y) for y in years]) & F.col("v").isNotNull()).groupBy(*by).agg(F.count_distinct(F.year("day")).alias("n_years"))
-    q = F.percentile("v", F.array(*[F.lit(float(x)) for x in quantiles]))
-    out = pools.groupBy(*by, "doy").agg(q.alias("q"), F.count("*").alias("n"))
+    pools = doy_arrays(daily, years, window, by).withColumn("values", F.sort_array("values"))
+    q = F.array(*[scalar.sorted_quantile(F.col("values"), x) for x in quantiles])
+    out = pools.select(*by, "doy", q.alias("q"), F.size("values").cast("long").alias("n"))
     return out.join(total, list(by)) if by else out.crossJoin(F.broadcast(total))  # one row
 
 
-def _number(name: str) -> Column:
-    """Whether a column holds a finite number."""
-    inf = float("inf")
-    return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(F.col(name)) != F.lit(inf))
+def day_percentiles(daily: DataFrame, rows: DataFrame, years: tuple[int, int], window: int = 7, by: Sequence[str] = ("location",)) -> DataFrame:
+    """rows(by, day, v) plus pct: the share of the values around the same date in the reference years that lies below, ties as half.
 
+    pct is null where the value is no finite number, or there is none to compare with. Each row meets its day's pool as one array.
+    """
+    pools = doy_arrays(daily, years, window, by).select(*by, F.col("doy").alias("__doy"), F.filter("values", lambda x: ~F.isnan(x)).alias("__pool"))
+    df = rows.withColumn("__doy", ft.day_of_year(F.col("day"))).join(pools, [*by, "__doy"], "left")
+    count = lambda test: F.size(F.filter("__pool", test))
+    share = (count(lambda x: x < F.col("v")) + 0.5 * count(lambda x: x == F.col("v"))) * 100.0 / F.size("__pool")
+    return df.select(*rows.columns, F.when(ranks.number("v") & (F.size("__pool") > 0), share).alias("pct"))
 
-def percentile_rank(values: DataFrame, reference: DataFrame, keys: Sequence[str], value: str = "v", ref: str = "ref") -> DataFrame:
-    """values plus pct: the share of the reference with the same keys that lies below, ties as half.
 
-    Every row stays, equal ones each; pct is null for a value that is no finite number and where there is nothing
-    to compare with. The references are counted by distinct value before they are shuffled, and one running sum
-    over the distinct numbers of a key gives all shares, so the work doesn't grow with rows times references.
-    """
-    counts = reference.where(_number(ref)).groupBy(*keys, (F.col(ref).cast("double") + 0.0).alias("__x")).agg(F.count("*").alias("__n"))
-    asked = values.where(_number(value)).select(*keys, (F.col(value).cast("double") + 0.0).alias("__x")).distinct().withColumn("__n", F.lit(0).cast("long"))
-    grid = counts.unionByName(asked).groupBy(*keys, "__x").agg(F.sum("__n").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__x")) - F.col("__n")
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    share = F.when(total > 0, (below + 0.5 * F.col("__n")) * 100.0 / total)
-    found = grid.select(*keys, "__x", share.alias("pct"))
-    return values.withColumn("__x", F.when(_number(value), F.col(value).cast("double") + 0.0)).join(found, [*keys, "__x"], "left").select(*values.columns, "pct")
+percentile_rank = ranks.percentile_rank
+_number = ranks.number
 
 
 def rank_among(df: DataFrame, by: Sequence[str], value: str = "v", descending: bool = True) -> DataFrame:
@@ -291,8 +300,8 @@ def adjusted_band_coverage(model: DataFrame, station: DataFrame, by: Sequence[st
     test = both.join(cut, list(by)).where("day >= cut")
     years = test.groupBy(*by).agg(F.min(F.year("day")).alias("y0"), F.max(F.year("day")).alias("y1"))
     pool = adjusted.join(years, list(by)).where(F.year("day").between(F.col("y0"), F.col("y1")) & F.col("v").isNotNull())
-    pool = around_day(pool.select(*by, ft.day_of_year(F.col("day")).alias("__k"), "v"), "__k", window, "doy")
-    q = pool.groupBy(*by, "doy").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+    pool = doy_arrays(pool.select(*by, "day", "v"), None, window, by).withColumn("values", F.sort_array("values"))
+    q = pool.select(*by, "doy", F.array(scalar.sorted_quantile(F.col("values"), low), scalar.sorted_quantile(F.col("values"), high)).alias("q"))
     scored = test.withColumn("doy", ft.day_of_year(F.col("day"))).join(q, [*by, "doy"])
     share = lambda test: F.round(F.avg(test.cast("double")), 3)
     return scored.groupBy(*by).agg(share(F.col("s") < F.col("q")[0]).alias("below"), share(F.col("s") > F.col("q")[1]).alias("above"), F.count("*").alias("n_days"))

@@ -351,9 +351,7 @@ def _(spark, sf_dir):
 SELECT d.location, day, round(100.0 * (count(*) FILTER (p.v < d.v) + 0.5 * count(*) FILTER (p.v = d.v)) / count(*) + 0.0000001, 4) AS pct FROM d JOIN pool p USING (location, doy) GROUP BY ALL""")
 def _(spark, sf_dir):
     days = tb.station_days(spark, sf_dir)
-    pools = history.doy_pools(days, YEARS).select("location", "doy", F.col("v").alias("ref"))
-    recent = days.where(F.year("day") == 2000).select("location", "day", "v", ft.day_of_year(F.col("day")).alias("doy"))
-    return history.percentile_rank(recent, pools, ["location", "doy"]).select("location", "day", *_r("pct"))
+    return history.day_percentiles(days, days.where(F.year("day") == 2000), YEARS).select("location", "day", *_r("pct"))
 
 
 _MEANS = f"""g AS (SELECT location, {_WINTER} AS year, avg(v) AS v, count(*) AS n FROM station WHERE {_IN_WINTER} GROUP BY ALL),

@@ -93,9 +93,8 @@ def season_summary(daily: DataFrame, kind: str, end_year: int, years: tuple[int,
 
 def unusual_days(daily: DataFrame, recent: DataFrame, years: tuple[int, int], by: Sequence[str] = ("location",)) -> DataFrame:
     """recent(by, day, v) with its percentile among the days around the same date, and words for it."""
-    pools = history.doy_pools(daily, years, by=by).select(*by, "doy", F.col("v").alias("ref"))
-    rows = recent.select(*by, "day", "v", ft.day_of_year(F.col("day")).alias("doy"))
-    return history.percentile_rank(rows, pools, [*by, "doy"]).withColumn("label", scalar.percentile_class(F.col("pct")))
+    rows = recent.select(*by, "day", "v")
+    return history.day_percentiles(daily, rows, years, by=by).withColumns({"doy": ft.day_of_year(F.col("day")), "label": scalar.percentile_class(F.col("pct"))})
 
 
 def long_view(sources: dict[str, DataFrame], kinds: Sequence[str] = ("winter", "summer", "year"), since: int | None = None, n_boot: int = 2000) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+    """The rows of df, written to the shared folder and read from there: computed once, and not again when an executor is lost."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder, compression=codec)
+    return df.sparkSession.read.parquet(folder)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, run in a session whose workers have the package."""
 
