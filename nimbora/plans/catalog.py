@@ -651,7 +651,7 @@ def _(spark, sf_dir):
 
 
 def _every() -> None:
-    from nimbora.plans import report_catalog, stream_catalog  # noqa: F401  they register their queries here
+    from nimbora.plans import log_catalog, report_catalog, stream_catalog  # noqa: F401  they register their queries here
 
 
 def queries() -> dict:

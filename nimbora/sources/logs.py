@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
+import hashlib
+import json
+import re
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nimbora.functions import time as ft
-from nimbora.operators.verification import keep_last
+from nimbora.operators.verification import add_run_init, keep_last
 
 FORECASTS = "location string, model string, issued_at string, valid_time string, variable string, value double, source string, fetched_at string, run_init string"
 OBSERVATIONS = "location string, time string, variable string, value double, source string, fetched_at string"
@@ -33,18 +40,53 @@ def write_reanalysis(df: DataFrame, root: str) -> None:
     out.write.mode("append").partitionBy("model", "location").option("compression", "zstd").parquet(root)
 
 
-def _scan(spark: SparkSession, root: str, schema: str, partition: str) -> DataFrame:
-    df = spark.read.schema(f"{schema}, {partition} string").option("basePath", root).parquet(root)
-    return df.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+def column_types(spark: SparkSession, root: str, column: str) -> DataFrame:
+    """(path, type): the type that each Parquet file below root gives a column; null where the file has no such column.
+
+    Spark lists the files, and tasks read nothing of them but their footers.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path")
+
+    def footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kinds = []
+            for path in frame.path:
+                system, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                schema = pq.read_schema(inner, filesystem=system)
+                kinds.append(str(schema.field(column).type) if column in schema.names else None)
+            yield pd.DataFrame({"path": frame.path, "type": pd.Series(kinds, dtype=object)})
+
+    return files.mapInPandas(footers, "path string, type string")
 
 
-def read_forecasts(spark: SparkSession, root: str, variable: str, locations: Sequence[str] | None = None, sources: Sequence[str] | None = None, issued_from: str | None = None) -> DataFrame:
-    """Forecasts of a variable; of rows with one (location, model, issued_at, valid_time) the last in path and row order.
+def _scan(spark: SparkSession, root: str, schema: str, partition: str | None = None, optional: str | None = None) -> DataFrame:
+    """The rows of a log with the path and place of each. Files that hold the optional column in another type than text are read without it.
 
-    The filters reach the Parquet scan. issued_from prunes partitions by the date of the fetch, so use it for
-    live rows only: backfilled rows lie under the date of their backfill.
+    There are two scans at most, however many files: the paths of files without the type, which the footers tell, prune the one scan to these and the
+    other to all else before a file is opened. Spark's own index of the log holds these paths anyhow. Filters on the result reach both scans.
+    """
+    fields = f"{schema}, {partition} string" if partition else schema
+    place = {"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    whole = spark.read.schema(fields).option("basePath", root).parquet(root)
+    if optional is None:
+        return whole.withColumns(place)
+    odd = column_types(spark, root, optional).where(~F.coalesce("type", F.lit("string")).isin("string", "large_string")).select("path")
+    odd = [r.path for r in odd.toLocalIterator()]
+    if not odd:
+        return whole.withColumns(place)
+    untyped = F.col("_metadata.file_path").isin(*odd)
+    rest = T.StructType([f for f in T.StructType.fromDDL(fields).fields if f.name != optional])
+    without = spark.read.schema(rest).option("basePath", root).parquet(root).where(untyped).withColumns(place)
+    return whole.where(~untyped).withColumns(place).unionByName(without, allowMissingColumns=True)
+
+
+def read_forecasts(spark: SparkSession, root: str, variable: str, locations: Sequence[str] | None = None, sources: Sequence[str] | None = None, issued_from: str | None = None, cycles: dict[str, int] | None = None) -> DataFrame:
+    """Forecasts of a variable with the start of their run (init_time, init_basis; see add_run_init); of rows with one (location, model, issued_at, valid_time) the last in path and row order.
+
+    Files may lack run_init or hold it untyped. The filters reach the Parquet scan. issued_from prunes partitions by the date of the fetch, so use it for
+    live rows only: backfilled rows lie under the date of their backfill. cycles: hours between the runs of models that don't run every six.
     """
-    df = _scan(spark, root, FORECASTS, "issued_date").where(F.col("variable") == variable)
+    df = _scan(spark, root, FORECASTS, "issued_date", "run_init").where(F.col("variable") == variable)
     if locations is not None:
         df = df.where(F.col("location").isin(*locations))
     if sources is not None:
@@ -53,27 +95,13 @@ def read_forecasts(spark: SparkSession, root: str, variable: str, locations: Seq
         df = df.where(F.col("issued_date") >= issued_from)
     times = {c: ft.to_utc_time(F.col(c)) for c in ("issued_at", "valid_time", "run_init")}
     df = df.drop("issued_date", "fetched_at", "variable").withColumns(times)
-    return keep_last(df, ["location", "model", "issued_at", "valid_time"], ["__path", "__row"]).drop("__path", "__row")
+    df = keep_last(df, ["location", "model", "issued_at", "valid_time"], ["__path", "__row"]).drop("__path", "__row")
+    return add_run_init(df.withColumn("__logged", F.col("run_init")), cycles).withColumnRenamed("__logged", "run_init")
 
 
 def read_untyped(spark: SparkSession, root: str, schema: str, optional: str = "run_init") -> DataFrame:
-    """A log of which some files hold an optional column without a type: those are read without the column."""
-    try:
-        df = spark.read.schema(schema).parquet(root)
-        df.select(optional).where(F.col(optional).isNotNull()).limit(1).count()
-        return df
-    except AnalysisException:
-        raise
-    except Exception:  # the column's physical type differs in some files
-        files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path").collect()]
-        out = None
-        for path in files:
-            found = dict(spark.read.parquet(path).dtypes)
-            names = T.StructType.fromDDL(schema)
-            usable = T.StructType([f for f in names.fields if f.name != optional or found.get(optional) == f.dataType.simpleString()])
-            one = spark.read.schema(usable).parquet(path)
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-        return out
+    """A log of which some files hold an optional text column without a type: those are read without the column, in one scan beside that of all others."""
+    return _scan(spark, root, schema, None, optional).drop("__path", "__row")
 
 
 def read_observations(spark: SparkSession, root: str, variable: str, locations: Sequence[str] | None = None) -> DataFrame:
@@ -104,32 +132,89 @@ def settled_inits(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "domain", "left").select("domain", F.when(F.col("__a") == F.col("__b"), F.col("__b")).alias("init"))
 
 
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows of df in whatever order, from one aggregation: how many there are, and sums of two independent hashes of each."""
+    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    one, two = F.xxhash64(row), F.xxhash64(F.lit(1), row)
+    halves = [F.sum(h) for x in (one, two) for h in (x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))]
+    return hashlib.sha256(repr((df.columns, tuple(df.agg(F.count("*"), *halves).first()))).encode()).hexdigest()
+
+
+def _files(spark: SparkSession):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def versions(spark: SparkSession, root: str) -> list[tuple[int, dict]]:
+    """(number, manifest) of the committed versions of a table below root, in order."""
+    fs, conf = _files(spark)
+    folder = fs.Path(f"{root}/_versions")
+    system = folder.getFileSystem(conf)
+    if not system.exists(folder):
+        return []
+    names = sorted(x.getPath().getName() for x in system.listStatus(folder))
+    found = [n for n in names if re.fullmatch(r"\d{12}", n)]
+    lines = {r[0].rpartition("/")[2]: r[1] for r in spark.read.text([f"{root}/_versions/{n}" for n in found]).select(F.col("_metadata.file_path"), "value").collect()} if found else {}
+    return [(int(n), json.loads(lines[n])) for n in found]
+
+
 def save_if_changed(df: DataFrame, root: str, stamp: str, order_by: Sequence[str]) -> bool:
-    """Writes a small table below root/<stamp> unless the newest one there has the same rows; says whether it did."""
-    from nimbora.operators.series import same_content
+    """Writes df as a new version of the table below root unless the newest version has the same rows; says whether it did.
 
-    spark = df.sparkSession
-    old = latest_saved(spark, root)
-    if old is not None and same_content(spark.read.schema(df.schema).parquet(old), df):
-        return False
-    df.coalesce(1).sortWithinPartitions(*order_by).write.parquet(f"{root}/stamp={stamp}")
-    return True
+    One aggregation decides: the digest of the rows against that in the newest manifest. The data are written aside and the version is committed by renaming its
+    manifest to the next number, which fails where another writer has taken it. That writer's rows are then compared in the same way, so
+    writers of equal rows leave one version.
+    """
+    spark, digest, data = df.sparkSession, content_digest(df), None
+    fs, conf = _files(spark)
+    while True:
+        known = versions(spark, root)
+        if known and known[-1][1]["digest"] == digest:
+            if data is not None:
+                path = fs.Path(f"{root}/{data}")
+                path.getFileSystem(conf).delete(path, True)
+            return False
+        if data is None:
+            data = f"data-{uuid.uuid4().hex}"
+            df.sortWithinPartitions(*order_by).write.parquet(f"{root}/{data}")
+        number = known[-1][0] + 1 if known else 1
+        if _committed(spark, root, number, {"stamp": stamp, "digest": digest, "data": data}):
+            return True
+
+
+def _committed(spark: SparkSession, root: str, number: int, manifest: dict) -> bool:
+    """Whether the manifest has become that of the version; not where there is one already."""
+    fs, conf = _files(spark)
+    mine, final = fs.Path(f"{root}/_versions/.{uuid.uuid4().hex}"), fs.Path(f"{root}/_versions/{number:012d}")
+    system = mine.getFileSystem(conf)
+    out = system.create(mine, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    options = spark.sparkContext._jvm.java.lang.reflect.Array.newInstance(spark.sparkContext._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        fs.FileContext.getFileContext(mine.toUri(), conf).rename(system.makeQualified(mine), system.makeQualified(final), options)
+        return True
+    except Py4JJavaError as e:
+        system.delete(mine, False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
 
 
 def latest_saved(spark: SparkSession, root: str) -> str | None:
-    """The path of the newest stamp below root."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(str(x.getPath().toString()) for x in fs.listStatus(path) if x.isDirectory())
-    return names[-1] if names else None
-
-
-def month_chunks(spark: SparkSession, start: str, end: str, years: int = 1) -> DataFrame:
-    """(first, last) dates of consecutive spans of so many years."""
+    """The path of the newest version's rows."""
+    known = versions(spark, root)
+    return f"{root}/{known[-1][1]['data']}" if known else None
+
+
+def month_chunks(spark: SparkSession, start: str, end: str, years: int = 1, months: int = 0) -> DataFrame:
+    """(first, last) dates of consecutive spans of so many years and months from the start; the last one ends at the end."""
+    a, b, step = F.to_date(F.lit(start)), F.to_date(F.lit(end)), 12 * years + months
+    df = spark.range(1).select(F.explode(F.sequence(a, b, F.expr(f"interval {step} month"))).alias("first"))
+    return df.select("first", F.least(F.date_sub(F.add_months("first", step), 1), b).alias("last"))
+
+
+def calendar_months(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """(first, last) dates of each calendar month between two dates, the first and last cut at these."""
     a, b = F.to_date(F.lit(start)), F.to_date(F.lit(end))
-    firsts = F.explode(F.sequence(a, b, F.expr(f"interval {years} year"))).alias("first")
-    df = spark.range(1).select(firsts)
-    return df.select("first", F.least(F.date_sub(F.add_months("first", 12 * years), 1), b).alias("last"))
+    df = spark.range(1).select(F.explode(F.sequence(F.trunc(a, "month"), b, F.expr("interval 1 month"))).alias("month"))
+    return df.select(F.greatest("month", a).alias("first"), F.least(F.last_day("month"), b).alias("last"))
