@@ -140,8 +140,8 @@ def first_and_last(df: DataFrame, by: Sequence[str], order: str = "pos", value:
 
 
 def next_days(daily: DataFrame, after: Column, most: int = 7, by: Sequence[str] = ("location",)) -> DataFrame:
-    """The first `most` days of each group after a day; only they are ordered."""
-    ahead = daily.where((F.col("day") > after) & (F.col("day") <= F.date_add(after, 366)))
+    """The first `most` days of each group after a day, however far ahead. Each task gives away no more than so many of a group."""
+    ahead = daily.where(F.col("day") > after)
     w = Window.partitionBy(*by).orderBy("day")
     return ahead.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
 

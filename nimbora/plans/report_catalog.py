@@ -70,10 +70,10 @@ def _(spark, sf_dir):
     return _rivals(spark, sf_dir, 0.0)
 
 
-@_query("q4_ensemble_report", f"SELECT * FROM ({_LEADS}) LEFT JOIN ({_rivals_sql(ensemble.COMPLETE)}) USING (location, ensemble, lead_day)")
+@_query("q4_ensemble_report", f"SELECT * FROM ({_LEADS}) LEFT JOIN ({_rivals_sql(0.0)}) USING (location, ensemble, lead_day)")
 def _(spark, sf_dir):
     scores = ensemble.scores_by_lead(c._instances(spark, sf_dir)).select("location", "ensemble", "lead_day", "n", *_r("spread_skill", "crps_bc", "coverage_bc", "spread_skill_bc"))
-    return scores.join(_rivals(spark, sf_dir, ensemble.COMPLETE), ["location", "ensemble", "lead_day"], "left")
+    return scores.join(_rivals(spark, sf_dir, 0.0), ["location", "ensemble", "lead_day"], "left")  # one shared forecast is enough in these sparse data
 
 
 # ---- comparisons, without their seeded ranges ----
@@ -275,12 +275,12 @@ def _(spark, sf_dir):
     return reports.season_chart(tb.station_days(spark, sf_dir), "winter", c.YEARS, min_seasons=4)["average"].select("location", "pos", *_r("v"), "seasons")
 
 
-@_query("q11_season_summary", f"""WITH {tb.STATION}, {c._LONG}, p AS (SELECT location, pos FROM wl WHERE season_year = 1998), sm AS (SELECT wl.location, season_year, avg(v) AS v, count(*) AS n FROM wl SEMI JOIN p USING (location, pos) GROUP BY ALL),
+@_query("q11_season_summary", f"""WITH {tb.LONG_DAYS}, station AS (SELECT * FROM longd), {c._LONG}, p AS (SELECT location, pos FROM wl WHERE season_year = 2010), sm AS (SELECT wl.location, season_year, avg(v) AS v, count(*) AS n FROM wl SEMI JOIN p USING (location, pos) GROUP BY ALL),
 nd AS (SELECT location, count(*) AS need FROM p GROUP BY 1), k AS (SELECT sm.* FROM sm JOIN nd USING (location) WHERE n >= 0.8 * need), r AS (SELECT *, rank() OVER (PARTITION BY location ORDER BY v DESC)::INT AS rank, count(*) OVER (PARTITION BY location) AS out_of FROM k)
 SELECT r.location, round(r.v + 0.0000001, 4) AS v, rank, out_of, round(100.0 * (count(o.v) FILTER (o.v < r.v) + 0.5 * count(o.v) FILTER (o.v = r.v)) / nullif(count(o.v), 0) + 0.0000001, 4) AS pct
-FROM r LEFT JOIN (SELECT * FROM k WHERE season_year <> 1998 AND season_year BETWEEN {c.YEARS[0]} AND {c.YEARS[1]}) o USING (location) WHERE r.season_year = 1998 GROUP BY r.location, r.v, rank, out_of""")
+FROM r LEFT JOIN (SELECT * FROM k WHERE season_year <> 2010 AND season_year BETWEEN 1996 AND 2019) o USING (location) WHERE r.season_year = 2010 GROUP BY r.location, r.v, rank, out_of""")
 def _(spark, sf_dir):
-    return reports.season_summary(tb.station_days(spark, sf_dir), "winter", 1998, c.YEARS).select("location", *_r("v"), "rank", "out_of", *_r("pct"))
+    return reports.season_summary(tb.long_days(spark, sf_dir), "winter", 2010, (1996, 2019)).select("location", *_r("v"), "rank", "out_of", *_r("pct"))
 
 
 @_query("q12_unusual_days", f"""WITH {tb.STATION}, {c._POOL}, dd AS (SELECT location, day, v, {tb.DOY} AS doy FROM station WHERE year(day) = 2000),
@@ -324,7 +324,7 @@ def _(spark, sf_dir):
     return series.first_and_last(long, ["location", "season_year"]).select("location", "season_year", "first", *_r("first_v"), "last", *_r("last_v"), "n")
 
 
-@_query("o3_next_days", f"WITH {tb.STATION}, n AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY day) AS k FROM station WHERE day > DATE '1997-05-05' AND day <= DATE '1997-05-05' + INTERVAL 366 DAY) SELECT {_TEXT_DAY} FROM (SELECT location, day, round(v + 0.0000001, 4) AS v FROM n WHERE k <= 7)")
+@_query("o3_next_days", f"WITH {tb.STATION}, n AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY day) AS k FROM station WHERE day > DATE '1997-05-05') SELECT {_TEXT_DAY} FROM (SELECT location, day, round(v + 0.0000001, 4) AS v FROM n WHERE k <= 7)")
 def _(spark, sf_dir):
     return series.next_days(tb.station_days(spark, sf_dir), F.lit("1997-05-05").cast("date")).select("location", "day", *_r("v"))
 
@@ -401,10 +401,100 @@ def _(spark, sf_dir):
     return reports.enso_card(c._half_years(spark, sf_dir), _winters(spark, sf_dir))[1]
 
 
+def _long_view(spark, sf_dir):
+    model = tb.long_days(spark, sf_dir).withColumn("v", F.col("v") - 0.002 * F.datediff("day", F.lit("1995-01-01").cast("date")))
+    return reports.long_view({"rising": tb.long_days(spark, sf_dir), "falling": model}, ("winter", "year"))
+
+
+_SEASONS = f"""yr AS (SELECT year(day)::INT AS year, 'year' AS kind, source, avg(v) AS v, count(*) AS n, date_diff('day', make_date(year(day)::INT, 1, 1), make_date(year(day)::INT + 1, 1, 1)) AS need FROM src GROUP BY ALL UNION ALL
+SELECT {c._WINTER} AS year, 'winter', source, avg(v), count(*), date_diff('day', make_date({c._WINTER} - 1, 11, 1), make_date({c._WINTER}, 5, 1)) FROM src WHERE {c._IN_WINTER} GROUP BY ALL), y AS (SELECT year, kind, source, v FROM yr WHERE n >= 0.9 * need)"""
+
+
+@_query("q16_long_view_slopes", f"""WITH {tb.LONG_DAYS}, src AS (SELECT day, v, 'rising' AS source FROM longd UNION ALL SELECT day, v - 0.002 * (day - DATE '1995-01-01'), 'falling' FROM longd), {_SEASONS},
+n AS (SELECT kind, source, count(*) AS n, min(year) AS start, max(year) AS "end" FROM y GROUP BY ALL HAVING count(*) >= 8)
+SELECT kind, source, round(10 * median((b.v - a.v) / (b.year - a.year)), 2) AS slope, n, start, "end" FROM y a JOIN y b USING (kind, source) JOIN n USING (kind, source) WHERE a.year < b.year GROUP BY ALL""")
+def _(spark, sf_dir):
+    return _long_view(spark, sf_dir)[0].select("kind", "source", "slope", "n", "start", "end")
+
+
 @_query("q16_long_view")
 def _(spark, sf_dir):
-    days = tb.all_days(spark, sf_dir)
-    return reports.long_view({"all": days, "model": tb.model_days(spark, sf_dir)}, ("year",))[1]
+    return _long_view(spark, sf_dir)[1]
+
+
+# ---- snow charts ----
+
+_SNOWED = f"""{tb.LONG_DAYS}, snowed AS (SELECT location, day, arg_min(v, day) AS v, (year(day) + (month(day) >= 10)::INT)::INT AS season_year, date_diff('day', DATE '2001-10-01', make_date(2001 + CASE WHEN month(day) < 10 THEN 1 ELSE 0 END, month(day), {c._FIX}))::INT AS pos FROM longd WHERE month(day) >= 10 OR month(day) <= 6 GROUP BY ALL),
+sl AS (SELECT location, season_year, pos, arg_min(v, day) AS v FROM snowed GROUP BY ALL), ps AS (SELECT sl.* FROM sl SEMI JOIN (SELECT location, season_year FROM sl GROUP BY ALL HAVING count(*) >= 0.3 * 273) USING (location, season_year) WHERE season_year <> 2016)"""
+
+
+@_query("q13_snow_band", f"""WITH {_SNOWED}, x AS (SELECT location, season_year, (pos + o)::INT AS pos, v FROM ps, (SELECT unnest(generate_series(-3, 3)) AS o) WHERE pos + o BETWEEN 0 AND 272)
+SELECT location, pos, {", ".join(f"round(quantile_cont(v, {q}) + 0.0000001, 4) AS q{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))}, count(DISTINCT season_year) AS seasons FROM x GROUP BY ALL HAVING count(DISTINCT season_year) >= 8""")
+def _(spark, sf_dir):
+    return reports.snow_chart(tb.long_days(spark, sf_dir), 2016)["band"].select("location", "pos", *c._quantiles(10, 25, 50, 75, 90), "seasons")
+
+
+@_query("q13_snow_past", f"WITH {_SNOWED} SELECT location, season_year, count(*) AS days, round(sum(v) + 0.0000001, 2) AS total FROM ps GROUP BY ALL")
+def _(spark, sf_dir):
+    past = reports.snow_chart(tb.long_days(spark, sf_dir), 2016)["past"]
+    return past.groupBy("location", "season_year").agg(F.count("v").alias("days"), F.sum("v").alias("total")).select("location", "season_year", "days", *_r("total", digits=2))
+
+
+@_query("q13_snow_summary", f"""WITH {_SNOWED}, cur AS (SELECT location, max(pos) AS pos, arg_max(v, pos) AS depth FROM sl WHERE season_year = 2016 GROUP BY 1),
+nr AS (SELECT ps.location, season_year, avg(v) AS nv FROM ps JOIN cur ON cur.location = ps.location AND abs(ps.pos - cur.pos) <= 1 GROUP BY ALL)
+SELECT cur.location, cur.pos, round(depth + 0.0000001, 4) AS depth, CASE WHEN count(nv) >= 4 THEN (count(*) FILTER (nv > depth) + 1)::BIGINT END AS rank, CASE WHEN count(nv) >= 4 THEN count(nv) + 1 END AS n_seasons,
+  CASE WHEN count(nv) >= 4 AND cur.pos >= 61 AND median(nv) >= 20 THEN round(100 * depth / median(nv) + 0.0000001, 2) END AS pct_of_median FROM cur LEFT JOIN nr USING (location) GROUP BY cur.location, cur.pos, depth""")
+def _(spark, sf_dir):
+    return reports.snow_chart(tb.long_days(spark, sf_dir), 2016)["summary"].select("location", "pos", *_r("depth"), "rank", "n_seasons", *_r("pct_of_median", digits=2))
+
+
+_RATIO = f"""{tb.LONG_DAYS}, {{pool}}, md AS (SELECT location, doy, quantile_cont(v, 0.5) AS median FROM pool GROUP BY ALL),
+rt AS (SELECT s.location, s.day, s.v / median * 100 AS v FROM (SELECT *, {tb.DOY} AS doy, CASE WHEN month(day) >= 10 OR month(day) <= 6 THEN date_diff('day', DATE '2001-10-01', make_date(2001 + CASE WHEN month(day) < 10 THEN 1 ELSE 0 END, month(day), {c._FIX})) END AS pos FROM longd) s JOIN md USING (location, doy) WHERE median >= 0.2 AND pos >= 61)""".format(pool=c._POOL.replace("FROM station", "FROM longd").replace(str(c.YEARS[0]), "1996").replace(str(c.YEARS[1]), "2019"))
+_RATIO_POOL = c._POOL.replace("pool AS", "rp AS").replace("FROM station", "FROM rt").replace(str(c.YEARS[0]), "1996").replace(str(c.YEARS[1]), "2019")
+
+
+@_query("q15_snowpack_band", f"""WITH {_RATIO}, {_RATIO_POOL} SELECT location, doy, {", ".join(f"round(quantile_cont(v, {q}) + 0.0000001, 3) AS q{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))}, count(*) AS n FROM rp GROUP BY ALL""")
+def _(spark, sf_dir):
+    band = reports.modelled_snowpack(tb.long_days(spark, sf_dir), 2016, (1996, 2019))["band"]
+    return band.select("location", "doy", *[F.round(F.get("q", F.lit(i)) + c._OFF_TIES, 3).alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "n")
+
+
+@_query("q15_snowpack_summary", f"""WITH {_RATIO}, {_RATIO_POOL}, la AS (SELECT location, max(day) AS day, arg_max(v, day) AS v FROM rt WHERE year(day) + (month(day) >= 10)::INT = 2016 GROUP BY 1)
+SELECT {_TEXT_DAY} FROM (SELECT la.location, day, round(la.v + 0.0000001, 3) AS pct_of_median, round(100.0 * (count(*) FILTER (rp.v < la.v) + 0.5 * count(*) FILTER (rp.v = la.v)) / count(*) + 0.0000001, 3) AS percentile
+FROM (SELECT *, {tb.DOY} AS doy FROM la) la JOIN rp USING (location, doy) GROUP BY la.location, day, la.v)""")
+def _(spark, sf_dir):
+    return reports.modelled_snowpack(tb.long_days(spark, sf_dir), 2016, (1996, 2019))["summary"].select("location", "day", *_r("pct_of_median", "percentile", digits=3))
+
+
+# ---- the rest of a station's adjustment and of the skill report ----
+
+
+@_query("q18_offsets", f"WITH {c._DIFF}, {c._OFF} SELECT location, month, round(offset_ + 0.0000001, 4) AS offset, n FROM off")
+def _(spark, sf_dir):
+    return reports.station_adjustment(tb.all_days(spark, sf_dir), tb.model_days(spark, sf_dir))["offsets"].select("location", "month", *_r("offset"), "n")
+
+
+_SMOOTH_DIFF = f"""{tb.ALL_DAYS.replace("alldays AS", "rawdays AS")}, {tb.MODEL.replace("model AS", "rawmodel AS")}, alldays AS (WITH {_SMOOTH.format(days="rawdays")} SELECT location, day, v FROM rm), model AS (WITH {_SMOOTH.format(days="rawmodel")} SELECT location, day, v FROM rm),
+d AS (SELECT s.location, s.day, m.v AS m, s.v AS s, s.v - m.v AS d FROM alldays s JOIN model m USING (location, day))"""
+
+
+@_query("q18_coverage_7day", c._SQL["m5_adjusted_coverage"].replace(c._DIFF, _SMOOTH_DIFF))
+def _(spark, sf_dir):
+    return reports.station_adjustment(tb.all_days(spark, sf_dir), tb.model_days(spark, sf_dir))["coverage_7day"]
+
+
+@_query("q1_strata", c._SQL["a4_stratified_metrics"])
+def _(spark, sf_dir):
+    strata = reports.verification_report(tb.forecasts(spark, sf_dir), tb.observations(spark, sf_dir), strata_n=10, **c.WALK)["strata"]
+    return strata.select("location", "dimension", "stratum", "model", "n", *_r("mae", "bias", "rmse"))
+
+
+@_query("q1_coverage", f"""WITH {tb.PAIRS}, {c._walk_sql()}, ct AS (SELECT location, quantile_cont(epoch_us(issued_at)::DOUBLE, 0.7) AS cut FROM bp GROUP BY 1), jn AS (SELECT * FROM bp JOIN ct USING (location)),
+bd AS (SELECT location, lead_day, quantile_cont(error, 0.1) AS low, quantile_cont(error, 0.9) AS high FROM jn WHERE epoch_us(issued_at) <= cut GROUP BY ALL HAVING count(*) >= 20)
+SELECT location, round(avg((error BETWEEN low AND high)::INT) + 0.0000001, 4) AS coverage, count(*) AS n FROM jn JOIN bd USING (location, lead_day) WHERE epoch_us(issued_at) > cut GROUP BY 1""")
+def _(spark, sf_dir):
+    report = reports.verification_report(tb.forecasts(spark, sf_dir), tb.observations(spark, sf_dir), band_n=20, **c.WALK)
+    return report["coverage"].select("location", *_r("coverage"), "n")
 
 
 # Queries of the operators that give the same rows as a report.

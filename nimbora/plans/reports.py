@@ -13,15 +13,15 @@ from nimbora.operators import blend, ensemble, history, resampling, series, veri
 from nimbora.sources.logs import latest_run
 
 
-def verification_report(forecasts: DataFrame, observations: DataFrame, by: Sequence[str] = ("location",), temperature: bool = True, **walk) -> dict[str, DataFrame]:
+def verification_report(forecasts: DataFrame, observations: DataFrame, by: Sequence[str] = ("location",), temperature: bool = True, strata_n: int = verification.MIN_N, band_n: int = 50, **walk) -> dict[str, DataFrame]:
     """Everything that is known of the models' skill, for all locations in one plan: by lead, overall, by condition, winners, the blend and its band."""
     pairs = verification.align(forecasts, observations, by)
     blended = blend.walk_forward(pairs, by, **walk)
     every = pairs.unionByName(blended, allowMissingColumns=True)
     return {
         "by_lead": verification.metrics_by_lead(every, by), "overall": verification.overall_metrics(every, by), "winners": verification.winners_by_lead(pairs, by),
-        "strata": verification.stratified_metrics(verification.with_strata(pairs, temperature), by=by), "band": blend.residual_quantiles(blended, by),
-        "coverage": blend.band_coverage(blended, by), "against_blend": blend_against_best(pairs, blended, by),
+        "strata": verification.stratified_metrics(verification.with_strata(pairs, temperature), by=by, min_n=strata_n), "band": blend.residual_quantiles(blended, by, min_n=band_n),
+        "coverage": blend.band_coverage(blended, by, min_n=band_n), "against_blend": blend_against_best(pairs, blended, by),
         "period": pairs.groupBy(*by).agg(F.min("valid_time").alias("first"), F.max("valid_time").alias("last"), F.count("*").alias("n_pairs")),
     }
 
@@ -73,6 +73,37 @@ def season_chart(daily: DataFrame, kind: str, years: tuple[int, int], by: Sequen
     return {"lines": long, "band": history.doy_climatology(smooth, years, by=by), "average": history.average_line(long, by, min_seasons)}
 
 
+def snow_chart(daily: DataFrame, end_year: int, by: Sequence[str] = ("location",), min_coverage: float = 0.3, min_seasons: int = 8, least: float = 20.0, from_pos: int = 61) -> dict[str, DataFrame]:
+    """A snow season against others: `current` and `past` by season and position, a `band` of the past ones, and a `summary`.
+
+    Past seasons have values on min_coverage of their days. The band needs min_seasons at a date. The summary compares the newest depth with each past season's mean within a
+    day of it: its rank among at least four, and its percentage of their median from from_pos on where that is at least `least`.
+    """
+    long = history.season_long(daily, "snow", by)
+    seasons = [*by, "season_year"]
+    enough = long.groupBy(*seasons).agg(F.count("v").alias("n")).where(F.col("n") >= min_coverage * ft.SEASON_DAYS["snow"])
+    past = long.where(F.col("season_year") != end_year).join(enough, seasons, "left_semi")
+    current = long.where(F.col("season_year") == end_year)
+    now = current.groupBy(*by).agg(F.max("pos").alias("pos"), F.max_by("v", "pos").alias("depth"))
+    near = past.join(now.select(*by, F.col("pos").alias("__p")), list(by)).where(F.abs(F.col("pos") - F.col("__p")) <= 1).groupBy(*seasons).agg(F.avg("v").alias("at"))
+    g = near.join(now.select(*by, "depth"), list(by)).groupBy(*by).agg(F.count("at").alias("n"), F.count_if(F.col("at") > F.col("depth")).alias("beaten"), F.median("at").alias("median"))  # a row a season
+    few = F.col("n") >= 4
+    percent = F.when(few & (F.col("pos") >= from_pos) & (F.col("median") >= least), 100 * F.col("depth") / F.col("median"))
+    summary = now.join(g, list(by), "left").select(*by, "pos", "depth", F.when(few, F.col("beaten") + 1).alias("rank"), F.when(few, F.col("n") + 1).alias("n_seasons"), percent.alias("pct_of_median"))
+    return {"band": history.season_band(past, "snow", by, min_seasons=min_seasons, quantiles=history.QUANTILES), "current": current, "past": past, "summary": summary}
+
+
+def modelled_snowpack(daily: DataFrame, end_year: int, years: tuple[int, int], by: Sequence[str] = ("location",), window: int = 7) -> dict[str, DataFrame]:
+    """A model's snow depth as a percentage of its own median for the date, from December on: the `band` by day of the year, `lines` of this season and the one before, and the newest value's `summary`."""
+    median = history.doy_climatology(daily, years, window, (0.5,), by).select(*by, "doy", F.col("q")[0].alias("median"))
+    ratio = history.percent_of_median(daily, median, by).where("pct_of_median is not null").select(*by, "day", F.col("pct_of_median").alias("v"))
+    lines = history.season_long(ratio, "snow", by).where(F.col("season_year").isin(end_year, end_year - 1))
+    season = ratio.where(ft.season_year(F.col("day"), "snow") == end_year)
+    newest = season.groupBy(*by).agg(F.max("day").alias("day"), F.max_by("v", "day").alias("v"))
+    summary = history.day_percentiles(ratio, newest, years, window, by).select(*by, "day", F.col("v").alias("pct_of_median"), F.col("pct").alias("percentile"))
+    return {"band": history.doy_climatology(ratio, years, window, by=by), "lines": lines, "summary": summary}
+
+
 def season_extension(daily: DataFrame, forecast: DataFrame, by: Sequence[str] = ("location",), window: int = 7) -> DataFrame:
     """The running mean carried on over forecast days, from the day after the last observed one."""
     last = daily.groupBy(*by).agg(F.max("day").alias("__last"))

@@ -50,6 +50,12 @@ def model_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("location", "day").agg(F.avg("v").alias("v"))
 
 
+def long_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series of all orders four times one after another, 2,557 days apart and 3 higher each time."""
+    df = all_days(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return df.select("location", F.date_add("day", F.col("k") * 2557).alias("day"), (F.col("v") + 3 * F.col("k")).alias("v"))
+
+
 def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ensemble of 64 members for each vector, issued on successive days, with the label as lead day."""
     df = table(spark, sf_dir, "embeddings")
@@ -77,6 +83,7 @@ pairs AS (SELECT fc.*, near.observed, fc.value - near.observed AS error, abs(fc.
   FROM fc JOIN near USING (location, valid_time) WHERE fc.valid_time >= fc.issued_at)"""
 STATION = "station AS (SELECT o_orderpriority AS location, o_orderdate::DATE AS day, avg(o_totalprice / 1000) AS v FROM orders GROUP BY 1, 2)"
 ALL_DAYS = "alldays AS (SELECT 'all' AS location, o_orderdate::DATE AS day, avg(o_totalprice / 1000) AS v FROM orders GROUP BY 1, 2)"
+LONG_DAYS = f"{ALL_DAYS}, longd AS (SELECT location, (day + (2557 * k)::INT)::DATE AS day, v + 3 * k AS v FROM alldays, (SELECT unnest(range(4)) AS k))"
 MODEL = "model AS (SELECT 'all' AS location, l_shipdate::DATE AS day, avg(l_extendedprice / 100) AS v FROM lineitem GROUP BY 1, 2)"
 DOY = "dayofyear(make_date(2001, month(day), CASE WHEN month(day) = 2 AND day(day) = 29 THEN 28 ELSE day(day) END))"
 ENS = """ens AS (SELECT 'top' AS location, 'ens' AS ensemble, make_timestamp((1704067200 + (vec_id % 25) * 86400) * 1000000) AS issued_at,

@@ -125,9 +125,9 @@ def read_station_csv(spark: SparkSession, path: str, columns: dict[str, tuple[Se
     `time`, says where its columns are; what is above it has no time and falls away. Cells may be quoted. Local
     times that don't exist or exist twice are left out.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     is_header = F.col("value").rlike(r'(?:^|,)\s*"?time"?\s*(?:,|$)')
-    headers = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))  # one row a file
+    headers = lines.where(is_header).groupBy("file").agg(F.min_by("value", "at").alias("header"))  # one row a file
     width = headers.agg(F.max(F.size(F.split("header", ",")))).first()[0]
     if width is None:
         raise ValueError(f"{path}: no column time")
