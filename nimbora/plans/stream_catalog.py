@@ -50,6 +50,19 @@ def _(spark, sf_dir):
     return ingest.read_last(spark, target, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "v", "event_id")
 
 
+@_query("st_keep_last_compacted", "SELECT user_id, event_type, arg_max(value, event_id) AS v, max(event_id) AS event_id FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    """The events in four batches, one after another, compacted after every second one."""
+    source, target, keys = new_folder(spark, "quarters"), new_folder(spark, "stream-last"), ["user_id", "event_type"]
+    df = tb.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("value").alias("v"))
+    last = df.agg(F.max("event_id")).first()[0]
+    for quarter in range(4):
+        df.where(F.floor(F.col("event_id") * 4 / F.lit(last + 1)) == quarter).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.read_stream(spark, source, df.schema, files_per_batch=1)
+    ingest.keep_last_table(stream, target, keys, ["event_id"], new_folder(spark, "stream-state"), compact_every=2).awaitTermination()
+    return ingest.read_last(spark, target, keys, ["event_id"]).select("user_id", "event_type", "v", "event_id")
+
+
 @_query("st_nearest_observation", """WITH ev AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'top' ELSE 'bottom' END AS location FROM events), f AS (SELECT location, event_id, ts AS valid_time FROM ev WHERE event_type = 'purchase'), o AS (SELECT location, ts AS time, value, event_id AS k FROM ev WHERE event_type = 'view')
 SELECT f.location, f.event_id, f.valid_time, min(abs(epoch_us(o.time) - epoch_us(f.valid_time)))::BIGINT AS gap_us, arg_min(o.time, {d: abs(epoch_us(o.time) - epoch_us(f.valid_time)), t: epoch_us(o.time)}) AS time
 FROM f JOIN o ON o.location = f.location AND o.time BETWEEN f.valid_time - INTERVAL 30 MINUTE AND f.valid_time + INTERVAL 30 MINUTE GROUP BY ALL""")

@@ -177,11 +177,11 @@ def save_if_changed(df: DataFrame, root: str, stamp: str, order_by: Sequence[str
             data = f"data-{uuid.uuid4().hex}"
             df.sortWithinPartitions(*order_by).write.parquet(f"{root}/{data}")
         number = known[-1][0] + 1 if known else 1
-        if _committed(spark, root, number, {"stamp": stamp, "digest": digest, "data": data}):
+        if commit_version(spark, root, number, {"stamp": stamp, "digest": digest, "data": data}):
             return True
 
 
-def _committed(spark: SparkSession, root: str, number: int, manifest: dict) -> bool:
+def commit_version(spark: SparkSession, root: str, number: int, manifest: dict) -> bool:
     """Whether the manifest has become that of the version; not where there is one already."""
     fs, conf = _files(spark)
     mine, final = fs.Path(f"{root}/_versions/.{uuid.uuid4().hex}"), fs.Path(f"{root}/_versions/{number:012d}")

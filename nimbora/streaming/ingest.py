@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from nimbora.operators.verification import keep_last
+from nimbora.sources.logs import commit_version, versions
 
 
 def read_stream(spark: SparkSession, root: str, schema: str | T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -41,20 +44,67 @@ def align_stream(forecasts: DataFrame, observations: DataFrame, late: str = "1 h
     return f.join(o, near).select("f.*", F.col("o.time").alias("time"), F.col("o.value").alias("observed"))
 
 
-def keep_last_table(stream: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
+def keep_last_table(stream: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, compact_every: int | None = None) -> StreamingQuery:
     """Writes each batch's last rows of its keys as a new directory; read_last gives the last over all batches.
 
-    Batches are numbered, and a batch that runs again replaces its own directory, so every row counts once.
+    Batches are numbered, and a batch that runs again replaces its own directory, so every row counts once. After each compact_every batches
+    the table is compacted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        keep_last(batch, keys, order).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch_{number:012d}")
+        keep_last(batch, keys, order).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch_{number:012d}")
+        if compact_every and (number + 1) % compact_every == 0:
+            compact_last(batch.sparkSession, target, keys, order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folders(spark: SparkSession, target: str) -> tuple[object, list[str]]:
+    """(file system, names of the folders) of a table."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    path = fs.Path(target)
+    system = path.getFileSystem(conf)
+    return system, sorted(x.getPath().getName() for x in system.listStatus(path) if x.isDirectory())
+
+
+def _parts(spark: SparkSession, target: str) -> tuple[list[str], int, list[int]]:
+    """(the newest snapshot's path, if there is one, the last batch in it, the batches after that)."""
+    known = versions(spark, target)
+    upto = known[-1][1]["upto"] if known else -1
+    batches = [int(n[6:]) for n in _folders(spark, target)[1] if re.fullmatch(r"batch_\d{12}", n)]
+    return [f"{target}/{known[-1][1]['data']}"] if known else [], upto, [n for n in batches if n > upto]
+
+
+def _rows(spark: SparkSession, target: str, snapshot: list[str], batches: Sequence[int], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return keep_last(spark.read.parquet(*snapshot, *[f"{target}/batch_{n:012d}" for n in batches]), keys, ["batch", *order])
+
+
 def read_last(spark: SparkSession, target: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return keep_last(spark.read.parquet(f"{target}/batch_*"), keys, ["batch", *order]).drop("batch")
+    """The last row of each key, from the newest snapshot and the batches after it."""
+    snapshot, _, batches = _parts(spark, target)
+    return _rows(spark, target, snapshot, batches, keys, order).drop("batch")
+
+
+def compact_last(spark: SparkSession, target: str, keys: Sequence[str], order: Sequence[str]) -> bool:
+    """Puts the newest snapshot and the batches after it, but for the newest batch, into a new snapshot; says whether there was anything to do.
+
+    The newest batch is the only one that can run again. One that is covered and runs again all the same is not read, as readers take only the batches
+    after their snapshot's last. Readers find the snapshot through a numbered pointer that is renamed into place, so of two compactions one counts.
+    What the snapshot before covers goes; what only the new one covers stays until the next time, for readers that began before.
+    """
+    snapshot, upto, batches = _parts(spark, target)
+    if len(batches) < 2:
+        return False
+    known, last, data = versions(spark, target), batches[-2], f"snapshot-{uuid.uuid4().hex}"
+    _rows(spark, target, snapshot, batches[:-1], keys, order).write.parquet(f"{target}/{data}")
+    done = commit_version(spark, target, (known[-1][0] if known else 0) + 1, {"data": data, "upto": last})
+    system, names = _folders(spark, target)
+    stay = {data, *(m["data"] for _, m in known[-1:])} if done else {m["data"] for _, m in versions(spark, target)[-2:]}
+    gone = [n for n in names if n.startswith("batch_") and int(n[6:]) <= upto] + [n for n in names if n.startswith("snapshot-") and n not in stay and (done or n == data)]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in gone:
+        system.delete(path(f"{target}/{name}"), True)
+    return done
 
 
 def to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:

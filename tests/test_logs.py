@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbora.sources import logs, payloads
+from nimbora.streaming import ingest
 
 
 def write(folder, name, run_init=None, kind=None, **columns):
@@ -81,7 +82,7 @@ def test_two_writers_leave_one_version(spark, tmp_path):
     assert sorted(done) == [False, True]
     assert len(logs.versions(spark, root)) == 1
     assert len(list((tmp_path / "table").glob("data-*"))) == 1
-    assert not logs._committed(spark, root, 1, {"stamp": "late"})
+    assert not logs.commit_version(spark, root, 1, {"stamp": "late"})
     assert logs.versions(spark, root)[0][1]["stamp"] == "s"
 
 
@@ -145,3 +146,40 @@ def test_payloads_as_a_stream(spark, tmp_path):
     assert run() == ["001", "002", "003"]
     arrive("004")
     assert run() == ["001", "002", "003", "004"]
+
+
+def test_keep_last_tables_are_compacted(spark, tmp_path):
+    """Snapshots take over what they cover; the read has few folders, and a batch that runs again counts once."""
+    target, keys, order = str(tmp_path / "last"), ["k"], ["t"]
+    schema = "k int, t int, v string"
+    want = {}
+    for b in range(9):
+        rows = [(k, b - (k == 3), f"{b}-{k}") for k in range(b, b + 4)] + [(0, b if b != 5 else -1, f"late {b}")]
+        source = str(tmp_path / "in")
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.keep_last_table(ingest.read_stream(spark, source, schema), target, keys, order, str(tmp_path / "state"), compact_every=3).awaitTermination(60)
+        for k in {r[0] for r in rows}:
+            want[k] = max((r[1], r[2]) for r in rows if r[0] == k)
+        assert {r.k: (r.t, r.v) for r in ingest.read_last(spark, target, keys, order).collect()} == want
+    folders = sorted(p.name for p in (tmp_path / "last").iterdir())
+    assert [n for n, _ in logs.versions(spark, target)] == [1, 2, 3] and logs.versions(spark, target)[-1][1]["upto"] == 7
+    assert sum(f.startswith("snapshot-") for f in folders) == 2 and sum(f.startswith("batch_") for f in folders) == 4
+    snapshot, upto, batches = ingest._parts(spark, target)
+    assert len(snapshot) == 1 and upto == 7 and batches == [8]
+    spark.createDataFrame([(0, 99, "again", 2)], schema + ", batch long").write.mode("overwrite").parquet(f"{target}/batch_{2:012d}")
+    assert {r.k: (r.t, r.v) for r in ingest.read_last(spark, target, keys, order).collect()} == want
+    assert not ingest.compact_last(spark, target, keys, order)
+
+
+def test_two_compactions_leave_one_snapshot(spark, tmp_path):
+    target = str(tmp_path / "last")
+    for n in range(4):
+        spark.createDataFrame([(1, n, n)], "k int, t int, batch long").write.parquet(f"{target}/batch_{n:012d}")
+    done = []
+    both = [threading.Thread(target=lambda: done.append(ingest.compact_last(spark, target, ["k"], ["t"]))) for _ in range(2)]
+    for x in both:
+        x.start()
+    for x in both:
+        x.join()
+    assert sum(done) == 1 and [n for n, _ in logs.versions(spark, target)] == [1]
+    assert [r.t for r in ingest.read_last(spark, target, ["k"], ["t"]).collect()] == [3]
