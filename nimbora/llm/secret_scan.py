@@ -38,6 +38,9 @@ FINDINGS = 6_000  # generated labelled findings
 CORPUS_WORDS = 250  # words of a corpus that its dictionary takes, the most frequent ones
 ISSUED = (0, 4, 5, 7, 8)  # of the generated real values those whose form alone makes them candidates
 REDACTED = "[REDACTED]"
+NEAR = 40  # characters on either side of a candidate that it is judged with
+NEAR_PARTS = 12  # so many candidates and gaps have them: a candidate has ten characters at least
+BLOCK = 256  # numbers of an array that are summed up at a time
 
 
 def value_of(found: Column) -> Column:
@@ -180,36 +183,43 @@ class SecretForest:
         return F.aggregate(starts, F.lit(0.0), lambda total, root: total + F.get(share, leaf(root))) / len(self.trees)
 
 
-def with_secrets(df: DataFrame, forest: SecretForest, text: str = "text", path: str | None = None, out: str = "secrets", least: float = 0.5, count: str = "n_candidates") -> DataFrame:
+def _running(sizes: Column) -> Column:
+    """The sums of the numbers before each one of an array, in blocks, so that long arrays cost little more than their length."""
+    n = F.size(sizes)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = lambda a, first: F.aggregate(a, F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))["out"]
+    begins = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    block = lambda b: F.slice(sizes, b, F.lit(BLOCK))
+    firsts = sums(F.transform(begins, lambda b: total(block(b))), F.lit(0).cast("long"))
+    return F.flatten(F.zip_with(begins, firsts, lambda b, first: sums(block(b), first)))
+
+
+def with_secrets(df: DataFrame, forest: SecretForest, text: str = "text", path: str | None = None, out: str = "secrets", least: float = 0.5, count: str = "n_candidates", clean: str | None = None) -> DataFrame:
     """df plus `out`: an array of (kind, value, place, score, places, at) of the secrets in a text, in the order of their places.
 
     Every occurrence of a candidate is judged with the 40 characters on either side of it, an assigned value with the
     name before it; a candidate is a secret when any of its occurrences is judged real. `score` is the highest of them, `places`
     are the 1-based places of all occurrences, `place` is the first of these, and the value begins `at` characters
-    further on. `count` has the number of occurrences of candidates. Null and empty texts have none. Repeated rows
-    get equal results. Columns of df with the names `out` and `count` are replaced.
+    further on. `count` has the number of occurrences of candidates, `clean` the text with the values replaced. Null and empty texts have none;
+    the clean text of null is null. Repeated rows get equal results. Columns of df with the names `out`, `count` and `clean` are replaced.
+
+    A text with candidates is cut into them and what stands between them once; contexts, places, groups of equal candidates and the clean text
+    all come from these parts, so the work grows with the text and with n log n candidates.
     """
-    df = df.drop(*[c for c in df.columns if c.lower() in (out.lower(), count.lower())])
+    df = df.drop(*[c for c in df.columns if c.lower() in {x.lower() for x in (out, count, clean or out)}])
     kept = df.columns
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = F.when(body.rlike(PATTERN), F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-
-    def placed(gaps: Column, found: Column) -> Column:
-        """(found, place) of all occurrences, from the texts between them."""
-        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, c: F.struct(F.char_length(g).alias("gap"), F.char_length(c).alias("own")))
-        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
-        step = lambda x, y: F.struct((x["at"] + y["gap"] + y["own"]).alias("at"), F.concat(x["places"], F.array(x["at"] + y["gap"])).alias("places"))
-        return F.zip_with(found, F.aggregate(sizes, start, step)["places"], lambda c, place: F.struct(c.alias("found"), place.alias("place")))
+    texts = F.array().cast("array<string>")
+    some = body.rlike(PATTERN)
 
-    def context(o: Column) -> Column:
-        c, place = o["found"], o["place"]
+    def context(c: Column, i: Column) -> Column:
+        """A candidate with what stands around it; before it in __parts are 2 i + 1 others."""
+        begin = F.greatest(2 * i + 2 - NEAR_PARTS, F.lit(1))
+        around = F.array_join(F.slice("__parts", begin, 2 * i + 2 - begin), ""), F.array_join(F.slice("__parts", 2 * i + 3, F.lit(NEAR_PARTS)), "")
         value = value_of(c)
         named = F.left(c, F.char_length(c) - F.char_length(value))  # a value ends its candidate
-        return F.struct(
-            c.alias("found"), value.alias("value"), place.alias("place"),
-            F.concat(F.substr(body, F.greatest(place - 40, F.lit(1)), F.least(place - 1, F.lit(40))), named).alias("before"), F.substr(body, place + F.char_length(c), F.lit(40)).alias("after"),
-        )
+        return F.struct(c.alias("found"), value.alias("value"), (F.get("__sums", i) + F.char_length(F.get("__gaps", i)) + 1).cast("int").alias("place"), F.concat(F.right(around[0], F.lit(NEAR)), named).alias("before"), F.left(around[1], F.lit(NEAR)).alias("after"))
 
     def named(c: Column) -> Column:
         kind = F.lit("assigned")
@@ -218,28 +228,38 @@ def with_secrets(df: DataFrame, forest: SecretForest, text: str = "text", path:
         numbers = F.array(*[f.cast("double") for f in features(c["value"], c["before"], c["after"], where, forest.dictionary)])
         return F.struct(c["found"].alias("found"), kind.alias("kind"), c["value"].alias("value"), c["place"].alias("place"), numbers.alias("numbers"))
 
-    def judged(c: Column) -> Column:
-        score = forest.score(c["numbers"])
-        return F.struct(c["found"].alias("found"), c["kind"].alias("kind"), c["value"].alias("value"), c["place"].alias("place"), score.alias("score"))
+    def judged(c: Column, i: Column) -> Column:
+        return F.struct(c["found"].alias("found"), c["place"].alias("place"), c["kind"].alias("kind"), c["value"].alias("value"), forest.score(c["numbers"]).alias("score"), i.alias("i"))
 
-    def together(c: Column) -> Column:
-        """A real candidate with all its occurrences."""
-        own = F.filter("__found", lambda o: o["found"] == c)
-        first = F.get(own, F.lit(0))
+    def together(begin: Column, k: Column) -> Column:
+        """The occurrences of one candidate, which stand together in __judged."""
+        own = F.slice("__judged", begin + 1, F.coalesce(F.get("__begins", k + 1), F.size("__judged")) - begin)
+        first = F.get("__judged", begin)
         return F.struct(
-            first["kind"].alias("kind"), first["value"].alias("value"), first["place"].alias("place"),
-            F.array_max(F.transform(own, lambda o: o["score"])).alias("score"), F.transform(own, lambda o: o["place"]).alias("places"),
-            (F.char_length(c) - F.char_length(first["value"])).alias("at"),
+            first["place"].alias("place"), first["kind"].alias("kind"), first["value"].alias("value"), F.array_max(F.transform(own, lambda o: o["score"])).alias("score"),
+            F.transform(own, lambda o: o["place"]).alias("places"), (F.char_length(first["found"]) - F.char_length(first["value"])).alias("at"), F.transform(own, lambda o: o["i"]).alias("is"),
         )
 
-    df = df.select(*kept, found.alias("__found"), F.when(body.rlike(PATTERN), F.split(body, PATTERN, -1)).otherwise(F.array().cast("array<string>")).alias("__gaps"))
-    df = df.select(*kept, placed(F.col("__gaps"), F.col("__found")).alias("__found"))
-    df = df.select(*kept, F.transform("__found", context).alias("__found"))
-    df = df.select(*kept, F.transform("__found", named).alias("__found"))
-    df = df.select(*kept, F.transform("__found", judged).alias("__found"))
-    real = F.array_distinct(F.transform(F.filter("__found", lambda c: c["score"] >= least), lambda c: c["found"]))
-    df = df.select(*kept, "__found", real.alias("__real"))
-    return df.select(*kept, F.array_sort(F.transform("__real", together), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)).alias(out), F.size("__found").cast("long").alias(count))
+    df = df.select(*kept, F.when(some, F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(texts).alias("__found"), F.when(some, F.split(body, PATTERN, -1)).otherwise(texts).alias("__gaps"))
+    sizes = F.zip_with(F.slice("__gaps", F.lit(1), F.size("__found")), "__found", lambda g, c: (F.char_length(g) + F.char_length(c)).cast("long"))
+    df = df.select(*kept, "__found", "__gaps", _running(sizes).alias("__sums"), F.flatten(F.zip_with("__gaps", "__found", lambda g, c: F.array(g, F.coalesce(c, F.lit(""))))).alias("__parts"))
+    df = df.select(*kept, "__found", "__gaps", F.transform("__found", context).alias("__judged"))
+    df = df.select(*kept, "__found", "__gaps", F.transform("__judged", named).alias("__judged"))
+    df = df.select(*kept, "__found", "__gaps", F.array_sort(F.transform("__judged", judged)).alias("__judged"))
+    places = F.when(F.size("__found") > 0, F.sequence(F.lit(0), F.size("__found") - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("__judged", i)["found"] != F.get("__judged", F.greatest(i - 1, F.lit(0)))["found"]))
+    df = df.select(*kept, "__found", "__gaps", "__judged", begins.alias("__begins"))
+    df = df.select(*kept, "__found", "__gaps", F.array_sort(F.transform("__begins", together)).alias("__groups"))
+    real = F.transform(F.filter("__groups", lambda g: g["score"] >= least), lambda g: F.struct(*[g[c].alias(c) for c in ("kind", "value", "place", "score", "places", "at")]))
+    df = df.select(*kept, "__found", "__gaps", "__groups", real.alias(out))
+    columns = [*kept, out, F.size("__found").cast("long").alias(count)]
+    if clean is None:
+        return df.select(*columns)
+    marks = F.array_sort(F.flatten(F.transform("__groups", lambda g: F.transform(g["is"], lambda i: F.struct(i.alias("i"), F.when(g["score"] >= least, g["at"]).alias("at"))))))
+    shown = F.zip_with("__found", marks, lambda c, m: F.when(m["at"].isNull(), c).otherwise(F.concat(F.left(c, m["at"]), F.lit(REDACTED))))
+    df = df.select(*columns, "__gaps", shown.alias("__shown"))
+    whole = F.array_join(F.flatten(F.zip_with("__gaps", "__shown", lambda g, c: F.array(g, F.coalesce(c, F.lit(""))))), "")
+    return df.select(*kept, out, count, F.when(F.size(out) > 0, whole).otherwise(F.col(text)).alias(clean))
 
 
 def redacted(text: Column, secrets: Column) -> Column:
@@ -251,11 +271,13 @@ def redacted(text: Column, secrets: Column) -> Column:
 
 
 def redact_secrets(documents: DataFrame, forest: SecretForest | None = None, path: str | None = "source") -> DataFrame:
-    """documents with the secrets in their texts replaced, and all columns as they were; n_chars follows the text."""
+    """documents with the secrets in their texts replaced, and all columns as they were; n_chars follows a text that changes.
+
+    Null and empty texts stay as they are, whatever the other columns hold. Repeated rows stay and change alike. An empty table stays empty.
+    """
     forest = forest or SecretForest.of_corpus(documents)
     kept = documents.columns
-    df = with_secrets(documents, forest, path=path, out="__secrets", count="__count")
-    df = df.withColumn("text", F.when(F.size("__secrets") > 0, redacted(F.col("text"), F.col("__secrets"))).otherwise(F.col("text")))
+    df = with_secrets(documents, forest, path=path, out="__secrets", count="__count", clean="__clean").withColumn("text", F.col("__clean"))
     if "n_chars" in kept:
         df = df.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*kept)
@@ -265,6 +287,5 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many candidates and secrets it has, what they are, and its text's checksum without them."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     forest = SecretForest.of_corpus(documents)
-    df = with_secrets(documents, forest, path="source")
-    text = F.coalesce(redacted(F.col("text"), F.col("secrets")), F.lit(""))
-    return df.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2(text, 256).alias("redacted_sha256"))
+    df = with_secrets(documents, forest, path="source", clean="clean")
+    return df.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("redacted_sha256"))
