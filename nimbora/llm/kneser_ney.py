@@ -238,12 +238,15 @@ class KneserNey:
     low: np.ndarray  # discounts of the unigram level, and of levels 2 to order
     high: list[np.ndarray]
     left: float  # the unigram level's share for words never seen
+    shards: dict[str, np.ndarray]  # which shards of each level have a file
 
     def _level(self, level: int | str, shard: int, fields: int):
         """Keys of a shard's file, and for each field (places of large values, these, all values as bytes)."""
         path = f"{self.folder}/{level}/{shard}"
+        if not self.shards[str(level)][shard]:
+            return None  # no gram fell into it
         if not os.path.exists(path):
-            return None
+            raise FileNotFoundError(f"{path}: a file of the model is gone")
         n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
         at, out = 8 * (1 + fields), []
         for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
@@ -337,7 +340,14 @@ def fit_kneser_ney(documents: DataFrame, order: int = 2) -> KneserNey:
     tokens, types, pairs, n1, n2, n3, n4, more = sums.get(1, [0] * 8)
     low = discounts(n1, n2, n3, n4)
     left = (low[1] * n1 + low[2] * n2 + low[3] * more) / pairs if pairs else 1.0
-    return KneserNey(local, order, bits, word_bits, tokens, types, pairs, low, high, left)
+    return KneserNey(local, order, bits, word_bits, tokens, types, pairs, low, high, left, {level: _written(f"{local}/{level}", n) for level, n in (("words", word_bits), *((str(k), bits) for k in range(2, order + 1)))})
+
+
+def _written(folder: str, bits: int) -> np.ndarray:
+    """Which of a level's shards have been written, as they stand when the model is made."""
+    out = np.zeros(1 << bits, bool)
+    out[[int(name) for name in (os.listdir(folder) if os.path.isdir(folder) else ()) if name.isdigit()]] = True
+    return out
 
 
 def score_texts(documents: DataFrame, model: KneserNey) -> DataFrame:

@@ -294,7 +294,8 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
     """(place, token_id) at global places (0-based, over all documents in order) of a written store.
 
-    Only blocks that hold one of the places are read, and each id takes one rank query a level; no block is
+    The places' blocks are found from the blocks' sizes alone, at most one for each place; their numbers then filter the scan of the codes, so
+    that Parquet skips the row groups without them. Each id takes one rank query a level; no block is
     decoded. Repeated places give one row; places outside the store give none. At most 10,000 places a call.
     """
     wanted = sorted(set(places))
@@ -311,7 +312,11 @@ def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
                 codes = DirectCodes.from_bytes(row.codes)
                 yield pd.DataFrame({"place": row.places, "token_id": [codes[int(p) - row.block_start] for p in row.places]})
 
-    return hit.join(blocks.select("part", "block", "codes"), ["part", "block"]).mapInPandas(look, "place long, token_id int")
+    found = [tuple(r) for r in hit.select("part", "block", "block_start", "places").collect()]  # no more than places
+    few = spark.createDataFrame(found, hit.select("part", "block", "block_start", "places").schema)
+    numbers = [sorted({row[i] for row in found}) for i in (0, 1)]
+    codes = blocks.where(F.col("part").isin(*numbers[0]) & F.col("block").isin(*numbers[1])).select("part", "block", "codes")
+    return codes.join(F.broadcast(few), ["part", "block"]).select("block_start", "places", "codes").mapInPandas(look, "place long, token_id int")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
