@@ -14,6 +14,7 @@ from nimbora.llm.common import join_facts, lower_ascii
 BLOCKED = ("cheap-pills.example.com/", "spam-farm.example.org/", "casino-bonus.example.net/", "free-money.example.com/")
 #: (verdict, rule) of the host and path rules, which stand above the list.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+GENERATED = 1_000_000  # made-up pages in the list of op7, beside those of its table
 WORDS = 8  # 64-bit words of a block; each key sets one bit in every word
 MAX_BLOCKS = 1 << 18  # 16 MB: the size that is broadcast never passes this, however long the list
 
@@ -26,9 +27,28 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _decoded(path: Column) -> Column:
+    """The path with percent codes of letters, digits and - . _ ~ decoded, and those of all else in capitals; what is no code stays."""
+    code = lambda p: F.conv(F.left(p, F.lit(2)), 16, 10).cast("int")
+    rest = lambda p: F.substr(p, F.lit(3))
+
+    def piece(p: Column, i: Column) -> Column:
+        valid = p.rlike("^[0-9A-Fa-f]{2}")
+        plain = valid & (code(p) < 128) & F.char(code(p)).rlike("^[A-Za-z0-9._~-]$")
+        return F.when(i == 0, p).when(plain, F.concat(F.char(code(p)), rest(p))).when(valid, F.concat(F.lit("%"), F.upper(F.left(p, F.lit(2))), rest(p))).otherwise(F.concat(F.lit("%"), p))
+
+    return F.when(F.instr(path, "%") > 0, F.array_join(F.transform(F.split(path, "%"), piece), "")).otherwise(path)
+
+
+def plain_host(host: Column) -> Column:
+    """A host without user part, port 80 or 443, closing dots, "www." or "m."."""
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":(80|443)?$", "")
+    return F.regexp_replace(F.regexp_replace(host, r"\.+(:|$)", "$1"), r"^(www|m)\.", "")
+
+
 def canonical(host: Column, path: Column) -> Column:
-    """Canonical URL of a page: no "www." or "m.", no closing "/" or "index.html"."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"/(index\.html)?$", ""))
+    """Canonical URL of a page: its plain host, and its path with letters, digits and - . _ ~ decoded, without a closing "/" or "index.html"."""
+    return F.concat(plain_host(host), F.regexp_replace(_decoded(path), r"/(index\.html)?$", ""))
 
 
 def _bits(key: Column) -> list[Column]:
@@ -69,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     """pages plus host, path, rule and verdict.
 
     rules(verdict, rule): rule is host and path prefix; it fits the host and its subdomains, the longest
-    one wins. listed(key): canonical URLs, or "host/" for whole sites. Where no rule fits, the verdict is
+    one wins. listed(key): canonical URLs, or "host/" for whole sites, which also hold for their plain hosts. Where no rule fits, the verdict is
     "block" for listed pages, else "allow". Rules and list share one Bloom filter; what passes it is
     joined exactly, so its false positives never show. A null or malformed url has empty host and path,
     fits nothing and is allowed. No url is too frequent: common ones and nulls are not dealt by url. Repeated rows
@@ -88,7 +108,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.left("path", F.lit(n)) for n in lengths if n > 0], *([F.lit("")] if 0 in lengths else []))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    sites = F.transform(suffixes, lambda s: F.concat(s, F.lit("/")))
+    bare = F.split(plain_host(F.col("host")), r"\.")
+    sites = F.array_union(F.transform(suffixes, lambda s: F.concat(s, F.lit("/"))), F.transform(F.sequence(F.lit(1), F.size(bare)), lambda i: F.concat(F.array_join(F.slice(bare, i, F.size(bare)), "."), F.lit("/"))))
     kinds = lambda ks, kind: F.transform(F.array_distinct(ks), lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
     probes = urls.where("host <> ''").select("url", F.inline(F.concat(kinds(keys, "rule"), kinds(F.array_append(sites, canonical(F.col("host"), F.col("path"))), "list"))))
     hits = maybe_listed(probes, bloom, blocks).join(entries, ["key", "kind"])
@@ -111,9 +132,30 @@ def default_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in BLOCKED], "key string")
 
 
+def large_list(pages: DataFrame, generated: int = GENERATED) -> DataFrame:
+    """(key): the default list, the canonical urls of an eighth of the pages(url), by the first digit of their MD5, and so many pages of made-up sites."""
+    spark = pages.sparkSession
+    host, path = url_parts(F.col("url"))
+    key = canonical(host, path)
+    seen = pages.where(host != "").select(key.alias("key")).where(F.md5("key") < "2").distinct()
+    made = spark.range(generated).select(F.concat(F.lit("site"), (F.col("id") % 50_000).cast("string"), F.lit(".example.net/page/"), F.col("id").cast("string")).alias("key"))
+    return default_list(spark).unionByName(seen).unionByName(made)
+
+
+def filter_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row (probes, passed, listed): distinct canonical urls of the pages, how many pass the filter of the list, and how many of these the list really has."""
+    host, path = url_parts(F.col("url"))
+    keys = pages.where(host != "").select(canonical(host, path).alias("key")).distinct()
+    entries = listed.where("key is not null").select("key").distinct()
+    bloom, blocks = bloom_filter(entries, entries.count())
+    passed = maybe_listed(keys, bloom, blocks)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(keys, "probes").join(count(passed, "passed")).join(count(passed.join(entries, "key", "left_semi"), "listed"))  # one row each
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages, default_rules(spark), default_list(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, default_rules(spark), large_list(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _VALUES = ", ".join(f"('{v}', '{r}')" for v, r in RULES)
@@ -127,9 +169,12 @@ d AS (SELECT DISTINCT host, path FROM p),
 fit AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says
         FROM d JOIN rules ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, instr(rule, '/')))
         WHERE host <> '' GROUP BY ALL),
-bad AS (SELECT DISTINCT host, path FROM d JOIN listed ON host <> '' AND (
-          (key LIKE '%/' AND ('.' || host || '/') LIKE ('%.' || key))
-          OR key = regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/(index\.html)?$', '')))
+pl AS (SELECT host, path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\.+(:|$)', '\1'), '^(www|m)\.', '') AS h,
+  regexp_replace(array_to_string(list_transform(string_split(path, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN
+    CASE WHEN TRY_CAST('0x' || left(x, 2) AS INT) < 128 AND regexp_matches(chr(greatest(TRY_CAST('0x' || left(x, 2) AS INT), 1)), '^[A-Za-z0-9._~-]$') THEN chr(greatest(TRY_CAST('0x' || left(x, 2) AS INT), 1)) || substr(x, 3) ELSE '%' || upper(left(x, 2)) || substr(x, 3) END ELSE '%' || x END), ''), '/(index\.html)?$', '') AS q FROM d),
+keys AS (SELECT key FROM listed UNION ALL SELECT DISTINCT h || q FROM pl WHERE host <> '' AND md5(h || q) < '2' UNION ALL SELECT 'site' || (i % 50000)::VARCHAR || '.example.net/page/' || i::VARCHAR FROM range({GENERATED}) AS r(i)),
+bad AS (SELECT DISTINCT host, path FROM (SELECT host, path FROM pl JOIN keys ON host <> '' AND key = h || q
+  UNION ALL SELECT host, path FROM pl JOIN listed ON host <> '' AND key LIKE '%/' AND (('.' || host || '/') LIKE ('%.' || key) OR ('.' || h || '/') LIKE ('%.' || key))))
 SELECT page_id, p.host, p.path, fit.rule AS rule,
        coalesce(fit.says, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path
