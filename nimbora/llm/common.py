@@ -135,6 +135,12 @@ def let_go() -> None:
         trim(0)
 
 
+def let_go_driver(spark: SparkSession) -> None:
+    """The same on the driver, whose JVM keeps what training a model took until it happens to collect its garbage."""
+    let_go()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable) -> Callable:
     """A function over batches that lets go of memory when its partition ends."""
 

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import LOWER, UPPER, new_folder, table
+from nimbora.llm.common import LOWER, UPPER, let_go_driver, new_folder, table
 
 #: Kinds of candidates. The prefixes are those of the issuers.
 KINDS = {
@@ -155,6 +155,7 @@ class SecretForest:
             counts = r.impurityStats
             limit = (r.split.leftCategoriesOrThreshold or [0.0])[0]
             out[r.treeID].append((r.id, counts[1] / max(sum(counts), 1), r.leftChild, r.rightChild, r.split.featureIndex, limit))
+        let_go_driver(findings.sparkSession)
         return cls([sorted(t) for t in out], dictionary)
 
     def score(self, numbers: Column) -> Column:
