@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -141,6 +143,18 @@ def let_go_driver(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """For work that makes very many lists and no reference cycles: the search for cycles, which would go through all of them over and over, pauses."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def tidy(run: Callable) -> Callable:
     """A function over batches that lets go of memory when its partition ends."""
 

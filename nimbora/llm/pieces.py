@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbora.llm.common import WordRows, pieces_of, split_words, table
+from nimbora.llm.common import WordRows, let_go, no_cycles, pieces_of, split_words, table
 
 MARK = "▁"
 CACHE_ENTRIES = 300_000
@@ -59,7 +59,7 @@ class PieceModel:
         for piece in self.ids:
             ends.setdefault(piece[-2:], set()).add(len(piece))
         self.lengths = {c: tuple(sorted(x | {1}, reverse=True)) for c, x in ends.items() if len(c) > 1}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joins: dict[str, bool] = {}
         self.words, self.units, self.column = WordRows(), {}, None
 
     @classmethod
@@ -82,7 +82,7 @@ class PieceModel:
 
     def _fits(self, a: str, b: str) -> bool:
         """Whether b may follow a: together they encode to just these two; a is empty where b begins the word."""
-        key = (a, b)
+        key = f"{a}\n{b}"  # a line feed is a unit by itself; one string takes less memory than a pair
         got = self.joins.get(key)
         if got is None:
             if len(self.joins) > CACHE_ENTRIES:
@@ -152,7 +152,8 @@ class PieceModel:
             self.units.clear()
         found, missing = self.units, list({u for us in units for u in us if u not in self.units})
         fresh = self.encode_words(missing)
-        found.update((u, ids) for u, ids in fresh.items() if len(u) < LONG_WORD)
+        several = {u for us in units if len(us) > 1 for u in us}  # words of one unit are remembered as words
+        found.update((u, fresh[u]) for u in several if u in fresh and len(u) < LONG_WORD)
         return [list(chain.from_iterable(found[u] if u in found else fresh[u] for u in us)) if len(us) != 1 else found.get(us[0]) or fresh[us[0]] for us in units]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +214,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids"
 
     With `decoded`, a column of that name has the text that the ids give back. Null and empty texts have no
     ids and decode to an empty text; repeated rows get equal ids. Works on each partition by itself, without a
-    shuffle; words are remembered up to a fixed number. Raises if a new column's name is taken.
+    shuffle; words are remembered up to a fixed number, and texts are taken up a thousand rows at a time. Raises if a new column's name is taken.
     """
     fields = [*df.schema.fields, T.StructField(_free(out, df), T.ArrayType(T.IntegerType(), False))]
     if decoded:
@@ -223,13 +224,17 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.of(path)
         for whole in batches:
-            texts = [x or "" for x in whole.column(text).to_pylist()]
-            for a, b in pieces_of(texts, BATCH_CHARACTERS):
-                ids, lengths = model.encode(texts[a:b])
-                new = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))]
-                if decoded:
-                    new.append(model.decode(ids, lengths))
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, *new], schema.names)
+            for at in range(0, whole.num_rows, SUB_BATCH):
+                batch = whole.slice(at, SUB_BATCH)
+                texts = [x or "" for x in batch.column(text).to_pylist()]
+                for a, b in pieces_of(texts, BATCH_CHARACTERS):
+                    with no_cycles():
+                        ids, lengths = model.encode(texts[a:b])
+                    new = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))]
+                    if decoded:
+                        new.append(model.decode(ids, lengths))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], schema.names)
+            let_go()
 
     return df.mapInArrow(run, schema)
 
