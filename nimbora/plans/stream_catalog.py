@@ -73,3 +73,19 @@ def _(spark, sf_dir):
     matches = _done(spark, ingest.align_stream(forecasts, observations, "40 days"))
     best = ingest.nearest_match(matches, ["location", "event_id", "valid_time"])
     return best.select("location", "event_id", "valid_time", F.abs(F.unix_micros("time") - F.unix_micros("valid_time")).alias("gap_us"), "time")
+
+
+@_query("st_settled_runs", """WITH r AS (SELECT DISTINCT event_type || '-' || (user_id % 20) AS domain, date_trunc('day', ts::TIMESTAMP) AS init, ts::TIMESTAMP AS ts FROM events),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM r), l AS (SELECT *, lag(init) OVER w AS before, lead(ts) OVER w AS next_ts, lead(init) OVER w AS next_init FROM r WINDOW w AS (PARTITION BY domain ORDER BY ts, init)),
+s AS (SELECT domain, init, CASE WHEN next_ts <= ts + INTERVAL 6 HOUR THEN CASE WHEN next_init = init THEN next_ts END ELSE ts + INTERVAL 6 HOUR END AS settled_at, coalesce(next_ts <= ts + INTERVAL 6 HOUR, false) AS agreed FROM l WHERE before IS DISTINCT FROM init)
+SELECT domain, init, settled_at, agreed FROM s, mark WHERE date_trunc('milliseconds', settled_at) < mark""")
+def _(spark, sf_dir):
+    """The events as reads of run starts, in four batches of a quarter of the time each, and the state carried from one to the next."""
+    source = new_folder(spark, "reads")
+    ts = F.col("ts").cast("timestamp")
+    domain = F.concat_ws("-", "event_type", F.col("user_id") % 20)
+    df = tb.table(spark, sf_dir, "events").select(domain.alias("domain"), F.date_trunc("day", ts).alias("init"), ts.alias("ts"))
+    first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for quarter in range(4):
+        df.where(F.floor((F.unix_micros("ts") - first) * 4 / F.lit(last - first + 1)) == quarter).coalesce(1).write.mode("append").parquet(source)
+    return _done(spark, ingest.settled_runs(ingest.read_stream(spark, source, df.schema, files_per_batch=1)))

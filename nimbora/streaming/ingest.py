@@ -1,15 +1,18 @@
-"""The logs as streams: hourly windows with late data, sessions, deduplication, keep-last tables."""
+"""The logs as streams: hourly windows with late data, sessions, deduplication, keep-last tables, run starts that settled."""
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nimbora.operators.verification import keep_last
 from nimbora.sources.logs import commit_version, versions
@@ -36,6 +39,52 @@ def first_seen(stream: DataFrame, keys: Sequence[str], late: str = "7 days") ->
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def settled_runs(reads: DataFrame, wait: timedelta = timedelta(hours=6), late: str = "1 hour") -> DataFrame:
+    """(domain, init, settled_at, agreed): the run starts of a stream of reads (domain, init, ts) that can be relied on.
+
+    A run start that a domain has not shown in its read before is given out when the next read agrees with it, or by a timer if there is no
+    other read for `wait`; a read that differs before that drops it. Reads are judged in order of their times, then of their run starts, once nothing as old can
+    come, so neither batches nor restarts change the result. A read that comes twice counts once; one without domain,
+    run start or time says nothing. The state of a domain is its last run start and the reads of the time that `late` spans.
+    """
+    patience = wait // timedelta(microseconds=1)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        times, inits, last, opened = state.get if state.exists else ([], [], None, None)
+        pending = set(zip(times, inits, strict=True))
+        for frame in frames:
+            pending.update(zip(frame.at_us.tolist(), frame.init_us.tolist(), strict=True))
+        due = sorted(r for r in pending if r[0] // 1000 < mark)
+        found = []
+        for at, init in due:
+            if opened is not None and at > opened + patience:
+                found.append((*key, last, opened + patience, False))
+                opened = None
+            if init != last:
+                last, opened = init, at
+            elif opened is not None:
+                found.append((*key, init, at, True))
+                opened = None
+        if opened is not None and (opened + patience) // 1000 < mark:
+            found.append((*key, last, opened + patience, False))
+            opened = None
+        rest = sorted(pending.difference(due))
+        state.update(([r[0] for r in rest], [r[1] for r in rest], last, opened))
+        waits = [r[0] // 1000 for r in rest[:1]] + ([] if opened is None else [(opened + patience) // 1000])
+        if waits:
+            state.setTimeoutTimestamp(max(min(waits), mark + 1))
+        yield pd.DataFrame(found, columns=["domain", "init_us", "at_us", "agreed"])
+
+    known = reads.where("domain is not null and init is not null and ts is not null").withWatermark("ts", late)
+    known = known.select("domain", "ts", F.unix_micros("init").alias("init_us"), F.unix_micros("ts").alias("at_us"))
+    domain = known.schema["domain"].dataType.simpleString()
+    out = known.groupBy("domain").applyInPandasWithState(
+        run, f"domain {domain}, init_us long, at_us long, agreed boolean", "times array<long>, inits array<long>, last long, opened long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return out.select("domain", F.timestamp_micros("init_us").alias("init"), F.timestamp_micros("at_us").alias("settled_at"), "agreed")
+
+
 def align_stream(forecasts: DataFrame, observations: DataFrame, late: str = "1 hour", tolerance: str = "30 minutes") -> DataFrame:
     """Forecasts with every observation within the tolerance, both bounded by watermarks; take the nearest downstream."""
     f = forecasts.withWatermark("valid_time", late).alias("f")
