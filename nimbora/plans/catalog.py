@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
 from nimbora.operators import asof, blend, ensemble, history, resampling, series, verification
+from nimbora.plans import draws_sql
 from nimbora.plans import testbed as tb
 from nimbora.sources import parsers
 from nimbora.sources.logs import latest_run
@@ -131,14 +132,24 @@ def _(spark, sf_dir):
     return df.select("location", "lead_day", "best", "model", "day", *_r("a", "b"), "n")
 
 
-@_query("m1_paired_comparison")
+_COMPARED = f"WITH RECURSIVE {tb.PAIRS}, {_MAE}, {draws_sql.paired_rounds()}"
+_MEASURES = ("mae_a", "mae_b", "diff", "diff_se", "pct", "pct_se")
+
+
+@_query("m1_paired_comparison", f"{_COMPARED} SELECT location, lead_day, best, model, n, days, {_rs(*_MEASURES)} FROM compared")
 def _(spark, sf_dir):
-    return verification.compare_models(pairs(spark, sf_dir), ["location", "lead_day"])
+    df = verification.compare_models(pairs(spark, sf_dir), ["location", "lead_day"])
+    return df.select("location", "lead_day", "best", "model", "n", "days", *_r(*_MEASURES))
 
 
-@_query("m3_winners_by_lead")
+@_query("m3_winners_by_lead", f"""{_COMPARED}, placed AS (SELECT mae.*, row_number() OVER (PARTITION BY location, lead_day ORDER BY mae.mae, model) AS k FROM mae),
+x AS (SELECT placed.*, diff, diff_se, coalesce(c.n >= 20 AND days >= 10 AND diff > 2 * diff_se, false) AS clear FROM placed LEFT JOIN compared c USING (location, lead_day, model)),
+g AS (SELECT location, lead_day, max(model) FILTER (k = 1) AS model, max(mae) FILTER (k = 1) AS mae, max(size) FILTER (k = 1) AS n, list_sort(list(model) FILTER (k = 1 OR NOT clear)) AS tied, count(*) AS models,
+  max(model) FILTER (k = 2) AS runner_up, max(diff) FILTER (k = 2) AS margin, max(diff_se) FILTER (k = 2) AS margin_se FROM x GROUP BY ALL)
+SELECT location, lead_day, model, n, array_to_string(tied, ',') AS tied, runner_up, {_rs('mae', 'margin', 'margin_se')}, len(tied) = 1 AND models > 1 AS decisive FROM g""")
 def _(spark, sf_dir):
-    return verification.winners_by_lead(pairs(spark, sf_dir)).withColumn("tied", F.array_join("tied", ","))
+    df = verification.winners_by_lead(pairs(spark, sf_dir)).withColumn("tied", F.array_join("tied", ","))
+    return df.select("location", "lead_day", "model", "n", "tied", "runner_up", *_r("mae", "margin", "margin_se"), "decisive")
 
 
 @_query("a38_flips", f"""WITH {tb.PAIRS}, d AS (SELECT * FROM pairs WHERE lead_day = 1), o AS (SELECT location, model, avg(abs_error) AS mae FROM d GROUP BY ALL HAVING count(*) >= 10),
@@ -439,7 +450,10 @@ def _(spark, sf_dir):
     return history.mean_change(d, F.lit("1998-06-01").cast("date")).select("location", *_r("before", "after"), "n_before", "n_after")
 
 
-@_query("m6_step_change")
+_STEPS = f"WITH RECURSIVE {_DIFF}, s AS (SELECT *, d - avg(d) OVER (PARTITION BY location, month(day)) AS e FROM d), {draws_sql.month_rounds('1998-06-01')} SELECT * FROM steps"
+
+
+@_query("m6_step_change", _STEPS)
 def _(spark, sf_dir):
     return resampling.step_change(tb.all_days(spark, sf_dir), tb.model_days(spark, sf_dir), "1998-06-01")
 
@@ -458,12 +472,15 @@ def _(spark, sf_dir):
     return resampling.sen_slope(_half_years(spark, sf_dir)).select("location", *_r("slope"), "n", "start", "end")
 
 
-@_query("m7_sen_slope_range")
+_TRENDS = f"WITH RECURSIVE {tb.STATION}, {_YEARLY}, {draws_sql.year_rounds('location')}"
+
+
+@_query("m7_sen_slope_range", f"{_TRENDS} SELECT * FROM trends")
 def _(spark, sf_dir):
     return resampling.sen_slope_range(_half_years(spark, sf_dir))
 
 
-@_query("f19_trend_statement")
+@_query("f19_trend_statement", f"{_TRENDS} SELECT {draws_sql.STATEMENT} FROM trends")
 def _(spark, sf_dir):
     return resampling.trend_statement(resampling.sen_slope_range(_half_years(spark, sf_dir)))
 

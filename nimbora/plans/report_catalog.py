@@ -8,7 +8,7 @@ from nimbora.functions import scalar
 from nimbora.functions import time as ft
 from nimbora.operators import blend, ensemble, history, resampling, series, verification
 from nimbora.plans import catalog as c
-from nimbora.plans import reports
+from nimbora.plans import draws_sql, reports
 from nimbora.plans import testbed as tb
 
 _query, _r, _rs = c._query, c._r, c._rs
@@ -368,7 +368,7 @@ def _(spark, sf_dir):
     return reports.station_adjustment(tb.all_days(spark, sf_dir), tb.model_days(spark, sf_dir))["overlap"]
 
 
-@_query("q18_step")
+@_query("q18_step", c._STEPS)
 def _(spark, sf_dir):
     return reports.station_adjustment(tb.all_days(spark, sf_dir), tb.model_days(spark, sf_dir), since="1998-06-01")["step"]
 
@@ -410,14 +410,17 @@ _SEASONS = f"""yr AS (SELECT year(day)::INT AS year, 'year' AS kind, source, avg
 SELECT {c._WINTER} AS year, 'winter', source, avg(v), count(*), date_diff('day', make_date({c._WINTER} - 1, 11, 1), make_date({c._WINTER}, 5, 1)) FROM src WHERE {c._IN_WINTER} GROUP BY ALL), y AS (SELECT year, kind, source, v FROM yr WHERE n >= 0.9 * need)"""
 
 
-@_query("q16_long_view_slopes", f"""WITH {tb.LONG_DAYS}, src AS (SELECT day, v, 'rising' AS source FROM longd UNION ALL SELECT day, v - 0.002 * (day - DATE '1995-01-01'), 'falling' FROM longd), {_SEASONS},
+_LONG = f"{tb.LONG_DAYS}, src AS (SELECT day, v, 'rising' AS source FROM longd UNION ALL SELECT day, v - 0.002 * (day - DATE '1995-01-01'), 'falling' FROM longd), {_SEASONS}"
+
+
+@_query("q16_long_view_slopes", f"""WITH {_LONG},
 n AS (SELECT kind, source, count(*) AS n, min(year) AS start, max(year) AS "end" FROM y GROUP BY ALL HAVING count(*) >= 8)
 SELECT kind, source, round(10 * median((b.v - a.v) / (b.year - a.year)), 2) AS slope, n, start, "end" FROM y a JOIN y b USING (kind, source) JOIN n USING (kind, source) WHERE a.year < b.year GROUP BY ALL""")
 def _(spark, sf_dir):
     return _long_view(spark, sf_dir)[0].select("kind", "source", "slope", "n", "start", "end")
 
 
-@_query("q16_long_view")
+@_query("q16_long_view", f"WITH RECURSIVE {_LONG}, {draws_sql.year_rounds('kind, source')} SELECT kind, {draws_sql.STATEMENT} FROM trends GROUP BY kind")
 def _(spark, sf_dir):
     return _long_view(spark, sf_dir)[1]
 
