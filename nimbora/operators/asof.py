@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +23,28 @@ def in_buckets(df: DataFrame, at: Column, width: int, before: int, after: int) -
 def _asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], tolerance_s: int, back_only: bool) -> DataFrame:
     """One row for each distinct (by, left time) that has a match, with the best right row's columns in `__r`.
 
-    Times are dealt into buckets twice as wide as the tolerance, so the join is an equi-join on (by, bucket):
-    no single task holds a whole series, and a series that is a third of all rows is spread over its buckets.
+    Times are dealt into buckets a few tolerances wide, the right side's also into those that look at them, so no single task holds a whole
+    series, and a series that is a third of all rows is spread over its buckets. Within a bucket both sides stand in one order,
+    where the last right row before a time and the first after it are carried along: no time meets every row within the tolerance.
     """
     tol = tolerance_s * 1_000_000
-    width = max(2 * tol, 1)
+    width = max(8 * tol, 1)
+    keyed = lambda df, on: df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, on]]))
     t, r = F.unix_micros(left_on), F.unix_micros(right_on)
-    times = left.where(F.col(left_on).isNotNull()).select(*by, left_on).distinct()
-    times = times.withColumn("__b", _buckets(t - tol, t if back_only else t + tol, width))
-    found = right.where(F.col(right_on).isNotNull())
-    found = found.select(*by, F.floor(r / width).alias("__b"), F.struct(*[c for c in right.columns if c not in by]).alias("__r"))
-    joined = times.join(found, [*by, "__b"])
-    gap = F.unix_micros(left_on) - F.unix_micros(F.col("__r")[right_on])
-    joined = joined.where((gap >= 0) & (gap <= tol) if back_only else F.abs(gap) <= tol)
-    best = F.min_by("__r", F.struct(F.abs(gap), F.unix_micros(F.col("__r")[right_on])))
-    return joined.groupBy(*by, left_on).agg(best.alias("__r"))
+    found = keyed(right, right_on).select(*by, r.alias("__t"), F.struct(*[c for c in right.columns if c not in by]).alias("__r"))
+    found = found.select(*by, "__t", F.lit(None).cast(left.schema[left_on].dataType).alias(left_on), "__r", _buckets(F.col("__t") - (0 if back_only else tol), F.col("__t") + tol, width).alias("__b"))
+    times = keyed(left, left_on).select(*by, left_on).distinct()
+    times = times.select(*by, t.alias("__t"), left_on, F.lit(None).cast(found.schema["__r"].dataType).alias("__r"), F.floor(t / width).alias("__b"))
+    both = found.unionByName(times)
+    asked, place = F.col(left_on).isNotNull(), Window.partitionBy(*by, "__b")
+    carried = lambda *order: F.last("__r", ignorenulls=True).over(place.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__before", carried("__t", asked))
+    gap = lambda c: F.abs(F.col("__t") - F.unix_micros(F.col(c)[right_on]))
+    best = F.when(gap("__before") <= tol, F.col("__before"))
+    if not back_only:
+        both = both.withColumn("__after", carried(F.desc("__t"), asked))
+        best = F.when((gap("__after") <= tol) & (gap("__before").isNull() | (gap("__after") < gap("__before"))), F.col("__after")).otherwise(best)
+    return both.where(asked).select(*by, left_on, best.alias("__r")).where("__r is not null")
 
 
 def nearest_asof(left: DataFrame, right: DataFrame, *, left_on: str, right_on: str, by: list[str] | None = None, tolerance_s: int = 1800, how: str = "inner") -> DataFrame:
