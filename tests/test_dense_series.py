@@ -40,3 +40,20 @@ def test_asof_matches_no_null(spark):
     right = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), 1), ("a", None, 2)], "k string, r timestamp, v int")
     assert asof.nearest_asof(left, right, left_on="t", right_on="r", by=["k"]).count() == 0
     assert [r.v for r in asof.nearest_asof(left, right, left_on="t", right_on="r", by=["k"], how="left").collect()] == [None] * 3
+
+
+def test_centred_median_takes_a_value_up_and_lets_it_go_once(spark):
+    rng = np.random.default_rng(5)
+    hours = np.sort(rng.choice(4000, 900, replace=False)) / 10
+    values = [[None, float("inf"), -float("inf"), float(x)][min(int(k), 3)] for k, x in zip(rng.integers(0, 40, 900), rng.integers(0, 50, 900), strict=True)]
+    rows = [(str(i % 2), dt.datetime(2024, 1, 1) + dt.timedelta(hours=float(h)), v) for i, (h, v) in enumerate(zip(hours, values, strict=True))]
+    df = history.centred_median(spark.createDataFrame(rows, "k string, ts timestamp, v double"), ["k"], 5, "m")
+    assert "Window" not in plan(df) and df.columns == ["k", "ts", "v", "m"]
+    got = {(r.k, r.ts): r.m for r in df.collect()}
+    assert len(got) == len(rows)
+    half = dt.timedelta(hours=2.5)
+    for k, t, _ in rows:
+        near = sorted(v for g, u, v in rows if g == k and t - half < u <= t + half and v is not None)
+        n = len(near)
+        low, high = (near[(n - 1) // 2], near[n // 2]) if n else (None, None)
+        assert got[k, t] == (None if n < 3 else low if low == high else 0.5 * low + 0.5 * high)
