@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nimbora.functions import scalar
 from nimbora.functions import time as ft
 from nimbora.operators import blend, ensemble, history, resampling, series, verification
+from nimbora.session import stored
 from nimbora.sources.logs import latest_run
 
 
@@ -94,7 +95,11 @@ def snow_chart(daily: DataFrame, end_year: int, by: Sequence[str] = ("location",
 
 
 def modelled_snowpack(daily: DataFrame, end_year: int, years: tuple[int, int], by: Sequence[str] = ("location",), window: int = 7) -> dict[str, DataFrame]:
-    """A model's snow depth as a percentage of its own median for the date, from December on: the `band` by day of the year, `lines` of this season and the one before, and the newest value's `summary`."""
+    """A model's snow depth as a percentage of its own median for the date, from December on: the `band` by day of the year, `lines` of this season and the one before, and the newest value's `summary`.
+
+    The days are written first: the newest value is looked up in its own pool, and means that two branches compute may differ in their last bit.
+    """
+    daily = stored(daily, "days")
     median = history.doy_climatology(daily, years, window, (0.5,), by).select(*by, "doy", F.col("q")[0].alias("median"))
     ratio = history.percent_of_median(daily, median, by).where("pct_of_median is not null").select(*by, "day", F.col("pct_of_median").alias("v"))
     lines = history.season_long(ratio, "snow", by).where(F.col("season_year").isin(end_year, end_year - 1))
