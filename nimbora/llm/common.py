@@ -6,7 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +174,7 @@ class WordRows:
     def __init__(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.start = self.length
+        self.start, self.again = self.length, np.zeros(0, bool)  # again: asked for by a later call than that which added it
 
     def add(self, ids: list[list[int]]) -> np.ndarray:
         """Appends rows; their numbers."""
@@ -182,22 +182,33 @@ class WordRows:
         own = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(own) - own])
         self.length = np.concatenate([self.length, own])
+        self.again = np.concatenate([self.again, np.zeros(len(own), bool)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(own.sum()))])
         return first + np.arange(len(ids))
 
     def of(self, words: list[str], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
         """The rows of words, of which those not yet known are encoded first."""
-        found = list(map(self.rows.get, words))
-        if None in found:
-            fresh = [w for w, r in zip(words, found, strict=True) if r is None]
-            self.rows |= zip(fresh, self.add(encode(fresh)).tolist(), strict=True)
-            found = list(map(self.rows.get, words))
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
+        if len(new):
+            fresh = [words[i] for i in new]
+            found[new] = self.add(encode(fresh))
+            self.rows |= zip(fresh, found[new].tolist(), strict=True)
+        return found
+
+    def keep(self, first: int = 0) -> None:
+        """Forgets the words that no later call asked for again, the others have to be asked for anew; the first rows stay."""
+        stay = self.again.copy()
+        stay[:first] = True
+        number, (flat, length) = np.cumsum(stay) - 1, self.gather(np.flatnonzero(stay))
+        self.rows = {w: int(number[r]) for w, r in self.rows.items() if stay[r]}
+        self.flat, self.length, self.start, self.again = flat, length, np.cumsum(length) - length, np.zeros(len(length), bool)
 
     def shrink(self, rows: int) -> None:
         """Forgets the rows from this number on."""
         self.flat = self.flat[: self.start[rows] if rows < len(self.start) else len(self.flat)]
-        self.length, self.start = self.length[:rows], self.start[:rows]
+        self.length, self.start, self.again = self.length[:rows], self.start[:rows], self.again[:rows]
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these rows one after another, how many each has)."""
@@ -211,7 +222,7 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     split = pc.split_pattern(column, " ")
     coded = split.flatten().dictionary_encode()
     offsets = split.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 # ---- packed columns, for shuffles of many small values ----

@@ -15,12 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import WordRows, new_folder, pieces_of, split_words, table
+from nimbora.llm.common import WordRows, new_folder, no_cycles, pieces_of, split_words, table
 
 CHUNK_BITS = 8
 RANK_STEP = 512  # bits of a continuation bitmap between two entries of its rank directory
 BLOCK_TOKENS = 1 << 16  # a block closes when it holds so many; one longer document makes a longer block
 CACHE_ENTRIES = 350_000
+PIECE_BYTES = 1 << 23  # of texts whose distinct words are looked up together
 END_ID = 2
 MAGIC = b"NDAC1\0"
 
@@ -131,6 +132,14 @@ class ChunkEncoder:
         self.words = WordRows()  # after a space
         self.words.add([self.end])  # row 0
 
+    def _make_room(self) -> None:
+        """Words that came again stay, unless they alone fill half of the memory."""
+        self.words.keep(1)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
+        if len(self.words.length) > CACHE_ENTRIES // 2 or len(self.words.flat) > 4 * CACHE_ENTRIES:
+            self._forget()
+
     @classmethod
     def of(cls, path: str, end_id: int | None = None) -> ChunkEncoder:
         """One for each Python worker."""
@@ -163,7 +172,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each text has), each text's with the end id, if there is one."""
         if len(self.words.length) > CACHE_ENTRIES or len(self.words.flat) > 8 * CACHE_ENTRIES:
-            self._forget()
+            self._make_room()
         column = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
         offsets, place, words = split_words(column.filter(pa.array(~odd)))
@@ -222,8 +231,9 @@ def encode_blocks(documents: DataFrame, path: str, end_id: int = END_ID) -> Data
 
         for frame in frames:
             texts = frame.text.tolist()
-            for a, b in pieces_of(texts, 1 << 21):
-                tokens, lengths = encoder.encode(texts[a:b])
+            for a, b in pieces_of(texts, PIECE_BYTES):
+                with no_cycles():
+                    tokens, lengths = encoder.encode(texts[a:b])
                 ends = np.cumsum(lengths)
                 has, ids = frame.has_id.to_numpy()[a:b], frame.doc_id.to_numpy()[a:b]
                 at = 0

@@ -39,6 +39,18 @@ def test_chunk_encoder_equals_the_library():
     assert encoder.encode(["<|endoftext|> x"])[0].tolist() == [50256, 2124]
 
 
+def test_words_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_ENTRIES", 100)
+    encoder, plain, asked = token_store.ChunkEncoder(BPE, 2), Tokenizer.from_file(BPE), []
+    piece = encoder._piece
+    monkeypatch.setattr(encoder, "_piece", lambda p: asked.append(p) or piece(p))
+    for i in range(20):
+        texts = [" ".join(["often", "common", *(f"once{i}x{k}" for k in range(30)), "often"]), "common often"]
+        ids, n = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert asked.count(" common") == asked.count(" often") == 1 and len(encoder.words.length) < 150
+
+
 @pytest.mark.parametrize("n", [1, 7, 511, 512, 513, 5000])
 def test_direct_codes(n):
     rng = np.random.default_rng(n)
