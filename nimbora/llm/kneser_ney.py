@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import mix, new_folder, pack, pieces_of, table, unpack, word_hashes
+from nimbora.llm.common import let_go_driver, mix, new_folder, pack, pieces_of, table, unpack, word_hashes
 
 END, BEGIN = np.uint64(0x5EED0000E0D15EED), np.uint64(0x5EED0000BE615EED)  # keys of the end token and of the context before a text
 _PAIR = np.uint64(0xFF51AFD7ED558CCD)
 FLUSH_TOKENS = 3_000_000  # a task sends its counts on when it has read so many
 SHARD_TOKENS = 1_500_000  # training tokens for each shard of the model, about
+SLICES = 12  # parts that a large model is made in, one after another
+BUCKET = 16  # keys of a file for each entry of its directory, about
 ORDER = 3  # of op8's model
 GRAMS = "shard long, seen array<long>, data binary"
 FIELDS = ("count", "continuation", "total", "n1", "n2", "n3")  # of a gram below the top level; the last four as a context
@@ -110,6 +114,10 @@ def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], order[first], *(np.add.reduceat(c[order], first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64) for c in columns))
 
 
+def _slice(words: np.ndarray, slices: int) -> np.ndarray:
+    return (mix(words) % np.uint64(slices)).astype(np.int64)
+
+
 def _by_shard(shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(shards, kind="stable")
     shards, columns = shards[order], [c[order] for c in columns]
@@ -122,8 +130,8 @@ def _gram_shard(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
     return _shard(keys, bits) if level > 1 else _word_shard(keys, bits)
 
 
-def _count_grams(order: int, bits: int):
-    """Counts of the grams that end at each token, by shard."""
+def _count_grams(order: int, bits: int, slices: int):
+    """Counts of the grams that end at each token, by shard and by the slice of their second-last word."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, room = [], 0
@@ -133,8 +141,8 @@ def _count_grams(order: int, bits: int):
             keys = gram_keys(tokens)
             unique, first, counts = _summed(keys, np.ones(len(keys), np.uint8))
             tokens = [t[first] for t in tokens]
-            parts = _by_shard(_gram_shard(unique, order, bits), [*tokens, counts])
-            return pd.DataFrame([(s, None, pack_grams(c[:-1], c[-1])) for s, c in parts], columns=["shard", "seen", "data"])
+            parts = _by_shard(_slice(tokens[-2], slices) << bits | _shard(unique, bits), [*tokens, counts])
+            return pd.DataFrame([(s >> bits, s & (1 << bits) - 1, None, pack_grams(c[:-1], c[-1])) for s, c in parts], columns=["slice", "shard", "seen", "data"])
 
         for frame in frames:
             texts = [t.encode("utf-8", "replace") for t in frame.text]
@@ -157,13 +165,86 @@ def _write_level(path: str, keys: np.ndarray, fields: list[np.ndarray]) -> None:
     _write(path, np.array([len(keys), *map(len, big)], np.uint64), keys, *many, *(np.minimum(f, 255).astype(np.uint8) for f in fields))
 
 
+def _write_grams(path: str, keys: np.ndarray, fields: list[np.ndarray], bits: int) -> None:
+    """Sorted keys that share their first `bits` bits, each as its remainder after the bits that its place in a directory tells; no bit is lost.
+
+    Values are one byte a key: a place in the list of the different ones, the most frequent first. Later places, and
+    where nearly all keys have the first value all others, stand in a list, as keys do whose value is not the first.
+    """
+    n = len(keys)
+    wide = max(0, (n // BUCKET).bit_length() - 1) if n else 0
+    left = 64 - bits - wide
+    inner = keys << np.uint64(bits) if bits else keys
+    bucket = (inner >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(n, np.int64)
+    rest = keys & np.uint64((1 << left) - 1)
+    high = [(rest >> np.uint64(32 + 8 * i)).astype(np.uint8) for i in range((max(0, left - 32) + 7) // 8)]
+    order = np.lexsort(fields[::-1])
+    rows = np.stack([f[order] for f in fields], 1).astype(np.uint64).reshape(n, len(fields))
+    first = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])[:n]
+    often = np.bincount(np.cumsum(first) - 1) if n else np.zeros(0, np.int64)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    values = np.empty((len(often), len(fields)), np.uint64)
+    values[rank] = rows[first]
+    codes = np.empty(n, np.int64)
+    codes[order] = np.repeat(rank, often)
+    dense = n > 0 and 8 * int((codes > 0).sum()) > n
+    listed = np.flatnonzero(codes >= 255 if dense else codes > 0)
+    head = np.array([n, wide, len(high), len(values), len(listed), dense], np.uint64)
+    starts = np.searchsorted(bucket, np.arange((1 << wide) + 1)).astype(np.uint32)
+    _write(path, head, values, starts, rest.astype(np.uint32), listed.astype(np.uint32), codes[listed].astype(np.uint32), *high, np.minimum(codes, 255).astype(np.uint8) if dense else np.zeros(0, np.uint8))
+
+
+def _read_grams(path: str, fields: int, bits: int, keys: np.ndarray) -> np.ndarray:
+    """(field, key) values of a file of _write_grams for keys of its shard; zero for keys that are not there."""
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+    n, wide, planes, different, listed, dense = (int(x) for x in data[:48].view(np.uint64))
+    at, found = 48, []
+    for kind, size in ((np.uint64, different * fields), (np.uint32, (1 << wide) + 1), (np.uint32, n), (np.uint32, listed), (np.uint32, listed), *((np.uint8, n),) * planes, (np.uint8, n * dense)):
+        to = at + size * np.dtype(kind).itemsize
+        found.append(data[at:to].view(kind))
+        at = to
+    values, starts, low, places, late, *high, small = found
+    out = np.zeros((fields, len(keys)), np.int64)
+    if not n:
+        return out
+    left = 64 - bits - wide
+    bucket = (keys << np.uint64(bits) >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(keys), np.int64)
+    rest = (keys & np.uint64((1 << left) - 1)).astype(np.uint64)
+
+    def rest_at(place: np.ndarray) -> np.ndarray:
+        known = low[place].astype(np.uint64)
+        for i, plane in enumerate(high):
+            known |= plane[place].astype(np.uint64) << np.uint64(32 + 8 * i)
+        return known
+
+    a, b = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    ends = b
+    for _ in range(int((b - a).max()).bit_length()):
+        middle = (a + b) >> 1
+        less = (a < b) & (rest_at(np.minimum(middle, n - 1)) < rest)
+        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+    hit = np.flatnonzero((a < ends) & (rest_at(np.minimum(a, n - 1)) == rest))
+    place = a[hit]
+    codes = small[place].astype(np.int64) if dense else np.zeros(len(hit), np.int64)
+    if listed:
+        i = np.minimum(np.searchsorted(places, place), listed - 1)
+        codes = np.where(places[i] == place, late[i], codes)
+    out[:, hit] = values.reshape(-1, fields)[codes].T
+    return out
+
+
 def _passed_on(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Rows of a negative shard: how many grams of a level have counts 1 to 4. They go on to the last level."""
     return pd.DataFrame([(key[0], np.sum(np.stack(frame.seen.tolist()), 0).tolist(), None)], columns=["shard", "seen", "data"])
 
 
-def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
-    """Writes a shard's sorted gram hashes with their counts (and sums as contexts); sends on what the next level sums up from it."""
+def _merge_grams(folder: str, part: int, level: int, top: bool, bits: int, below: int):
+    """Writes a shard's sorted gram hashes with their counts, and those of contexts with their sums; sends on what the next level sums up from it.
+
+    Grams of a level are in the slice of their second-last word, so all that share their first or last words are, too. Below
+    the top a gram's counts are in that slice, and its sums as a context in the slice of its last word.
+    """
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
@@ -171,10 +252,14 @@ def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
         tokens, columns = unpack_grams(frame.data.tolist(), level, 1 if top else len(FIELDS))
         keys, first, *columns = _summed(gram_keys(tokens), *columns)
         tokens = [t[first] for t in tokens]
-        full = ~is_short(tokens)
         raw = columns[0]
+        full = ~is_short(tokens) & (raw > 0)
         counts = raw if top else np.where(tokens[0] == BEGIN, raw, columns[1])
-        _write_level(f"{folder}/{level}/{key[0]}", keys[full], [c[full] for c in (counts, *columns[2:])])
+        number = part << bits | key[0]
+        _write_grams(f"{folder}/{level}/{number}", keys[full], [counts[full]], bits)
+        if not top:
+            some = columns[2] > 0
+            _write_grams(f"{folder}/{level}-contexts/{number}", keys[some], [c[some] for c in columns[2:]], bits)
         seen = [int((counts[full] == i).sum()) for i in (1, 2, 3, 4)]
         rows = [(-(level + 100 * (1 + key[0] % 64)), seen, None)]
         del keys, columns
@@ -185,36 +270,73 @@ def _merge_grams(folder: str, level: int, top: bool, bits: int, below: int):
             known, none = dict(zip(own, found, strict=True)), np.zeros(len(unique), np.uint64)
             return [*(t[first] for t in lower), *(known.get(f, none) for f in FIELDS)]
 
-        c = counts[full]
-        found = [sums(tokens[1:], {"count": raw, "continuation": full}), sums([t[full] for t in tokens[:-1]], {"total": c, "n1": c == 1, "n2": c == 2, "n3": c > 2})]
+        c, ends = counts[full], raw > 0
+        found = [sums([t[ends] for t in tokens[1:]], {"count": raw[ends], "continuation": full[ends]}), sums([t[full] for t in tokens[:-1]], {"total": c, "n1": c == 1, "n2": c == 2, "n3": c > 2})]
         both = [np.concatenate(x) for x in zip(*found, strict=True)]
         del found, tokens, c
         lower, fields = both[: level - 1], both[level - 1 :]
         unique, first, *fields = _summed(gram_keys(lower), *fields)
-        for s, part in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *fields]):
-            rows.append((s, None, pack_grams(part[: level - 1], *part[level - 1 :])))
+        for s, cut in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *fields]):
+            rows.append((s, None, pack_grams(cut[: level - 1], *cut[level - 1 :])))
         return pd.DataFrame(rows, columns=["shard", "seen", "data"])
 
     return run
 
 
-def _merge_words(folder: str):
-    """Writes a shard's sorted word hashes with their sums; gives what the whole model needs from it, and from the levels above."""
-    columns = ["level", "tokens", "types", "pairs", "n1", "n2", "n3", "n4", "more"]
+FACTS = ["level", "tokens", "types", "pairs", "n1", "n2", "n3", "n4", "more"]
+
+
+def _merge_words(folder: str, part: int):
+    """Writes what a slice adds to a shard's words; gives how many grams of the levels above have counts 1 to 4."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return pd.DataFrame([(-key[0] % 100, 0, 0, 0, *_passed_on(key, frame).seen[0], 0)], columns=columns)
+            return pd.DataFrame([(-key[0] % 100, 0, 0, 0, *_passed_on(key, frame).seen[0], 0)], columns=FACTS)
         (keys,), found = unpack_grams(frame.data.tolist(), 1, len(FIELDS))
         unique, _, *sums = _summed(keys, *found)
-        _write_level(f"{folder}/words/{key[0]}", unique, sums)
-        count, continuation = sums[:2]
-        n = [int((continuation == i).sum()) for i in (1, 2, 3, 4)] + [int((continuation > 2).sum())]
-        return pd.DataFrame([(1, int(count.sum()), int((count > 0).sum()), int(continuation.sum()), *n)], columns=columns)
+        _write_level(f"{folder}/parts/{key[0]}/{part}", unique, sums)
+        return pd.DataFrame(columns=FACTS).astype("int64")
+
+    return run
+
+
+def _join_words(folder: str):
+    """Writes a shard's sorted word hashes with their sums over all slices; gives what the whole model needs from it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for shard in (s for frame in frames for s in frame.id):
+            parts = [_map_level(f"{folder}/parts/{shard}/{p}", len(FIELDS)) for p in sorted(os.listdir(f"{folder}/parts/{shard}")) if p.isdigit()]
+            keys = np.concatenate([p[0] for p in parts])
+            columns = [np.concatenate([_values(p, np.arange(len(p[0])))[i] for p in parts]).astype(np.uint64) for i in range(len(FIELDS))]
+            unique, _, *sums = _summed(keys, *columns)
+            _write_level(f"{folder}/words/{shard}", unique, sums)
+            count, continuation = sums[:2]
+            n = [int((continuation == i).sum()) for i in (1, 2, 3, 4)] + [int((continuation > 2).sum())]
+            yield pd.DataFrame([(1, int(count.sum()), int((count > 0).sum()), int(continuation.sum()), *n)], columns=FACTS)
 
     return run
 
 
+def _map_level(path: str, fields: int) -> tuple:
+    """Keys of a file of _write_level, and for each field (places of large values, these, all values as bytes)."""
+    n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
+    at, out = 8 * (1 + fields), []
+    for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
+        out.append(np.memmap(path, kind, "r", at, (size,)) if size else np.zeros(0, kind))
+        at += size * np.dtype(kind).itemsize
+    return out[0], [(out[1 + 2 * i], out[2 + 2 * i], out[1 + 2 * fields + i]) for i in range(fields)]
+
+
+def _values(found: tuple, place: np.ndarray) -> np.ndarray:
+    """(field, place) values of a mapped file."""
+    out = np.zeros((len(found[1]), len(place)), np.int64)
+    for row, (big, many, small) in zip(out, found[1], strict=True):
+        row[:] = small[place]
+        more = np.flatnonzero(row == 255)
+        row[more] = many[np.searchsorted(big, place[more])]
+    return out
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """What is taken off counts of 0, 1, 2 and 3 or more, from how many entries have counts 1 to 4."""
     if not n1 or not n2:
@@ -230,7 +352,8 @@ class KneserNey:
 
     folder: str
     order: int
-    bits: int
+    slices: int
+    bits: int  # of a gram's hash that tell its shard within its slice
     word_bits: int
     tokens: int
     types: int
@@ -240,51 +363,34 @@ class KneserNey:
     left: float  # the unigram level's share for words never seen
     shards: dict[str, np.ndarray]  # which shards of each level have a file
 
-    def _level(self, level: int | str, shard: int, fields: int):
-        """Keys of a shard's file, and for each field (places of large values, these, all values as bytes)."""
-        path = f"{self.folder}/{level}/{shard}"
-        if not self.shards[str(level)][shard]:
+    def _path(self, level: str, shard: int) -> str | None:
+        if not self.shards[level][shard]:
             return None  # no gram fell into it
+        path = f"{self.folder}/{level}/{shard}"
         if not os.path.exists(path):
             raise FileNotFoundError(f"{path}: a file of the model is gone")
-        n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
-        at, out = 8 * (1 + fields), []
-        for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
-            out.append(np.memmap(path, kind, "r", at, (size,)) if size else np.zeros(0, kind))
-            at += size * np.dtype(kind).itemsize
-        return out[0], [(out[1 + 2 * i], out[2 + 2 * i], out[1 + 2 * fields + i]) for i in range(fields)]
-
-    @staticmethod
-    def _looked_up(found: tuple, keys: np.ndarray) -> np.ndarray:
-        """(field, key) values; zero for keys that are not there."""
-        known, fields = found
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[place] == keys
-        out = np.zeros((len(fields), len(keys)), np.int64)
-        for row, (big, many, small) in zip(out, fields, strict=True):
-            row[:] = np.where(hit, small[place], 0)
-            more = np.flatnonzero(row == 255)
-            row[more] = many[np.searchsorted(big, place[more])]
-        return out
-
-    def gram_sums(self, level: int, grams: np.ndarray) -> np.ndarray:
-        """(field, gram) counts, and below the top sums as a context, of sorted gram hashes; zero for grams never seen."""
-        out = np.zeros((1 if level == self.order else len(FIELDS) - 1, len(grams)), np.int64)
-        shards = _shard(grams, self.bits)
-        cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
-        for s in np.unique(shards):
-            found, a, b = self._level(level, s, len(out)), cuts[s], cuts[s + 1]
-            if found is not None and len(found[0]):
-                out[:, a:b] = self._looked_up(found, grams[a:b])
-        return out
+        return path
+
+    def gram_sums(self, level: str, fields: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """(field, gram) values at a level of gram hashes, whose slice their words tell; zero for grams never seen."""
+        grams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        out = np.zeros((fields, len(grams)), np.int64)
+        shards = _slice(words[first], self.slices) << self.bits | _shard(grams, self.bits)
+        for s, (places,) in _by_shard(shards, [np.arange(len(grams))]):
+            path = self._path(level, s)
+            if path:
+                out[:, places] = _read_grams(path, fields, self.bits, grams[places])
+        return out[:, inverse]
 
     def word_sums(self, keys: np.ndarray) -> np.ndarray:
         """(field, word) sums of distinct word keys; zero for words never seen."""
         out = np.zeros((len(FIELDS), len(keys)), np.int64)
         for s, (places,) in _by_shard(_word_shard(keys, self.word_bits), [np.arange(len(keys))]):
-            found = self._level("words", s, len(FIELDS))
+            path = self._path("words", s)
+            found = _map_level(path, len(FIELDS)) if path else None
             if found is not None and len(found[0]):
-                out[:, places] = self._looked_up(found, keys[places])
+                place = np.minimum(np.searchsorted(found[0], keys[places]), len(found[0]) - 1)
+                out[:, places] = np.where(found[0][place] == keys[places], _values(found, place), 0)
         return out
 
     def score(self, texts: list[bytes]) -> pd.DataFrame:
@@ -297,16 +403,14 @@ class KneserNey:
         context = sums[2:, place[: len(keys)]]
         p = (continuation - self.low[np.minimum(continuation, 3)]) / max(self.pairs, 1) + self.left / (self.types + 1)
         for level, high in enumerate(self.high, 2):
-            grams, inverse = np.unique(gram_keys(tokens[-level:]), return_inverse=True)
-            counts = self.gram_sums(level, grams)[0, inverse]
+            counts = self.gram_sums(str(level), 1, gram_keys(tokens[-level:]), tokens[-2])[0]
             total, n1, n2, n3 = context
             _, d1, d2, d3 = high
             some = np.maximum(total, 1)
             seen = (total > 0) & ~is_short(tokens[-level:])
             p = np.where(seen, (counts - high[np.minimum(counts, 3)]) / some + (d1 * n1 + d2 * n2 + d3 * n3) / some * p, p)
             if level < self.order:  # the next level's contexts end one token earlier
-                grams, inverse = np.unique(gram_keys(tokens[-level - 1 : -1]), return_inverse=True)
-                context = self.gram_sums(level, grams)[1:, inverse]
+                context = self.gram_sums(f"{level}-contexts", 4, gram_keys(tokens[-level - 1 : -1]), tokens[-2])
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         starts = offsets[:-1]
         return pd.DataFrame({
@@ -320,32 +424,61 @@ def fit_kneser_ney(documents: DataFrame, order: int = 2) -> KneserNey:
 
     The top level and grams from the beginning of a text have counts, the others continuation counts. Gram counts
     are summed within tasks, cut into shards by gram hash, so that no frequent word makes a large shard, and
-    shuffled as packed arrays. All levels are one job; a task that runs again writes the same files. An empty table gives a model that knows no word.
+    shuffled as packed arrays. Texts are read once; their grams go packed to the shared folder, cut into slices by their
+    second-last word. A slice goes through all levels as one job, and its grams and shuffles are let go of before the next, so that
+    disk holds the model and one slice's shuffles. A task that runs again writes the same files. An empty table gives a model that knows no word.
     """
     if order < 2:
         raise ValueError(f"the order must be 2 at least, not {order}")
     spark = documents.sparkSession
     base = documents.select(F.coalesce("text", F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS)))))
-    word_bits = max(0, bits - 2)
+    shards = size / 6 / SHARD_TOKENS
+    slices = min(SLICES, max(1, int(shards / 2)))
+    bits, word_bits = (max(0, int(np.ceil(np.log2(max(1, x))))) for x in (shards / slices, shards / 4))
     folder = new_folder(spark, "kneser-ney")
     local = local_path(folder)
-    grams = base.mapInPandas(_count_grams(order, bits), GRAMS)
-    for level in range(order, 1, -1):
-        grams = grams.groupBy("shard").applyInPandas(_merge_grams(local, level, level == order, bits, bits if level > 2 else word_bits), GRAMS)
-    facts = grams.groupBy("shard").applyInPandas(_merge_words(local), "level int, tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long, more long")
-    sums = {r[0]: r[1:] for r in facts.groupBy("level").agg(*[F.sum(c) for c in facts.columns[1:]]).collect()}  # one row a level
-    high = [discounts(*sums.get(level, [0] * 8)[3:7]) for level in range(2, order + 1)]
-    tokens, types, pairs, n1, n2, n3, n4, more = sums.get(1, [0] * 8)
+    base.mapInPandas(_count_grams(order, bits, slices), f"slice int, {GRAMS}").write.partitionBy("slice").parquet(f"{folder}/grams", compression="none")
+    sums = {level: np.zeros(len(FACTS) - 1, np.int64) for level in range(1, order + 1)}
+    for part in range(slices):
+        grams = f"grams/slice={part}"
+        if os.path.isdir(f"{local}/{grams}"):
+            for level, *more in _fit_slice(spark, folder, grams, part, order, bits, word_bits):
+                sums[level] += more
+            shutil.rmtree(f"{local}/{grams}")
+            gc.collect()
+            let_go_driver(spark)  # and with their plans the slice's shuffles go
+    shutil.rmtree(f"{local}/grams")
+    found = sorted(int(name) for name in (os.listdir(f"{local}/parts") if os.path.isdir(f"{local}/parts") else ()) if name.isdigit())
+    if found:
+        words = spark.createDataFrame([(s,) for s in found], "id long").repartition(len(found), "id").mapInPandas(_join_words(local), _facts_schema())
+        sums[1] += np.array([r[1:] for r in words.groupBy("level").agg(*[F.sum(c) for c in FACTS[1:]]).collect()][0], np.int64)
+        shutil.rmtree(f"{local}/parts")
+    high = [discounts(*sums[level][3:7].tolist()) for level in range(2, order + 1)]
+    tokens, types, pairs, n1, n2, n3, n4, more = sums[1].tolist()
     low = discounts(n1, n2, n3, n4)
     left = (low[1] * n1 + low[2] * n2 + low[3] * more) / pairs if pairs else 1.0
-    return KneserNey(local, order, bits, word_bits, tokens, types, pairs, low, high, left, {level: _written(f"{local}/{level}", n) for level, n in (("words", word_bits), *((str(k), bits) for k in range(2, order + 1)))})
+    levels = {"words": 1 << word_bits} | {f"{k}{kind}": slices << bits for k in range(2, order + 1) for kind in ("", "-contexts")}
+    return KneserNey(local, order, slices, bits, word_bits, tokens, types, pairs, low, high, left, {level: _written(f"{local}/{level}", n) for level, n in levels.items()})
+
+
+def _facts_schema() -> str:
+    return ", ".join(f"{c} long" for c in FACTS)
+
+
+def _fit_slice(spark: SparkSession, folder: str, grams: str, part: int, order: int, bits: int, word_bits: int) -> list[tuple]:
+    """Makes all levels of a slice; (level, ...) sums of what is known of each, one row a level."""
+    local = local_path(folder)
+    rows = spark.read.schema(GRAMS).parquet(f"{folder}/{grams}")
+    for level in range(order, 1, -1):
+        rows = rows.groupBy("shard").applyInPandas(_merge_grams(local, part, level, level == order, bits, bits if level > 2 else word_bits), GRAMS)
+    facts = rows.groupBy("shard").applyInPandas(_merge_words(local, part), _facts_schema())
+    return [tuple(r) for r in facts.groupBy("level").agg(*[F.sum(c) for c in FACTS[1:]]).collect()]
 
 
-def _written(folder: str, bits: int) -> np.ndarray:
+def _written(folder: str, shards: int) -> np.ndarray:
     """Which of a level's shards have been written, as they stand when the model is made."""
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(shards, bool)
     out[[int(name) for name in (os.listdir(folder) if os.path.isdir(folder) else ()) if name.isdigit()]] = True
     return out
 
