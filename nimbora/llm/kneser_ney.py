@@ -108,7 +108,7 @@ def _word_shard(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, a place of each, and its sums of the columns."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return (keys[first], order[first], *(np.add.reduceat(c[order], first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64) for c in columns))
@@ -119,7 +119,7 @@ def _slice(words: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _by_shard(shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(shards, kind="stable")
+    order = np.argsort(shards.astype(np.uint16) if shards.max(initial=0) < 1 << 16 else shards, kind="stable")  # few bits are sorted by counting
     shards, columns = shards[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]])) if len(shards) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -177,7 +177,8 @@ def _write_grams(path: str, keys: np.ndarray, fields: list[np.ndarray], bits: in
     inner = keys << np.uint64(bits) if bits else keys
     bucket = (inner >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(n, np.int64)
     rest = keys & np.uint64((1 << left) - 1)
-    high = [(rest >> np.uint64(32 + 8 * i)).astype(np.uint8) for i in range((max(0, left - 32) + 7) // 8)]
+    under = max(0, left - 32)  # bits of a remainder after its first 32
+    low = [(rest >> np.uint64(8 * i)).astype(np.uint8) & np.uint8((1 << min(8, under - 8 * i)) - 1) for i in range((under + 7) // 8)]
     order = np.lexsort(fields[::-1])
     rows = np.stack([f[order] for f in fields], 1).astype(np.uint64).reshape(n, len(fields))
     first = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])[:n]
@@ -190,9 +191,9 @@ def _write_grams(path: str, keys: np.ndarray, fields: list[np.ndarray], bits: in
     codes[order] = np.repeat(rank, often)
     dense = n > 0 and 8 * int((codes > 0).sum()) > n
     listed = np.flatnonzero(codes >= 255 if dense else codes > 0)
-    head = np.array([n, wide, len(high), len(values), len(listed), dense], np.uint64)
+    head = np.array([n, wide, len(low), len(values), len(listed), dense], np.uint64)
     starts = np.searchsorted(bucket, np.arange((1 << wide) + 1)).astype(np.uint32)
-    _write(path, head, values, starts, rest.astype(np.uint32), listed.astype(np.uint32), codes[listed].astype(np.uint32), *high, np.minimum(codes, 255).astype(np.uint8) if dense else np.zeros(0, np.uint8))
+    _write(path, head, values, starts, (rest >> np.uint64(under)).astype(np.uint32), listed.astype(np.uint32), codes[listed].astype(np.uint32), *low, np.minimum(codes, 255).astype(np.uint8) if dense else np.zeros(0, np.uint8))
 
 
 def _read_grams(path: str, fields: int, bits: int, keys: np.ndarray) -> np.ndarray:
@@ -204,27 +205,37 @@ def _read_grams(path: str, fields: int, bits: int, keys: np.ndarray) -> np.ndarr
         to = at + size * np.dtype(kind).itemsize
         found.append(data[at:to].view(kind))
         at = to
-    values, starts, low, places, late, *high, small = found
+    values, starts, top, places, late, *low, small = found
     out = np.zeros((fields, len(keys)), np.int64)
     if not n:
         return out
     left = 64 - bits - wide
     bucket = (keys << np.uint64(bits) >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(keys), np.int64)
-    rest = (keys & np.uint64((1 << left) - 1)).astype(np.uint64)
+    rest, under = keys & np.uint64((1 << left) - 1), max(0, left - 32)
+    above, below = (rest >> np.uint64(under)).astype(np.uint32), rest & np.uint64((1 << under) - 1)
 
-    def rest_at(place: np.ndarray) -> np.ndarray:
-        known = low[place].astype(np.uint64)
-        for i, plane in enumerate(high):
-            known |= plane[place].astype(np.uint64) << np.uint64(32 + 8 * i)
+    def low_at(place: np.ndarray) -> np.ndarray:
+        known = np.zeros(len(place), np.uint64)
+        for i, plane in enumerate(low):
+            known |= plane[place].astype(np.uint64) << np.uint64(8 * i)
         return known
 
-    a, b = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-    ends = b
-    for _ in range(int((b - a).max()).bit_length()):
+    a, ends = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    b = ends
+    for _ in range(int((b - a).max(initial=0)).bit_length()):  # to the first with these 32 bits
         middle = (a + b) >> 1
-        less = (a < b) & (rest_at(np.minimum(middle, n - 1)) < rest)
+        less = (a < b) & (top[np.minimum(middle, n - 1)] < above)
         a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
-    hit = np.flatnonzero((a < ends) & (rest_at(np.minimum(a, n - 1)) == rest))
+    hit = np.flatnonzero((a < ends) & (top[np.minimum(a, n - 1)] == above))
+    known = low_at(a[hit])
+    while len(behind := hit[known < below[hit]]):  # of the few with the same, the next
+        behind = behind[a[behind] + 1 < ends[behind]]
+        behind = behind[top[a[behind] + 1] == above[behind]]
+        if not len(behind):
+            break
+        a[behind] += 1
+        known = low_at(a[hit])
+    hit = hit[known == below[hit]]
     place = a[hit]
     codes = small[place].astype(np.int64) if dense else np.zeros(len(hit), np.int64)
     if listed:
@@ -373,7 +384,11 @@ class KneserNey:
 
     def gram_sums(self, level: str, fields: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
         """(field, gram) values at a level of gram hashes, whose slice their words tell; zero for grams never seen."""
-        grams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys)
+        grams = keys[order]
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)]
+        inverse, first, grams = np.empty(len(keys), np.int64), order[new], grams[new]
+        inverse[order] = np.cumsum(new) - 1
         out = np.zeros((fields, len(grams)), np.int64)
         shards = _slice(words[first], self.slices) << self.bits | _shard(grams, self.bits)
         for s, (places,) in _by_shard(shards, [np.arange(len(grams))]):
