@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nimbora.llm import decontamination, jaccard_join, pieces, quality, secret_scan
-from nimbora.llm.common import new_folder, table
+from nimbora.llm.common import let_go_driver, new_folder, table
 from nimbora.session import ship
 
 
+def rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun when the driver has let go of what the stages before it left there."""
+
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go_driver(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+@rested
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects.
 
@@ -19,6 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, table(ship(spark), sf_dir, "labels"))
 
 
+@rested
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id, a null id after all others.
 
@@ -28,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.keep_one_of_each(docs)
 
 
+@rested
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item.
 
@@ -37,11 +54,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@rested
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets in all texts; n_chars follows a text that changes. Every row and column stays, a null text too."""
     return secret_scan.redact_secrets(docs)
 
 
+@rested
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the piece ids of their texts; null and empty texts have none. Raises where a column `ids` exists already."""
     ship(spark)

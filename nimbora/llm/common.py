@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,9 +139,23 @@ def let_go() -> None:
 
 
 def let_go_driver(spark: SparkSession) -> None:
-    """The same on the driver, whose JVM keeps what training a model took until it happens to collect its garbage."""
+    """The same on the driver, whose JVM keeps what training a model or planning took until it happens to collect its garbage.
+
+    The JVM's native memory, which compiling leaves in pieces, goes back by the JVM's own command for it (jcmd's
+    System.trim_native_heap); a JVM that has none keeps it.
+    """
     let_go()
-    spark.sparkContext._jvm.System.gc()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    named = jvm.java.lang.Class.forName
+    kinds, asked = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, (kind, value) in enumerate((
+        ("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")),
+        ("java.lang.String", "systemTrimNativeHeap"), ("[Ljava.lang.Object;", array(jvm.java.lang.Object, 0)), ("[Ljava.lang.String;", array(jvm.java.lang.String, 0)),
+    )):
+        kinds[i], asked[i] = named(kind), value
+    with suppress(Py4JJavaError):  # by the interface: the server's own class is closed to calls from outside its module
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
 
 
 @contextmanager

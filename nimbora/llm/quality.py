@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import let_go, pieces_of, table, word_hashes
+from nimbora.llm.common import let_go, let_go_driver, pieces_of, table, word_hashes
 
 BUCKET_BITS = 16  # hashed words
 RANK = 8
@@ -188,13 +188,16 @@ def score_quality(df: DataFrame, model: FactorisationMachine, text: str = "text"
 
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least `least`, with their columns as they were."""
-    scored = score_quality(documents, fit_quality(documents, labels), out="__quality")
+    model = fit_quality(documents, labels)
+    let_go_driver(documents.sparkSession)  # of the sample's features
+    scored = score_quality(documents, model, out="__quality")
     return scored.where(F.col("__quality") >= least).drop("__quality")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(documents, table(spark, sf_dir, "labels"))
+    let_go_driver(spark)
     return score_quality(documents, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
