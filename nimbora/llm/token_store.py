@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,15 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import WordRows, new_folder, no_cycles, pieces_of, split_words, table
+from nimbora.llm.common import WordRows, new_folder, no_cycles, pieces_of, table
 
 CHUNK_BITS = 8
 RANK_STEP = 512  # bits of a continuation bitmap between two entries of its rank directory
 BLOCK_TOKENS = 1 << 16  # a block closes when it holds so many; one longer document makes a longer block
-CACHE_ENTRIES = 350_000
-PIECE_BYTES = 1 << 23  # of texts whose distinct words are looked up together
+CACHE_ENTRIES = 500_000
+PIECE_BYTES = 1 << 23  # of texts whose distinct pieces are looked up together
 END_ID = 2
 MAGIC = b"NDAC1\0"
+_IS_PUNCTUATION, _IS_ALNUM, _LEADS_LETTERS = np.zeros((3, 256), bool)
+_IS_PUNCTUATION[list(string.punctuation.encode())] = True
+_IS_ALNUM[list((string.ascii_letters + string.digits).encode())] = True
+_LEADS_LETTERS[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True  # first bytes of UTF-8 after which all characters are letters, but for two after C3
 
 
 class DirectCodes:
@@ -100,15 +104,74 @@ class DirectCodes:
         return cls(levels)
 
 
+def cut_pieces(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(how many pieces each text has, the pieces of all texts in order), of a string array without nulls.
+
+    A text is cut before a space, before and after a line feed, and between a letter or ASCII digit and the ASCII punctuation that
+    ends a word. A pre-tokenizer of GPT-2 cuts there, too, if no other white space stands beside a space or line feed.
+    The pieces are a view of the texts' bytes.
+    """
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets.astype(np.int64) - offsets[0]
+    begins = np.zeros(len(data) + 1, bool)  # of texts
+    begins[offsets] = True
+    feed = data == 10
+    between = (data == 32) | feed
+    cut = begins.copy()
+    cut[:-1] |= between
+    cut[1:] |= feed
+    mark = _IS_PUNCTUATION[data]
+    goes_on = np.zeros(len(data) + 1, bool)  # a run of marks
+    goes_on[1:-1] = mark[1:] & mark[:-1] & ~begins[1:-1]
+    first = np.flatnonzero(mark & ~goes_on[:-1])
+    end = np.flatnonzero(mark & ~goes_on[1:]) + 1
+    last = begins | np.append(between, True)
+    some = last[end] & ~begins[first]
+    first = first[some]
+    before, lead = data[first - 1], data[np.maximum(first - 2, 0)]
+    cut[first[_IS_ALNUM[before] | ((before & 0xC0) == 0x80) & _LEADS_LETTERS[lead] & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))]] = True
+    cuts = np.flatnonzero(cut)  # with the end of all
+    pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+    return np.diff(np.searchsorted(cuts, offsets)), pieces
+
+
+class PieceRows(WordRows):
+    """Rows of ids of remembered pieces, which Arrow looks up; row 0 is that of the end."""
+
+    def __init__(self, end: list[int]) -> None:
+        super().__init__()
+        self.keys = pa.array([""], pa.string())
+        self.add([end])
+
+    def of(self, pieces: pa.Array, encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """The rows of distinct pieces, none of them empty, of which those not yet known are encoded first."""
+        found = pc.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        new = found < 0
+        self.again[found[~new]] = True
+        if new.any():
+            fresh = pieces.filter(pa.array(new))
+            found[new] = self.add(encode(fresh.to_numpy(zero_copy_only=False).tolist()))
+            self.keys = pa.concat_arrays([self.keys, fresh])
+        return found
+
+    def keep(self, first: int = 1) -> None:
+        stay = self.again.copy()
+        stay[:first] = True
+        self.keys = self.keys.filter(pa.array(stay))
+        self.flat, self.length = self.gather(np.flatnonzero(stay))
+        self.start, self.again = np.cumsum(self.length) - self.length, np.zeros(len(self.length), bool)
+
+
 class ChunkEncoder:
-    """A byte-level BPE of the tokenizers library with a memory of what words encode to.
-
-    Its pre-tokenizer always cuts before a single space that stands between two other characters, so a text
-    without adjacent white space is the sequence of its pieces " word". A batch of texts is split into words by
-    Arrow, each distinct word is looked up once, and the ids are gathered by numpy. A new word that is letters and
-    then ASCII punctuation is two pre-tokens; those go straight to the library's BPE model. Any other new word,
-    and any text with adjacent white space or the string of an added token, goes through the library's whole
-    pipeline.
+    """A byte-level BPE of the tokenizers library with a memory of what pieces of text encode to.
+
+    Its pre-tokenizer always cuts before a single space that stands between two other characters, around a single line feed and
+    before the punctuation that ends a word, so a text without adjacent white space is the sequence of its pieces
+    (see cut_pieces). Each distinct piece of a batch is looked up once by Arrow, and the ids are gathered by numpy. A
+    new piece that is letters, or letters and then ASCII punctuation, is one or two pre-tokens; those go straight to the library's
+    BPE model. Any other new piece, and any text with adjacent white space or the string of an added token,
+    goes through the library's whole pipeline.
     """
 
     _white = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -125,20 +188,13 @@ class ChunkEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, list[int]] = {}  # pre-tokens
-        self.words = WordRows()  # after a space
-        self.words.add([self.end])  # row 0
+        self.words = PieceRows(self.end)
 
     def _make_room(self) -> None:
-        """Words that came again stay, unless they alone fill half of the memory."""
-        self.words.keep(1)
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
+        """Pieces that came again stay, unless they alone fill half of the memory."""
+        self.words.keep()
         if len(self.words.length) > CACHE_ENTRIES // 2 or len(self.words.flat) > 4 * CACHE_ENTRIES:
-            self._forget()
+            self.words = PieceRows(self.end)
 
     @classmethod
     def of(cls, path: str, end_id: int | None = None) -> ChunkEncoder:
@@ -148,25 +204,18 @@ class ChunkEncoder:
         return cls._made[path, end_id]
 
     def _pre_token(self, piece: str) -> list[int]:
-        if piece in self.known:
-            return self.known[piece]
         if piece.isascii() and piece[1:].isalnum():
             shown = "\u0120" + piece[1:] if piece[0] == " " else piece  # as the table shows a space
         else:
             shown = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        if len(piece) < 40:
-            self.known[piece] = ids
-        return ids
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _piece(self, piece: str) -> list[int]:
-        if "\n" in piece:
-            head, *rest = piece.split("\n")
-            return sum((self._pre_token("\n") + (self._piece(r) if r else []) for r in rest), self._piece(head) if head else [])
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._pre_token(piece)
         body = piece.rstrip(string.punctuation)
         if body[1:].isalpha() and (body[0] == " " or body[0].isalpha()) or len(body) == 1 and body.isalpha():
-            ids = self._pre_token(body)
-            return ids + self._pre_token(piece[len(body) :]) if len(body) < len(piece) else ids
+            return self._pre_token(body) + (self._pre_token(piece[len(body) :]) if len(body) < len(piece) else [])
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,21 +224,14 @@ class ChunkEncoder:
             self._make_room()
         column = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
-        offsets, place, words = split_words(column.filter(pa.array(~odd)))
-        first = np.zeros(len(place), bool)
-        first[offsets[:-1]] = True
-        after = np.zeros(len(words), bool)
-        after[place[~first]] = True
-        some, rows = np.flatnonzero(after), np.zeros(len(words), np.int64)
-        rows[some] = self.words.of([words[i] for i in some], lambda ws: [self._piece(" " + w) for w in ws])
-        known = len(self.words.length)
         counts = np.ones(len(texts), np.int64)  # rows of each text, without its end
-        counts[~odd] = np.diff(offsets)
+        counts[~odd], pieces = cut_pieces(column.filter(pa.array(~odd)))
+        coded = pieces.dictionary_encode()
+        rows = self.words.of(coded.dictionary, lambda ws: [self._piece(w) for w in ws])
+        known = len(self.words.length)
         of_odd = np.repeat(odd, counts)
         inner = np.empty(len(of_odd), np.int64)
-        normal = rows[place]
-        normal[offsets[:-1]] = self.words.add([self._piece(words[i]) if words[i] else [] for i in place[offsets[:-1]]])
-        inner[~of_odd] = normal
+        inner[~of_odd] = rows[coded.indices.to_numpy()]
         if odd.any():
             inner[of_odd] = self.words.add([e.ids for e in self.tokenizer.encode_batch([texts[i] for i in np.flatnonzero(odd)], add_special_tokens=False)])
         ends = np.cumsum(counts + 1) - 1
@@ -198,7 +240,7 @@ class ChunkEncoder:
         every = np.zeros(len(body), np.int64)
         every[body] = inner
         ids, n = self.words.gather(every)
-        self.words.shrink(known)  # first words and whole texts are not remembered
+        self.words.shrink(known)  # whole texts are not remembered
         return ids, np.diff(np.cumsum(n)[ends], prepend=0)
 
 

@@ -51,6 +51,24 @@ def test_words_that_come_again_stay_known(monkeypatch):
     assert asked.count(" common") == asked.count(" often") == 1 and len(encoder.words.length) < 150
 
 
+def test_pieces_are_cut_where_the_library_cuts():
+    rng, plain = np.random.default_rng(7), Tokenizer.from_file(BPE)
+    some = ["a", "Bc", "1", "\u00e9", "\u00d7", "\u00f7", "\u0416", "\u03b1", "\u00bb", "\u00aa", "\u4e2d", "\U0001f600", ".", ",", "'", "s", "'s", "-", "_", " ", " ", "\n", "\t", "\u00a0", ""]
+    texts = ["".join(rng.choice(some, rng.integers(0, 14))) for _ in range(6000)]
+    ids, n = token_store.ChunkEncoder(BPE).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(monkeypatch):
+    encoder, plain, asked = token_store.ChunkEncoder(BPE, 2), Tokenizer.from_file(BPE), []
+    piece = encoder._piece
+    monkeypatch.setattr(encoder, "_piece", lambda p: asked.append(p) or piece(p))
+    texts = ["the erret. The erret, the erret!\nErret erret; erret\nErret \u00e9rret\u00e9. \u00e9rret\u00e9,", "the erret... erret"]
+    ids, n = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(asked) == len(set(asked)) and {p.strip() for p in asked if "rret" in p} == {"erret", "Erret", "\u00e9rret\u00e9"}
+
+
 @pytest.mark.parametrize("n", [1, 7, 511, 512, 513, 5000])
 def test_direct_codes(n):
     rng = np.random.default_rng(n)
