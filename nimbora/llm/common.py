@@ -66,6 +66,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,6 +105,65 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64)), offsets
 
 
+def word_keys(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, with other values: words are read eight bytes at a time. Longer ones than 64 bytes have their word_hashes."""
+    buf = np.frombuffer(b"\n".join([b"", *texts]) + b"\n" + bytes(8), np.uint8)
+    if lower:
+        buf = _ASCII_LOWER[buf]
+    space = _IS_SPACE[buf[:-8]]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    text_ends = np.cumsum([len(t) + 1 for t in texts]) + 1
+    offsets = np.concatenate([[0], np.searchsorted(starts, text_ends)]).astype(np.int64)
+    eight = np.ndarray(len(buf) - 7, np.dtype("<u8"), buf, strides=(1,))
+    lengths = ends - starts
+    keys = mix((eight[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) * _BYTE_BASE + lengths.astype(np.uint64))
+    more = np.flatnonzero(lengths > 8)
+    for at in range(8, 64, 8):
+        if not len(more):
+            return keys, offsets
+        keys[more] = mix(keys[more] * _WORD_BASE + (eight[starts[more] + at] & _FIRST_BYTES[np.minimum(lengths[more] - at, 8)]))
+        more = more[lengths[more] > at + 8]
+    if len(more):
+        keys[more] = word_hashes([buf[a:b].tobytes() for a, b in zip(starts[more], ends[more], strict=True)])[0]
+    return keys, offsets
+
+
+def sorted_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stable order that sorts 64-bit hashes, the sorted hashes).
+
+    numpy sorts values several times as fast as it finds their order, so the places stand in the last bits of what is
+    sorted. The few hashes that agree in all bits before those are put in order after that.
+    """
+    n = len(keys)
+    bits = np.uint64(n.bit_length())
+    low = np.uint64((1 << int(bits)) - 1)
+    both = (keys & ~low) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    out = keys[order]
+    wrong = np.flatnonzero(out[1:] < out[:-1])
+    if len(wrong):
+        both >>= bits
+        group = np.cumsum(np.concatenate([[False], both[1:] != both[:-1]]))
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[wrong]] = True
+        some = np.flatnonzero(mixed[group])
+        order[some] = order[some][np.argsort(out[some], kind="stable")]
+        out = keys[order]
+    return order, out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, a place of each, the number among them of each key)."""
+    order, keys = sorted_places(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return keys[new], order[new], inverse
+
+
 def gram_hashes(hashes: np.ndarray, k: int, base: np.uint64 = _WORD_BASE) -> np.ndarray:
     """Hashes of the k-word sequences that start at each place (len(hashes) - k + 1 of them)."""
     n = len(hashes) - k + 1
@@ -244,16 +304,24 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
-    raw = b"".join(planes)
+    """Columns of one length as compressed byte planes, without the high planes that are all zero."""
+    columns = [np.ascontiguousarray(c, np.uint64) for c in columns]
+    widths = [(int(c.max(initial=0)).bit_length() + 7) // 8 for c in columns]
+    planes = [np.ascontiguousarray(c.view(np.uint8)[i::8]) for c, w in zip(columns, widths, strict=True) for i in range(w)]
+    raw = b"".join([len(columns[0]).to_bytes(8, "little"), bytes(widths), *planes])
     return len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
 
 
 def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     size = int.from_bytes(data[:8], "little")
     raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
-    return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.uint64).ravel() for p in raw.reshape(columns, -1)]
+    n, at = int.from_bytes(raw[:8].tobytes(), "little"), 8 + columns
+    out = [np.zeros(n, np.uint64) for _ in range(columns)]
+    for c, width in zip(out, raw[8:at].tolist(), strict=True):
+        for i in range(width):
+            c.view(np.uint8)[i::8] = raw[at : at + n]
+            at += n
+    return out
 
 
 # ---- connected components ----

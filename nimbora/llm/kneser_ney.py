@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import let_go_driver, mix, new_folder, pack, pieces_of, table, unpack, word_hashes
+from nimbora.llm.common import distinct, let_go_driver, mix, new_folder, pack, pieces_of, sorted_places, table, unpack, word_keys
 
 END, BEGIN = np.uint64(0x5EED0000E0D15EED), np.uint64(0x5EED0000BE615EED)  # keys of the end token and of the context before a text
 _PAIR = np.uint64(0xFF51AFD7ED558CCD)
 FLUSH_TOKENS = 3_000_000  # a task sends its counts on when it has read so many
 SHARD_TOKENS = 1_500_000  # training tokens for each shard of the model, about
+PIECE_BYTES = 6 << 20  # of texts whose distinct grams are looked up together
 SLICES = 12  # parts that a large model is made in, one after another
 BUCKET = 16  # keys of a file for each entry of its directory, about
 ORDER = 3  # of op8's model
@@ -41,7 +42,7 @@ def tokens_of(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndar
 
     Each text ends with the end token; what lies before its first token is BEGIN.
     """
-    hashes, offsets = word_hashes(texts, lower=True)
+    hashes, offsets = word_keys(texts, lower=True)
     ends = offsets[1:] + np.arange(1, len(texts) + 1)  # where each text ends with its end token
     keys = np.empty(len(hashes) + len(texts), np.uint64)
     is_end = np.zeros(len(keys), bool)
@@ -68,9 +69,13 @@ def is_short(tokens: list[np.ndarray]) -> np.ndarray:
 
 def pack_grams(tokens: list[np.ndarray], *columns: np.ndarray) -> bytes:
     """Grams with their columns, sorted; tokens are places in a dictionary that comes first."""
-    words, places = np.unique(np.concatenate(tokens), return_inverse=True)
+    words, _, places = distinct(np.concatenate(tokens))
     places = places.reshape(len(tokens), -1)
-    order = np.lexsort(places[::-1])
+    width = len(words).bit_length()
+    if width * len(tokens) <= 64:  # a gram's places in one value, from its first bit on
+        order = sorted_places(np.bitwise_or.reduce([p.astype(np.uint64) << np.uint64(64 - width * i) for i, p in enumerate(places, 1)]))[0]
+    else:
+        order = np.lexsort(places[::-1])
     known = pack(np.diff(words, prepend=np.uint64(0)))
     return len(known).to_bytes(8, "little") + known + pack(np.diff(places[0][order], prepend=0), *places[1:, order], *(c[order] for c in columns))
 
@@ -108,8 +113,7 @@ def _word_shard(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, a place of each, and its sums of the columns."""
-    order = np.argsort(keys)
-    keys = keys[order]
+    order, keys = sorted_places(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return (keys[first], order[first], *(np.add.reduceat(c[order], first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64) for c in columns))
 
@@ -221,12 +225,12 @@ def _read_grams(path: str, fields: int, bits: int, keys: np.ndarray) -> np.ndarr
         return known
 
     a, ends = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-    b = ends
-    for _ in range(int((b - a).max(initial=0)).bit_length()):  # to the first with these 32 bits
-        middle = (a + b) >> 1
-        less = (a < b) & (top[np.minimum(middle, n - 1)] < above)
-        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
-    hit = np.flatnonzero((a < ends) & (top[np.minimum(a, n - 1)] == above))
+    for back in range(int((ends - a).max(initial=0)).bit_length() - 1, -1, -1):  # past all with fewer in these 32 bits
+        next_at = a + ((1 << back) - 1)
+        less = top.take(next_at, mode="clip") < above
+        less &= next_at < ends
+        np.add(a, 1 << back, out=a, where=less)
+    hit = np.flatnonzero((a < ends) & (top.take(a, mode="clip") == above))
     known = low_at(a[hit])
     while len(behind := hit[known < below[hit]]):  # of the few with the same, the next
         behind = behind[a[behind] + 1 < ends[behind]]
@@ -275,19 +279,19 @@ def _merge_grams(folder: str, part: int, level: int, top: bool, bits: int, below
         rows = [(-(level + 100 * (1 + key[0] % 64)), seen, None)]
         del keys, columns
 
-        def sums(lower: list[np.ndarray], own: dict[str, np.ndarray]) -> list[np.ndarray]:
-            """Tokens and all fields of the grams a level lower."""
-            unique, first, *found = _summed(gram_keys(lower), *own.values())
-            known, none = dict(zip(own, found, strict=True)), np.zeros(len(unique), np.uint64)
-            return [*(t[first] for t in lower), *(known.get(f, none) for f in FIELDS)]
-
-        c, ends = counts[full], raw > 0
-        found = [sums([t[ends] for t in tokens[1:]], {"count": raw[ends], "continuation": full[ends]}), sums([t[full] for t in tokens[:-1]], {"total": c, "n1": c == 1, "n2": c == 2, "n3": c > 2})]
-        both = [np.concatenate(x) for x in zip(*found, strict=True)]
-        del found, tokens, c
-        lower, fields = both[: level - 1], both[level - 1 :]
-        unique, first, *fields = _summed(gram_keys(lower), *fields)
-        for s, cut in _by_shard(_gram_shard(unique, level - 1, below), [*(t[first] for t in lower), *fields]):
+        c, ends, high = counts[full], raw > 0, np.uint64(32)
+        lower = [np.concatenate([t[ends], u[full]]) for t, u in zip(tokens[1:], tokens[:-1], strict=True)]  # the last words of grams, then the first
+        del tokens
+        hashes, cut = gram_keys(lower), int(ends.sum())
+        last, i, count, continuation = _summed(hashes[:cut], raw[ends], full[ends])
+        head, j, total, some, few = _summed(hashes[cut:], c, np.ones(len(c), np.uint64), (c == 1) | (c == 2).astype(np.uint64) << high)
+        once, twice = few & np.uint64(0xFFFFFFFF), few >> high  # summed together, as are fewer than 2^32 of each
+        unique, first, place = distinct(np.concatenate([last, head]))
+        fields = np.zeros((len(FIELDS), len(unique)), np.uint64)
+        fields[:2, place[: len(last)]] = count, continuation
+        fields[2:, place[len(last) :]] = total, once, twice, some - once - twice
+        lower = [t[np.concatenate([i, j + cut])[first]] for t in lower]
+        for s, cut in _by_shard(_gram_shard(unique, level - 1, below), [*lower, *fields]):
             rows.append((s, None, pack_grams(cut[: level - 1], *cut[level - 1 :])))
         return pd.DataFrame(rows, columns=["shard", "seen", "data"])
 
@@ -330,11 +334,13 @@ def _join_words(folder: str):
 
 def _map_level(path: str, fields: int) -> tuple:
     """Keys of a file of _write_level, and for each field (places of large values, these, all values as bytes)."""
-    n, *many = (int(x) for x in np.memmap(path, np.uint64, "r", shape=(1 + fields,)))
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+    n, *many = (int(x) for x in data[: 8 * (1 + fields)].view(np.uint64))
     at, out = 8 * (1 + fields), []
     for kind, size in ((np.uint64, n), *((np.uint64, m) for m in many for _ in range(2)), *((np.uint8, n) for _ in many)):
-        out.append(np.memmap(path, kind, "r", at, (size,)) if size else np.zeros(0, kind))
-        at += size * np.dtype(kind).itemsize
+        to = at + size * np.dtype(kind).itemsize
+        out.append(data[at:to].view(kind))
+        at = to
     return out[0], [(out[1 + 2 * i], out[2 + 2 * i], out[1 + 2 * fields + i]) for i in range(fields)]
 
 
@@ -382,20 +388,15 @@ class KneserNey:
             raise FileNotFoundError(f"{path}: a file of the model is gone")
         return path
 
-    def gram_sums(self, level: str, fields: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """(field, gram) values at a level of gram hashes, whose slice their words tell; zero for grams never seen."""
-        order = np.argsort(keys)
-        grams = keys[order]
-        new = np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)]
-        inverse, first, grams = np.empty(len(keys), np.int64), order[new], grams[new]
-        inverse[order] = np.cumsum(new) - 1
+    def gram_sums(self, level: str, fields: int, grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """(field, gram) values at a level of distinct gram hashes, whose slice their words tell; zero for grams never seen."""
         out = np.zeros((fields, len(grams)), np.int64)
-        shards = _slice(words[first], self.slices) << self.bits | _shard(grams, self.bits)
+        shards = _slice(words, self.slices) << self.bits | _shard(grams, self.bits)
         for s, (places,) in _by_shard(shards, [np.arange(len(grams))]):
             path = self._path(level, s)
             if path:
                 out[:, places] = _read_grams(path, fields, self.bits, grams[places])
-        return out[:, inverse]
+        return out
 
     def word_sums(self, keys: np.ndarray) -> np.ndarray:
         """(field, word) sums of distinct word keys; zero for words never seen."""
@@ -411,25 +412,32 @@ class KneserNey:
     def score(self, texts: list[bytes]) -> pd.DataFrame:
         """n_tokens, n_known, base_score and score (log10) of each text."""
         tokens, offsets = tokens_of(texts, self.order)
-        keys = tokens[-1]
-        words, place = np.unique(np.concatenate(tokens[-2:]), return_inverse=True)
-        sums = self.word_sums(words)
-        count, continuation = sums[:2, place[-len(keys) :]]
-        context = sums[2:, place[: len(keys)]]
-        p = (continuation - self.low[np.minimum(continuation, 3)]) / max(self.pairs, 1) + self.left / (self.types + 1)
+        keys, starts = tokens[-1], offsets[:-1]
+        words, _, place = distinct(keys)
+        sums = self.word_sums(np.append(words, BEGIN))
+        count, continuation = sums[:2, :-1]
+        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))[place]
+        p = ((continuation - self.low[np.minimum(continuation, 3)]) / max(self.pairs, 1) + self.left / (self.types + 1))[place]
+        known = (count > 0)[place]
+        before = np.roll(place, 1)
+        before[starts] = len(words)  # BEGIN
+        context = sums[2:]
         for level, high in enumerate(self.high, 2):
-            counts = self.gram_sums(str(level), 1, gram_keys(tokens[-level:]), tokens[-2])[0]
-            total, n1, n2, n3 = context
             _, d1, d2, d3 = high
+            total, n1, n2, n3 = context
             some = np.maximum(total, 1)
+            rest = (d1 * n1 + d2 * n2 + d3 * n3) / some  # what is left to a context's lower level
+            total = total[before]
+            grams, first, place = distinct(gram_keys(tokens[-level:]))
+            counts = self.gram_sums(str(level), 1, grams, tokens[-2][first])[0]
+            counts = (counts - high[np.minimum(counts, 3)])[place]
             seen = (total > 0) & ~is_short(tokens[-level:])
-            p = np.where(seen, (counts - high[np.minimum(counts, 3)]) / some + (d1 * n1 + d2 * n2 + d3 * n3) / some * p, p)
-            if level < self.order:  # the next level's contexts end one token earlier
-                context = self.gram_sums(f"{level}-contexts", 4, gram_keys(tokens[-level - 1 : -1]), tokens[-2])
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
-        starts = offsets[:-1]
+            p = np.where(seen, counts / np.maximum(total, 1) + rest[before] * p, p)
+            if level < self.order:  # the next level's contexts end one token earlier; those that would begin before a text are short
+                context = self.gram_sums(f"{level}-contexts", 4, grams, keys[first])
+                before = np.roll(place, 1)
         return pd.DataFrame({
-            "n_tokens": np.diff(offsets), "n_known": np.add.reduceat(count > 0, starts, dtype=np.int64),
+            "n_tokens": np.diff(offsets), "n_known": np.add.reduceat(known, starts, dtype=np.int64),
             "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
@@ -507,7 +515,7 @@ def score_texts(documents: DataFrame, model: KneserNey) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t.encode("utf-8", "replace") for t in frame.text]
-            for a, b in pieces_of(texts, 1 << 22):
+            for a, b in pieces_of(texts, PIECE_BYTES):
                 out = model.score(texts[a:b])
                 out.insert(0, "doc_id", frame.doc_id.to_numpy()[a:b])
                 out.insert(1, "has_id", frame.has_id.to_numpy()[a:b])
